@@ -9,7 +9,8 @@ passes. Two tokens are compatible if plain merging of their joined bytes never
 merges across the seam; that is decided by walking both tokens' edge pieces in
 the order of merge ranks, and remembered.
 
-Distinct pre-tokens are encoded once per worker while they fit a bounded cache.
+Distinct words (runs between spaces) are encoded once per worker while they fit
+a bounded cache.
 
 Defined results: a null text counts as empty (no ids, empty decoding). The
 string of a special token gives that token's id. Texts are processed whole.
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
+WORD = "I"  # four bytes
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -44,7 +48,7 @@ def _byte_of_char() -> dict[str, int]:
 class Bpe:
     """Encoder and decoder for one vocabulary; ``source`` is the text of its JSON file."""
 
-    def __init__(self, source: str, cache_size: int = 300_000):
+    def __init__(self, source: str, cache_size: int = 500_000):
         data = json.loads(source)
         byte_of = _byte_of_char()
         raw = {token: bytes(byte_of[c] for c in token) for token in data["model"]["vocab"]}
@@ -71,7 +75,9 @@ class Bpe:
         self.matches.make_automaton()
         self.split = regex.compile(PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.wide_gap = re.compile(r" \s").search
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.cache_size = cache_size
         self.lengths = np.array([len(b) for b in self.bytes_of])
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -149,17 +155,40 @@ class Bpe:
             ids.append(token)
         return ids[::-1]
 
+    def _pieces(self, text: str) -> bytes:
+        """Packed ids of a text, pre-token by pre-token."""
+        known = self.pieces
+        found = []
+        for piece in self.split(text):
+            ids = known.get(piece)
+            if ids is None:
+                ids = array(WORD, self._piece(piece)).tobytes()
+                if len(piece) > 3:
+                    if len(known) > self.cache_size // 2:
+                        known.clear()
+                    known[piece] = ids
+            found.append(ids)
+        return b"".join(found)
+
     def _plain(self, text: str) -> bytes:
-        cache, pieces = self.cache, self.split(text)
+        """Packed ids of a text without special tokens.
+
+        A space that stands between two other white-space characters belongs to
+        the pre-token of its run; every other space starts a new one, so that
+        words cut at spaces can be looked up one by one.
+        """
+        if self.wide_gap(text):
+            return self._pieces(text)
+        first, *words = text.split(" ")
+        cache = self.cache
         try:
-            return b"".join([cache[p] for p in pieces])
+            return self._pieces(first) + b"".join([cache[w] for w in words])
         except KeyError:
-            for piece in {p for p in pieces if p not in cache}:
-                cache[piece] = np.array(self._piece(piece), "<u4").tobytes()
-        out = b"".join([cache[p] for p in pieces])
-        if len(cache) > self.cache_size:
-            cache.clear()
-        return out
+            if len(cache) > self.cache_size:
+                cache.clear()
+            for w in {w for w in words if w not in cache}:
+                cache[w] = self._pieces(" " + w)
+        return self._pieces(first) + b"".join([cache[w] for w in words])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, as unsigned 32-bit integers."""
