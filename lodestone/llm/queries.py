@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, packing, quality_rules, sharding, simhash, token_counts
+from lodestone.llm import bpe, packing, quality_rules, sharding, simhash, token_counts, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
