@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, packing, quality_rules, sharding, simhash, token_counts, vector_dedup
+from lodestone.llm import bpe, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).select(
+        "doc_id",
+        quality_classifier.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -61,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_bpe": op10_bpe,
 }
