@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, vector_dedup
+from lodestone.llm import bpe, packing, passage_dedup, quality_classifier, quality_rules, sharding, simhash, token_counts, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passage_dedup.remove_repeats(docs, width=50).drop("text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary).drop("name")
@@ -69,6 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
+    "op4_passage_dedup": op4_passage_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
