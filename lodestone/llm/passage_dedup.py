@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import cut
 
@@ -360,7 +361,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
     pending = settled.where(F.col("kind") == PENDING)
     refined = pending.groupBy("target").cogroup(spelt.groupBy("target")).applyInArrow(_refine_shard(width), BLOCK)
     answers = cut(refined).unionByName(settled.where(F.col("kind") == SETTLED)).withColumnRenamed("target", "batch")
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in zip(results, ("long", "long", "long", "string"), strict=True):
         schema = schema.add(name, kind)
 

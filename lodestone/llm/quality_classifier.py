@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 _CLASS = np.zeros(256, np.int64)  # place of each byte's class: marks, then upper, lower, digit, blank, line end, rest
@@ -191,6 +192,6 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
     if keep:
         held = docs.drop("quality_score")
         at = held.columns.index(text)
-        return held.mapInArrow(run, held.schema.add("quality_score", "double"))
+        return held.mapInArrow(run, T.StructType([*held.schema.fields, T.StructField("quality_score", T.DoubleType())]))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double")
