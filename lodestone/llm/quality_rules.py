@@ -83,26 +83,24 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(whole, SPACE), lambda w: w != "")
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    held = docs.withColumns({"__words": words, "__lines": lines})
+    held = docs.drop(*MEASURES).withColumns({"__words": words, "__lines": lines})
     octets = F.octet_length(whole)
     joined = F.array_join("__words", "")
     small = F.regexp_count(whole, F.lit("\\p{Ll}"))
     upper = F.regexp_count(whole, F.lit("\\p{Lu}"))
-    return (
-        held.withColumns(
-            {
-                "n_words": F.size("__words").cast("long"),
-                "word_chars": F.char_length(joined).cast("long"),
-                "n_symbols": (octets - _octets_without(whole, SYMBOLS)).cast("long"),
-                "n_lines": F.size("__lines").cast("long"),
-                "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-                "n_repeat_words": _repeat_words(F.col("__words")).cast("long"),
-                "n_upper": upper.cast("long"),
-                "n_letters": (small + upper).cast("long"),
-            }
-        )
-        .drop("__words", "__lines")
-    )
+    measures = {
+        "n_words": F.size("__words"),
+        "word_chars": F.char_length(joined),
+        "n_symbols": octets - _octets_without(whole, SYMBOLS),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_repeat_words": _repeat_words(F.col("__words")),
+        "n_lines": F.size("__lines"),
+        "n_letters": small + upper,
+        "n_upper": upper,
+    }
+    # A filter on a measure stops at the generator; pushed below, it would compute all measures anew for each use.
+    once = F.explode(F.array(F.struct(*[c.cast("long").alias(n) for n, c in measures.items()])))
+    return held.select("*", once.alias("__m")).select("*", "__m.*").drop("__words", "__lines", "__m")
 
 
 def mask(names: list[str]) -> int:
