@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.functions import text as T
 
@@ -53,7 +54,7 @@ NAV_PHRASES = [
 NAV_SEPARATORS = ["|", "•", "·", "–", "—", "/"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
