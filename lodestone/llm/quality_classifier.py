@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, doc_id: s
     positive = free.join(F.broadcast(ids), free["doc_id"] == ids["good_id"], "left_semi").select(F.lit(True).alias("positive"), "text")
     unlabelled = free.where(bucket(F.col("doc_id"), 2) < some).select(F.lit(False).alias("positive"), "text")
     rows = [_measured(part).limit(4 * sample_rows).toArrow().column("x").to_pylist() for part in (positive, unlabelled)]
-    return train(*[np.array(r, np.float64).reshape(len(r), -1) for r in rows])
+    width = len(features(""))
+    return train(*[np.array(r, np.float64).reshape(-1, width) for r in rows])
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
