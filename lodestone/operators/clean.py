@@ -119,7 +119,8 @@ def is_navigation(c: Column) -> Column:
 
 
 def drop_navigation(blocks: DataFrame) -> DataFrame:
-    return blocks.where(~is_navigation(T.strip(F.col("text"))))
+    once = F.transform(F.array(T.strip(F.col("text"))), is_navigation)[0]  # strips each text once
+    return blocks.where(~once)
 
 
 def drop_repeated_headers(blocks: DataFrame, share: float = 0.5) -> DataFrame:

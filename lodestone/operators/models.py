@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,16 +30,14 @@ def embed_texts(rows: DataFrame, embed: Embed, text: str = "stable_text", batch:
     return rows.withColumn("embedding", run(F.coalesce(F.col(text), F.lit(""))))
 
 
-def hash_embedding(text: Column, dimension: int = 64) -> Column:
-    """Unit vector of hashed term counts: the offline stand-in for an embedding model, in Spark functions."""
-    places = F.transform(T.terms(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
-    counts = F.aggregate(
-        places,
-        F.array_repeat(F.lit(0.0), dimension),
-        lambda v, p: F.transform(v, lambda x, i: F.when(i == p, x + 1.0).otherwise(x)),
-    )
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(F.array(F.struct(counts.alias("v"), norm.alias("n"))), lambda s: F.transform(s["v"], lambda x: (F.when(s["n"] > 0, x / s["n"]).otherwise(x)).cast("float")))[0]
+def hash_vectors(texts: list[str], dimension: int = 64) -> np.ndarray:
+    """Unit vectors of hashed word counts: the offline stand-in for an embedding model."""
+    out = np.zeros((len(texts), dimension), np.float32)
+    for row, text in zip(out, texts, strict=True):
+        places = [zlib.crc32(w.encode()) % dimension for w in re.findall(r"\w+", text.lower())]
+        row += np.bincount(places, minlength=dimension)[:dimension] if places else 0
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
 
 
 def answer_quality(rows: DataFrame) -> DataFrame:

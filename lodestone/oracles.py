@@ -184,6 +184,10 @@ judged AS (SELECT query_id, coalesce(n_relevant, 0) AS n_relevant, coalesce(hits
 averaged AS (SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM judged)"""
 
 
+def _share(a: str, b: str) -> str:
+    return f"round(CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b}))::double / len({a}) ELSE 0 END, 6)"
+
+
 def _plain(x: str) -> str:
     for fancy, plain in PLAIN_FORMS.items():
         x = f"replace({x}, {lit(fancy)}, {lit(plain)})"
@@ -344,4 +348,15 @@ SELECT event_type, n, round(m, 4) AS mean, l[n * 95 // 100 + 1] AS p95 FROM s"""
 count(*) FILTER (conv_id % 3 <> 0 AND trim(text) = '') AS failed FROM threads""",
     "connector_cursor": "SELECT role, count(*) AS n_new, max(turn) AS cursor FROM conversations WHERE turn > 1 GROUP BY role",
     "extractive_answers": f"WITH {PACKED} SELECT query_id, sha256(answer) AS answer_hash FROM answered",
+    "answer_quality": f"""WITH {PACKED}, r AS (SELECT query_id, answer, context_text, b.text AS expected, query FROM answered JOIN contexts USING (query_id) JOIN benchmark b ON b.item_id = query_id JOIN asked USING (query_id)),
+t AS (SELECT query_id, list_distinct({terms('answer')}) AS a, list_distinct({terms('context_text')}) AS c, list_distinct({terms('expected')}) AS e, list_distinct({terms('query')}) AS q FROM r)
+SELECT query_id, {_share('a', 'c')} AS faithfulness, {_share('q', 'a')} AS answer_relevancy, {_share('e', 'c')} AS context_recall FROM t""",
+    "layout_headings": f"""WITH {LINES}, s AS (SELECT doc_id, pos // 10 AS page, pos AS line, CASE WHEN pos % 6 = 0 THEN 14.0 ELSE 10.0 END::double AS size, text FROM lines),
+e AS (SELECT doc_id, sum(length(text)) AS total, sum(length(text)) FILTER (size = 10) AS small FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, CASE WHEN 2 * small > total THEN 10.0 WHEN 2 * small = total THEN 12.0 ELSE 14.0 END AS median FROM (SELECT doc_id, total, coalesce(small, 0) AS small FROM e))
+SELECT doc_id, page::int AS page, line, CASE WHEN size >= 1.2 * median OR regexp_matches(text, '^[A-Z][A-Z\\s&/\\-]{{3,59}}$') THEN 'heading' ELSE 'paragraph' END AS block_type
+FROM s JOIN m USING (doc_id) WHERE length(trim(text)) >= 3""",
+    "trace_stages": """SELECT user_id AS run_id, CASE event_type WHEN 'view' THEN 'retrieve' WHEN 'click' THEN 'rerank' WHEN 'purchase' THEN 'generate' ELSE 'parse' END AS stage,
+count(*) AS n_events, round(sum(value), 4) AS latency_ms FROM events GROUP BY 1, 2""",
+    "trace_latest": "SELECT user_id AS run_id, event_id FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }

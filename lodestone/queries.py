@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import blocks, chunks, clean, context, fusion, identity, keyword, metrics, parse, vectors
+from lodestone.operators import blocks, chunks, clean, context, fusion, identity, keyword, metrics, models, parse, trace, vectors
 from lodestone.oracles import ORACLE_SQL  # noqa: F401
 from lodestone.sources import threads, web
 
@@ -574,3 +574,49 @@ def connector_cursor(spark, sf_dir):
 @query
 def extractive_answers(spark, sf_dir):
     return _answers(spark, sf_dir).select("query_id", _digest("answer").alias("answer_hash"))
+
+
+@query
+def answer_quality(spark, sf_dir):
+    """Extracted answers against the whole passage as the expected answer."""
+    made = context.context_text(_packed(spark, sf_dir)).select("query_id", F.col("context_text").alias("context"))
+    expected = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("expected"))
+    rows = _answers(spark, sf_dir).join(made, "query_id").join(expected, "query_id").join(_asked(spark, sf_dir), "query_id")
+    return models.answer_quality(rows).select("query_id", "faithfulness", "answer_relevancy", "context_recall")
+
+
+@query
+def layout_headings(spark, sf_dir):
+    """Lines as text spans: halves of a line, every sixth line in a larger size."""
+    lines = _lines(spark, sf_dir)
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    parts = F.array(F.struct(F.lit(0).alias("span"), F.substring(F.col("text"), F.lit(1), half).alias("text")), F.struct(F.lit(1).alias("span"), F.substring(F.col("text"), half + 1, F.char_length("text")).alias("text")))
+    spans = lines.select("doc_id", F.floor(F.col("pos") / 10).cast("int").alias("page"), F.col("pos").alias("line"), F.when(F.col("pos") % 6 == 0, 14.0).otherwise(10.0).alias("size"), F.explode(parts).alias("s"))
+    found = parse.pdf_headings(spans.select("doc_id", "page", "line", "size", "s.span", "s.text"))
+    return found.select("doc_id", "page", "line", "block_type")
+
+
+@query
+def hash_embedding_neighbours(spark, sf_dir):
+    """Nearest documents of every hundredth one by hashed term counts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    rows = models.embed_texts(docs, models.hash_vectors, "text").select("chunk_id", "embedding")
+    asked = rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return vectors.search(rows, asked, 5)
+
+
+@query
+def trace_stages(spark, sf_dir):
+    """The event log as a trace: each type of event stands for a stage."""
+    kinds = {"view": "retrieve", "click": "rerank", "purchase": "generate"}
+    stage = F.lit("parse")
+    for kind, name in kinds.items():
+        stage = F.when(F.col("event_type") == kind, name).otherwise(stage)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), stage.alias("stage"), F.col("value").alias("latency_ms"))
+    return trace.by_stage(events).select("run_id", "stage", "n_events", F.round("latency_ms", 4).alias("latency_ms"))
+
+
+@query
+def trace_latest(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type", F.col("ts").alias("created_at"))
+    return trace.latest_event(events, "click").select("run_id", "event_id")

@@ -174,5 +174,5 @@ def test_models(spark):
     df = frame(spark, [("a b",), ("",)], "stable_text string")
     out = models.embed_texts(df, lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()
     assert [list(r["embedding"]) for r in out] == [[3.0, 1.0], [0.0, 1.0]]
-    v = df.select(models.hash_embedding(F.col("stable_text"), 8).alias("v")).collect()
-    assert abs(sum(x * x for x in v[0]["v"]) - 1) < 1e-6 and sum(v[1]["v"]) == 0
+    v = models.embed_texts(df, models.hash_vectors).collect()
+    assert abs(sum(x * x for x in v[0]["embedding"]) - 1) < 1e-6 and sum(v[1]["embedding"]) == 0
