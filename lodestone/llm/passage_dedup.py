@@ -251,10 +251,10 @@ def refine(text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     depth = 8
     while depth < width:
         step = min(depth, width - depth)
-        n = len(pointer) - step
-        open_ = np.bincount(pointer, minlength=1)[pointer[:n]] > 1  # buckets of one suffix are settled
-        order = pointer[:n] * np.int64(pointer.max() + 2) + np.where(open_, pointer[step:] + 1, 0)
-        pointer = np.unique(order, return_inverse=True)[1].astype(np.int64)
+        open_ = np.flatnonzero(np.bincount(pointer)[pointer[:-step]] > 1)  # buckets of one suffix are settled
+        top = np.int64(pointer.max() + 1)
+        finer = np.unique(pointer[open_] * top + pointer[open_ + step], return_inverse=True)[1]
+        pointer[open_] = top + finer
         depth += step
     return pointer[starts]
 
@@ -293,7 +293,7 @@ def _refine_shard(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 3 << 20, shard_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 6 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
     """All columns of ``docs`` with the kept text, and ``n_bytes, n_removed, n_spans, kept_sha256``."""
     if width < GRAM + 12:
         raise ValueError(f"width must be at least {GRAM + 12}")
