@@ -45,6 +45,10 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+#: Words too common to tell a license.
+COMMON = set("a an and any are as at be by for from in is it not of on or that the this to under which with you".split())
+
+
 def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     """Distinct word bigrams of each template, normalised as the units are."""
     out = {}
@@ -63,9 +67,10 @@ def marker_words(bigrams: list[str], threshold: float) -> set[str]:
     need = len(bigrams) - math.ceil(len(bigrams) * threshold / (2 - threshold) - 1e-9) + 1
     left, chosen = list(bigrams), set()
     while len(bigrams) - len(left) < need:
-        words = sorted({w for b in left for w in b.split()}, key=lambda w: (-sum(w in b for b in left) * (len(w) - 2), w))  # long words are rarer
+        weight = lambda w: sum(w in b.split() for b in left) * (0.01 if w in COMMON or len(w) < 2 else len(w))  # noqa: B023, E731  long words are rarer
+        words = sorted({w for b in left for w in b.split()}, key=lambda w: (-weight(w), w))
         chosen.add(words[0])
-        left = [b for b in left if words[0] not in b]
+        left = [b for b in left if words[0] not in b.split()]
     return chosen
 
 
@@ -75,7 +80,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
     names = list(sets)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     markers = sorted(set().union(*[marker_words(b, threshold) for b in sets.values()]))
-    marked = lambda c: reduce(or_, [F.contains(c, F.lit(m)) for m in markers])
+    holds = lambda c, pad: reduce(or_, [F.contains(c, F.lit(pad + m + pad)) for m in markers])
+    marked = lambda c, pad="": F.transform(F.array(c), lambda x: holds(x, pad))[0]  # noqa: E731  ``c`` is computed once
 
     def units(kind: str, parts: Column) -> Column:
         return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("position"), x.alias("part")))
@@ -96,7 +102,10 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
         )
         .where(marked(F.col("u.part")))
     )
-    words = F.split(F.trim(F.regexp_replace("u.part", "[^\\p{L}\\p{N}]+", " ")), " ")
+    # Generators keep later filters from computing what stands before them anew.
+    plain = F.trim(F.regexp_replace("u.part", "[^\\p{L}\\p{N}]+", " "))
+    found = found.withColumn("plain", F.explode(F.array(plain))).where(marked(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), " "))
+    words = F.split("plain", " ")
 
     def pairs(ws: Column) -> Column:
         made = F.transform(F.slice(ws, 1, F.size(ws) - 1), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1)))
