@@ -316,7 +316,7 @@ def _corpus(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _keyword(spark, sf_dir, k: int = 20):

@@ -1,5 +1,9 @@
 """Registered queries against their SQL on the smallest tables."""
 
+import re
+from collections import Counter
+from math import log
+
 import duckdb
 import pytest
 
@@ -43,3 +47,30 @@ def test_scans_are_pruned(spark):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_whole_passages_are_searched(spark):
+    """bm25_topk against BM25 spelt out over every term of every passage."""
+    con = duckdb.connect()
+    bag = lambda text: Counter(re.findall(r"\w+", (text or "").lower()))
+    docs = {i: bag(t) for i, t in con.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
+    asked = con.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    df = Counter(w for d in docs.values() for w in d)
+    raw = {w: log(len(docs) - n + 0.5) - log(n + 0.5) for w, n in df.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    length = {i: sum(d.values()) for i, d in docs.items()}
+    mean = sum(length.values()) / len(docs)
+    expected = {}
+    for q, text in asked:
+        assert len(text) > 60
+        for i, d in docs.items():
+            hits = [(n, w) for w, n in bag(text).items() if w in d]
+            if hits:
+                part = [n * (raw[w] if raw[w] >= 0 else floor) * d[w] * 2.5 / (d[w] + 1.5 * (0.25 + 0.75 * length[i] / mean)) for n, w in hits]
+                expected[q, i] = sum(part)
+    found = queries.QUERIES["bm25_topk"](spark, SF).collect()
+    assert len(found) == sum(min(10, sum(q == k[0] for k in expected)) for q, _ in asked)
+    for r in found:
+        assert r["bm25_score"] == pytest.approx(expected[r["query_id"], r["chunk_id"]], abs=2e-6)
+        above = sum(v > r["bm25_score"] + 2e-6 for (q, _), v in expected.items() if q == r["query_id"])
+        assert above < r["rank"]
