@@ -1,10 +1,12 @@
 """The pipeline's stages and the registered queries on the smallest tables."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import queries, quality_rules, simhash
+from lodestone.llm import near_text, queries, quality_rules, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,45 @@ def test_query_covers_its_table(spark, name):
     whole = spark.read.parquet(f"{SF}/{'embeddings' if key == 'vec_id' else 'documents'}.parquet").select(key)
     if name != "op1_license_scan":
         assert whole.join(out.select(key).distinct(), key, "left_anti").count() == 0
+
+
+def planted(seed=1, bases=12, n_words=200):
+    """Bases of random words and copies of each with some words replaced."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(bases):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+        out.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 6, 9):
+            copy = list(words)
+            for k in rng.sample(range(n_words), edits):
+                copy[k] = f"v{rng.randrange(10**6)}"
+            out.append(" ".join(copy))
+    return out
+
+
+def plain_groups(texts):
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return label, len(pairs)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies_of_similarity_0_8_go(spark, block):
+    texts = planted()
+    label, n_pairs = plain_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in near_text.one_of_each(docs, block=block).collect()}
+    assert kept == set(label) and n_pairs > 60 and len(kept) < len(texts)
+    if block == 512:
+        assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()} == kept
+
+
+def test_near_dedup_tells_rows_by_text(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (None, "a b c d e f g"), (None, "o p q r s t u"), (None, "o p q r s t u"), (2, None), (3, "")]
+    out = near_text.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in out) == [(0, "o p q r s t u"), (1, "a b c d e f g"), (1, "h i j k l m n"), (2, "")]
