@@ -20,6 +20,11 @@ times, so suffixes are bucketed and only buckets that stay mixed are refined:
    document of its windows.
 5. Batches get the answers for their runs, mark and cut the covered bytes.
 
+A q-gram with very many distinct runs (a frequent phrase between ever new
+neighbours) would make one bucket grow with the corpus. Such q-grams are found on
+a sample, and each of their windows is a run of its own, dealt by a hash of the
+whole window and told by two hashes of it, so it is settled without its string.
+
 A group of copies costs a row for each batch, not for each document, and no
 window string is sent for text that occurs once.
 
@@ -77,8 +82,11 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def runs(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of all windows in joined texts that end at ``ends``: q-gram hash, string hash (40 bits each), first window, windows."""
+def runs(data: np.ndarray, ends: np.ndarray, width: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of all windows in joined texts that end at ``ends``: q-gram hash, string hash (40 bits each), first window, windows.
+
+    Windows of the q-grams in ``hot`` (sorted) are runs of their own, named by two hashes of the window.
+    """
     none = np.zeros(0, np.uint64)
     if len(data) < width:
         return none, none, none.astype(np.int64), none.astype(np.int64)
@@ -106,15 +114,25 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np
     size = np.diff(np.append(first, n))
     keep = ~bad[first]
     first, size = first[keep], size[keep]
-    most = width - GRAM + 1  # longer ones (of periodic text) are cut, so that two windows tell a run
+    most = np.full(len(first), width - GRAM + 1)  # longer ones (of periodic text) are cut, so that two windows tell a run
+    frequent = _among(least[first] & LOW40, hot)
+    most[frequent] = 1
     parts = -(-size // most)
     if len(parts) and parts.max() > 1:
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        total = np.repeat(size, parts)
+        total, most, frequent = np.repeat(size, parts), np.repeat(most, parts), np.repeat(frequent, parts)
         first = np.repeat(first, parts) + nth * most
         size = np.minimum(most, total - nth * most)
     string = _mix(_mix(whole[first] + size.astype(np.uint64)) ^ whole[first + size - 1])
-    return least[first] & LOW40, string & LOW40, first, size
+    name = np.where(frequent, _mix(whole[first] ^ np.uint64(_BASE)), least[first])
+    return name & LOW40, string & LOW40, first, size
+
+
+def _among(x: np.ndarray, chosen: np.ndarray | None) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``chosen``."""
+    if chosen is None or not len(chosen):
+        return np.zeros(len(x), bool)
+    return chosen[np.minimum(np.searchsorted(chosen, x), len(chosen) - 1)] == x
 
 
 def _window_hash(h1: np.ndarray, width: int) -> np.ndarray:
@@ -134,7 +152,8 @@ def _window_hash(h1: np.ndarray, width: int) -> np.ndarray:
 class Batch:
     """A batch of documents: its table, ids, joined bytes and runs."""
 
-    def __init__(self, blob: bytes, doc_id: str, text: str, width: int):
+    def __init__(self, blob: bytes, doc_id: str, text: str, width: int, hot: np.ndarray | None = None):
+        self.hot = hot
         self.table = pa.ipc.open_stream(blob).read_all()
         ids = self.table.column(doc_id).cast(pa.int64()).combine_chunks()
         self.ids = ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False)
@@ -150,7 +169,7 @@ class Batch:
             found.append((gram, string, first + lower, size))
             start, lower = stop, upper
         if not found:
-            found.append(runs(self.data, self.ends, width))
+            found.append(runs(self.data, self.ends, width, hot))
         self.gram, self.string, self.first, self.size = [np.concatenate(c) for c in zip(*found, strict=True)]
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
@@ -161,7 +180,7 @@ class Batch:
             b = min(upper - lower, a + step + width - 1)
             if b - a >= width or a == 0:
                 within = ends[(ends > a) & (ends <= b)] - a
-                gram, string, first, size = runs(self.data[lower + a : lower + b], within, width)
+                gram, string, first, size = runs(self.data[lower + a : lower + b], within, width, self.hot)
                 out.append((gram, string, first + a, size))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
@@ -293,7 +312,27 @@ def _refine_shard(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 6 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
+def hot_grams(docs: DataFrame, width: int, gram_runs: int, text: str = "text", sample_bytes: int = 64 << 20) -> np.ndarray:
+    """Sorted q-grams that about ``gram_runs`` or more distinct runs have, by a sample of texts (copies count once)."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    share = min(1.0, max(40 / gram_runs, sample_bytes / max(1, total)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                data = np.frombuffer(t.encode(), np.uint8)
+                for a in range(0, len(data), 1_000_000):
+                    piece = data[a : a + 1_000_000 + width - 1]
+                    gram, string, _, _ = runs(piece, np.array([len(piece)]), width)
+                    if len(gram):
+                        yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(string.astype(np.int64))], ["gram", "string"])
+
+    chosen = docs.select(text).where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.lit(11), text), F.lit(1 << 20)) < int(share * (1 << 20))))
+    counted = chosen.mapInArrow(run, "gram long, string long").distinct().groupBy("gram").count().where(F.col("count") >= gram_runs * share)
+    return np.sort(counted.select("gram").toArrow().column("gram").combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint64))
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 6 << 20, shard_bytes: int = 12 << 20, gram_runs: int = 20_000) -> DataFrame:
     """All columns of ``docs`` with the kept text, and ``n_bytes, n_removed, n_spans, kept_sha256``."""
     if width < GRAM + 12:
         raise ValueError(f"width must be at least {GRAM + 12}")
@@ -302,6 +341,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
+    frequent = docs.sparkSession.sparkContext.broadcast(hot_grams(docs, width, gram_runs, text))  # 8 bytes for 40 or more sampled runs
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -323,7 +364,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for number, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                b = Batch(blob.as_buffer(), doc_id, text, width)
+                b = Batch(blob.as_buffer(), doc_id, text, width, frequent.value)
                 order, at = b.first_of_runs()
                 chosen = np.sort(order[at])  # in the order of documents, so that ids pack well
                 shard = (b.gram[chosen] % np.uint64(shards)).astype(np.int64)
@@ -343,7 +384,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
         """Strings of the runs that the right side asks for."""
         if not left.num_rows or not right.num_rows:
             return _table([])
-        b = Batch(left.column("blob")[0].as_buffer(), doc_id, text, width)
+        b = Batch(left.column("blob")[0].as_buffer(), doc_id, text, width, frequent.value)
         order, at = b.first_of_runs()
         key = _key(b.gram[order[at]], b.string[order[at]])
         by_key = np.argsort(key)
@@ -366,7 +407,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
         schema = schema.add(name, kind)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Batch(left.column("blob")[0].as_buffer(), doc_id, text, width)
+        b = Batch(left.column("blob")[0].as_buffer(), doc_id, text, width, frequent.value)
         order, at = b.first_of_runs()
         group = np.zeros(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))

@@ -184,6 +184,30 @@ def test_passages(spark, docs, batch, shard):
     assert passage_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_frequent_phrase_is_dealt_over_buckets(spark, monkeypatch):
+    """A phrase of 33 bytes between new neighbours in every document: no task refines the strings of all."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, f"{word(40)} one frequent phrase of this corpus {word(40)}") for i in range(300)]
+    rows += [(300 + i, rows[i][1][5:] + word(9)) for i in range(20)]
+    real = passage_dedup._refine_shard
+
+    def bounded(width):
+        refine = real(width)
+
+        def run(pending, spelt):
+            assert sum(map(len, spelt.column("number").to_pylist())) // 16 <= 40
+            return refine(pending, spelt)
+
+        return run
+
+    monkeypatch.setattr(passage_dedup, "_refine_shard", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = plain_removal(rows)
+    for r in passage_dedup.remove_repeats(df, 50, batch_bytes=4000, shard_bytes=2000, gram_runs=40).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == expected[r["doc_id"]]
+
+
 def test_refinement_names_windows():
     rng = random.Random(5)
     text = "".join(rng.choice("ab") for _ in range(400)) * 2
