@@ -8,7 +8,8 @@
 3. A vector probes, besides its own list, each later list whose bisecting plane
    lies within the search radius. A neighbour in another list is always across
    such a plane, so these probes lose no pair and every pair meets once.
-4. In a list (cut into bounded blocks), asymmetric distances are sums of looked
+4. The rows of a list and those that probe it are dealt into blocks, and every task
+   gets one pair of blocks, so neither side grows with a list. Asymmetric distances are sums of looked
    up parts; a pair survives if that distance is within the radius plus the
    stored vector's residual length (triangle inequality). Survivors are decided
    by exact cosine in double precision.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import components, cut
 
-CELL = ["label", "dim", "list", "block"]
+CELL = ["label", "dim", "list", "i", "j"]
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -102,7 +103,7 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _linker(index, radius: float, cosine: float):
-    """Counts and edges of one block: role 0 rows against each other and role 1 rows against role 0 rows."""
+    """Counts and edges of a pair of blocks: role 1 rows against role 0 rows; a block with itself: role 0 rows against each other."""
 
     def link(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("role", kind="stable")
@@ -117,7 +118,8 @@ def _linker(index, radius: float, cosine: float):
             bound = (radius + cell["left"].to_numpy()[:n] + 1e-3) ** 2
         count = np.zeros(len(cell), np.int64)
         label = np.arange(len(cell))
-        for start in range(0, len(cell) if n else 0, 256):
+        lower = 0 if cell["i"].iloc[0] == cell["j"].iloc[0] else n
+        for start in range(lower, len(cell) if n else 0, 256):
             x = unit[start : start + 256]
             if model is None:
                 i, j = np.nonzero(x @ unit[:n].T >= cosine - 1e-9)
@@ -205,17 +207,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
             encode, f"label {kind}, rep long, vec {reps.schema['vec'].dataType.simpleString()}, copies long, dim int, list int, codes binary, left double, probes array<int>"
         )
     )
-    cells = indexed.groupBy("label", "dim", "list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = (
-        indexed.join(cells, ["label", "dim", "list"])
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)))
-        .select(*CELL, "rep", "copies", "vec", "codes", "left", (F.col("block") != F.col("mine")).cast("int").alias("role"))
+    cell = CELL[:3]
+    reach = indexed.select("label", "dim", F.explode("probes").alias("list"), "rep", "copies", "vec")
+    blocks = lambda name: F.ceil(F.count("*") / block).cast("int").alias(name)
+    cells = indexed.groupBy(*cell).agg(blocks("blocks")).join(reach.groupBy(*cell).agg(blocks("more")), cell, "left").na.fill(0, ["more"])
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    dealt = indexed.join(cells, cell).withColumn("mine", deal("blocks"))
+    row = ["rep", "copies", "vec", "codes", "left"]
+    own = dealt.select(*cell, F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.col("blocks") + F.col("more") - 1)).alias("j"), *row, F.lit(0).alias("role")).unionByName(
+        dealt.where("mine > 0").select(*cell, F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("i"), F.col("mine").alias("j"), *row, F.lit(1).alias("role"))
     )
     probing = (
-        indexed.select("label", "dim", F.explode("probes").alias("list"), "rep", "copies", "vec")
-        .join(cells, ["label", "dim", "list"])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        reach.join(cells, cell)
+        .withColumn("j", F.col("blocks") + deal("more"))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*CELL, "rep", "copies", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("left"), F.lit(1).alias("role"))
     )
     met = cut(own.unionByName(probing).groupBy(*CELL).applyInPandas(_linker(index, radius, cosine), "a long, b long, n long"))

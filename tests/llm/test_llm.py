@@ -341,6 +341,27 @@ def test_vectors(spark):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vector_tasks_are_bounded(spark, monkeypatch):
+    """200 near vectors of one list: no task gets more than some blocks' rows."""
+    real = vector_dedup._linker
+
+    def bounded(*args):
+        link = real(*args)
+
+        def run(cell):
+            assert len(cell) <= 64, len(cell)
+            return link(cell)
+
+        return run
+
+    monkeypatch.setattr(vector_dedup, "_linker", bounded)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(size=16) * 0.01).astype(np.float32).tolist(), 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {(r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(df, 0.98, block=8).collect()} == {(199, 0)}
+
+
 def test_classifier(spark):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["river", "stone", "walks", "slowly", "under", "the", "tall"]) + rng.choice(["", "s", "."]) for _ in range(60))
