@@ -12,10 +12,12 @@ _OWN_DIR: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a fresh local one only for a local master (tests)."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="lodestone-"))
     return "file://" + _OWN_DIR[0]
