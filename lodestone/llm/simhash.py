@@ -14,13 +14,19 @@
    counted in carry-save bitwise counters for 64 lanes a machine word, and a row
    is abandoned once all its lanes exceed the radius.
 5. A block sends on at most one link per row (to the smallest row of its
-   connected part); the components of all links are the groups.
+   connected part); the components of all links are the groups. Fingerprints are
+   the nodes, so rows without an id join groups like any other.
+
+The last join brings a group's id to its rows by fingerprint; all copies of one
+text share that key, and adaptive execution splits it by rows of the written
+table.
 
 Defined results: words are maximal runs outside ASCII white space, A-Z in lower
 case. Fewer words than a shingle: the whole sequence; no words (empty or null
-text): fingerprint zero, which links like any other. Repeated rows are returned
-each. A null id gets the component of its fingerprint. Other columns of the
-input are not returned.
+text): fingerprint zero, which links like any other. ``doc_id`` is returned as
+a long. Repeated rows are returned each. A null id counts as none when the
+smallest is chosen; a group without any id has a null component. Other columns
+of the input are not returned.
 """
 
 from __future__ import annotations
@@ -85,11 +91,11 @@ def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
     return u ^ c, (a & b) | (u & c)
 
 
-def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, eights: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose counter is above ``radius`` (0 to 7)."""
-    above, equal = eights.copy(), ~eights
-    for counter, bit in ((fours, 4), (twos, 2), (ones, 1)):
-        if radius & bit:
+def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter is above ``radius``; ``counters`` are its bits from ones on, the last one sticky."""
+    above, equal = counters[-1].copy(), ~counters[-1]
+    for bit, counter in reversed(list(enumerate(counters[:-1]))):
+        if radius >> bit & 1:
             equal &= counter
         else:
             above |= equal & counter
@@ -98,14 +104,14 @@ def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, eights: np.n
 
 
 def within(queries: np.ndarray, lanes: np.ndarray, n_lanes: int, radius: int) -> np.ndarray:
-    """Bit matrix (queries x lane words): lanes at ``radius`` or fewer differing bits of each query."""
+    """Bit matrix (queries x lane words): lanes at ``radius`` (0 to 31) or fewer differing bits of each query."""
     found = np.zeros((len(queries), lanes.shape[1]), np.uint64)
     full = np.packbits(np.arange(lanes.shape[1] * 64) < n_lanes, bitorder="little").view(np.uint64)
+    n_counters = max(4, radius.bit_length() + 1)  # the last one holds all carries above
     for start in range(0, len(queries), 256):
         q = queries[start : start + 256]
         rows = np.arange(len(q))
-        ones = np.zeros((len(q), lanes.shape[1]), np.uint64)
-        twos, fours, eights = ones.copy(), ones.copy(), ones.copy()
+        ones, twos, fours, *high = [np.zeros((len(q), lanes.shape[1]), np.uint64) for _ in range(n_counters)]
         flip = -((q[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.int64)
         flip = flip.view(np.uint64)
         for b in range(0, 64, 8):
@@ -116,13 +122,15 @@ def within(queries: np.ndarray, lanes: np.ndarray, n_lanes: int, radius: int) ->
             ones, two_a = _add(ones, x[4], x[5])
             ones, two_b = _add(ones, x[6], x[7])
             twos, four_b = _add(twos, two_a, two_b)
-            fours, eight = _add(fours, four_a, four_b)
-            eights |= eight
-            near = ~_exceeds(ones, twos, fours, eights, radius) & full
+            fours, carry = _add(fours, four_a, four_b)
+            for k in range(len(high) - 1):
+                high[k], carry = high[k] ^ carry, high[k] & carry
+            high[-1] = high[-1] | carry
+            near = ~_exceeds([ones, twos, fours, *high], radius) & full
             live = near.any(1)
             if not live.all():
                 rows, near = rows[live], near[live]
-                ones, twos, fours, eights = ones[live], twos[live], fours[live], eights[live]
+                ones, twos, fours, *high = [c[live] for c in (ones, twos, fours, *high)]
                 if not len(rows):
                     break
         found[start + rows] = near if len(rows) else 0
@@ -209,11 +217,9 @@ def links(fps: DataFrame, radius: int = 4, block: int = 1024) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest id reachable over links of ``radius`` or fewer bits."""
     marked = cut(fingerprints(docs, shingle_words, doc_id, text))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(fps, radius))
-    groups = cut(
-        fps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "fp", F.coalesce("component", "rep").alias("component_id")
-        )
-    )
+    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(fps.select("fp", F.col("fp").alias("rep")), radius)).withColumnRenamed("node", "fp")
+    named = cut(fps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    groups = cut(named.join(first, "component").select("fp", "component_id"))
     return marked.join(groups, "fp").select("doc_id", "fp", "component_id")
