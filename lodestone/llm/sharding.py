@@ -1,16 +1,18 @@
 """Sharding by a histogram sort, in DataFrame functions only; the law is ``bytes``.
 
 Rows get a 63-bit key: 39 bits of the text's hash, so that equal texts lie side
-by side, then 24 bits of the id's hash, so that a group of copies of any size
-can still be cut. Exact bytes below evenly spaced candidate boundaries are
+by side, then 24 bits of a hash of the row's id and its ordinal, so that a group
+of copies of any size can still be cut, be their ids equal or null. The ordinal
+is the row's place in its partition; the first written table fixes it. Exact bytes below evenly spaced candidate boundaries are
 counted on all partitions; the next round probes only inside the intervals that
 still hold a splitter, until an interval's bytes are within the tolerance. Only
 those counts (at most 4096 for each open splitter) reach the driver. Then each
 row is dealt to its shard, in one exchange of the rows.
 
 Defined results: a null text has 0 bytes and CRC 0, and still a size of 16.
-Equal keys stay together, so shards differ by at most the tolerance and one run
-of equal keys. Fewer rows than shards leave shards empty; an empty table gives
+Equal keys stay together: a 2^24th of the rows of one text at most, by
+expectation, so shards differ by at most the tolerance and one long row or such a
+run. Which shard gets which of several equal rows is open. Fewer rows than shards leave shards empty; an empty table gives
 an empty result. Repeated rows get slots of their own; other columns of the
 input are not returned.
 """
@@ -29,13 +31,15 @@ KEY_BITS, STEP_BITS, ROW_BYTES = 63, 12, 16
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, key, size, text_crc32`` of every row."""
+    """``doc_id, key, ordinal, size, text_crc32`` of every row; to be written before it is used twice."""
     whole = F.coalesce(F.col(text), F.lit(""))
     high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(whole), 64 - 39), 24)
-    low = F.xxhash64(F.col(doc_id)).bitwiseAND(F.lit((1 << 24) - 1))
-    return docs.select(
+    numbered = docs.withColumn("__ordinal", F.monotonically_increasing_id())
+    low = F.xxhash64(F.col(doc_id), F.col("__ordinal")).bitwiseAND(F.lit((1 << 24) - 1))
+    return numbered.select(
         F.col(doc_id).alias("doc_id"),
         high.bitwiseOR(low).alias("key"),
+        F.col("__ordinal").alias("ordinal"),
         (F.octet_length(whole) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"),
     )
@@ -89,7 +93,7 @@ def shard(docs: DataFrame, n_shards: int = 40, rows_per_bucket: int = 50_000, do
     splitters = find_splitters(rows, n_shards)
     buckets = max(1, -(-rows.count() // (rows_per_bucket * n_shards)))
     dealt = rows.withColumns(
-        {"shard": _shard_of(F.col("key"), splitters), "bucket": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))}
+        {"shard": _shard_of(F.col("key"), splitters), "bucket": F.pmod(F.xxhash64("ordinal"), F.lit(buckets))}
     )
     counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select(
@@ -97,7 +101,7 @@ def shard(docs: DataFrame, n_shards: int = 40, rows_per_bucket: int = 50_000, do
         "bucket",
         (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("base"),
     )
-    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("key", "doc_id")))
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("key", "ordinal")))
     return ranked.join(before, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - 1).alias("slot")
     )
