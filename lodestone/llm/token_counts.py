@@ -12,6 +12,8 @@ code points, sorted and not overlapping; tokens outside of all spans are counted
 under the section name ``(rest)``.
 
 Defined results: a null or empty text has one section, empty, with no token.
+A null list of sections means the lines; null sections, and sections without a
+start or an end, are left out; without any left, all tokens are ``(rest)``.
 Repeated rows are counted one by one. Other columns of the input stay out.
 """
 
@@ -68,7 +70,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, sections: str | None = None,
                     ends = np.append(starts[1:], len(raw))
                     own = [None] * len(starts)
                 else:
-                    byte_at = np.searchsorted(chars, np.array([[s["start"], s["end"]] for s in given], np.int64).reshape(-1, 2))
+                    given = [s for s in given if s is not None and s["start"] is not None and s["end"] is not None]
+                    byte_at = np.searchsorted(chars, np.array([[s["start"], s["end"]] for s in given], np.int64).reshape(-1, 2), side="right") - 1
                     starts, ends = (byte_at[:, 0], byte_at[:, 1]) if len(given) else (np.array([0]), np.array([0]))
                     own = [s["name"] for s in given] or [None]
                 n, crossing = attribute(lengths, starts, ends)
