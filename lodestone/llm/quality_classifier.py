@@ -8,9 +8,10 @@ non-negative unbiased risk. Features are measured on whole texts: character
 classes, word shapes, repetition and line structure. Labels, ids, language and
 source are never inputs.
 
-Bounds: at most about ``sample_rows`` positives and twice as many unlabelled
-rows train the model, both picked by a hash of the id; only their features reach
-the driver. All rows are scored, in one scan without a shuffle.
+Bounds: about ``sample_rows`` positives and twice as many unlabelled rows train
+the model at most. Both are drawn from all rows by a hash of id and text against
+the rows' exact count, rows repeating both counting once, so their number exceeds
+that only by chance (by 5 % less than once in 10^10); only features reach the driver. All rows are scored, in one scan without a shuffle.
 
 Defined results: a null or empty text is scored by its (zero) features. Null
 ids or labels never train. Repeated rows are scored one by one. With no
@@ -87,6 +88,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased logistic risk of margins: of the positives, and of the rest, which must not fall below zero."""
+    rest = np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean()
+    return float(prior * np.logaddexp(0, -positive).mean()), float(rest)
+
+
+def slopes(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> np.ndarray:
+    """Slopes of the mean logistic loss of positives against unlabelled rows."""
+    p, u = 1 / (1 + np.exp(-positive)), 1 / (1 + np.exp(-unlabelled))
+    return np.concatenate([(p - 1) / len(p), u / len(u)])
+
+
+def risk_slopes(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """Slopes of the risk for the margins; where the rest has fallen below zero, those that raise it again."""
+    p, u = 1 / (1 + np.exp(-positive)), 1 / (1 + np.exp(-unlabelled))
+    rest = np.concatenate([-prior * p / len(p), u / len(u)])
+    if risk(positive, unlabelled, prior)[1] < 0:
+        return -rest
+    return rest + np.concatenate([prior * (p - 1) / len(p), np.zeros(len(u))])
+
+
 def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int, hidden: int, seed: int) -> Model:
     """Adam on the non-negative risk for ``prior``; on plain positive-against-unlabelled risk where it is None."""
     rng = np.random.default_rng(seed)
@@ -102,17 +124,7 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, st
         z = np.clip((np.concatenate([xp, xu]) - mean) / scale, -6, 6)
         h = np.tanh(z @ weights[0] + weights[1])
         g = np.clip(h @ weights[2] + weights[3][0], -30, 30)
-        p = 1 / (1 + np.exp(-g))
-        is_p = np.arange(2 * size) < size
-        if prior is None:
-            slope = np.where(is_p, p - 1, p) / size
-        else:
-            loss_negative = np.logaddexp(0, g)
-            rest = loss_negative[~is_p].mean() - prior * loss_negative[is_p].mean()
-            if rest >= 0:
-                slope = np.where(is_p, prior * (p - 1) - prior * p, p) / size
-            else:  # the negative part fell below zero: step back from it
-                slope = np.where(is_p, prior * p, -p) / size
+        slope = (slopes if prior is None else risk_slopes)(g[:size], g[size:], prior)
         back = slope[:, None] * weights[2] * (1 - h * h)
         steps_of = [z.T @ back + 1e-4 * weights[0], back.sum(0), h.T @ slope + 1e-4 * weights[2], np.array([slope.sum()])]
         for w, m, v, d in zip(weights, first, second, steps_of, strict=True):
@@ -149,31 +161,28 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _measured(rows: DataFrame) -> DataFrame:
-    """``positive, x`` for rows of ``positive, text``."""
+def _measured(rows: DataFrame) -> np.ndarray:
+    """Features of the rows of ``key, text``, each key once, in the order of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["positive", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["key", "x"])
 
-    return rows.mapInArrow(run, "positive boolean, x array<double>")
+    found = rows.mapInArrow(run, "key long, x array<double>").groupBy("key").agg(F.first("x").alias("x")).toArrow().sort_by("key")
+    return np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(features("")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Model | None:
     """A model from labelled positives and an unlabelled sample, held-out rows apart from both."""
-    bucket = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1 << 20))
-    share = lambda n, most: int(min(1.0, most / max(1, n)) * (1 << 20)) + 1
-    good = labels.where((F.col(quality) == 1) & F.col(doc_id).isNotNull() & ~is_held_out(F.col(doc_id)))
-    few = share(good.count(), sample_rows)
-    ids = good.where(bucket(F.col(doc_id), 1) < few).select(F.col(doc_id).alias("good_id")).distinct().limit(2 * sample_rows)
+    drawn = lambda rows, n, most: rows.where(F.pmod(F.col("key"), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30)))
+    good = labels.where((F.col(quality) == 1) & F.col(doc_id).isNotNull() & ~is_held_out(F.col(doc_id))).select(F.col(doc_id).alias("good_id")).distinct()
+    ids = drawn(good.withColumn("key", F.xxhash64(F.lit(3), "good_id")), good.count(), sample_rows)
     free = docs.where(F.col(doc_id).isNotNull() & ~is_held_out(F.col(doc_id))).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    some = share(docs.count(), 2 * sample_rows * 4 // 3)
-    positive = free.join(F.broadcast(ids), free["doc_id"] == ids["good_id"], "left_semi").select(F.lit(True).alias("positive"), "text")
-    unlabelled = free.where(bucket(F.col("doc_id"), 2) < some).select(F.lit(False).alias("positive"), "text")
-    rows = [_measured(part).limit(4 * sample_rows).toArrow().column("x").to_pylist() for part in (positive, unlabelled)]
-    width = len(features(""))
-    return train(*[np.array(r, np.float64).reshape(-1, width) for r in rows])
+    trusted = free.join(F.broadcast(ids), free["doc_id"] == ids["good_id"], "left_semi")  # about sample_rows ids at most
+    picked = lambda rows, seed: rows.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), "text")
+    positive = _measured(drawn(picked(trusted, 1), trusted.count(), sample_rows))
+    return train(positive, _measured(drawn(picked(free, 2), free.count(), 2 * sample_rows)))
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
