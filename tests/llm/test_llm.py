@@ -108,6 +108,29 @@ def test_splitters_are_near_equal(spark):
     assert len(held) == 40 and max(r["b"] for r in held) < 1.01 * min(r["b"] for r in held)
 
 
+@pytest.mark.parametrize("doc_id", ["1", "NULL", "id % 3"])
+def test_repeated_rows_are_spread_evenly(spark, doc_id):
+    """Half of the rows repeat one id and text (or have no id): every shard still gets its share, slots without gaps."""
+    rows = spark.range(800).selectExpr(f"if(id < 400, cast({doc_id} as bigint), id) AS doc_id", "if(id < 400, 'one text of some length', concat('text ', id)) AS text")
+    held = defaultdict(list)
+    for r in sharding.shard(rows, 8, rows_per_bucket=30).collect():
+        held[r["shard"]].append((r["size"], r["slot"]))
+    sizes = [sum(b for b, _ in rows) for rows in held.values()]
+    assert len(held) == 8 and max(sizes) - min(sizes) <= 2 * max(b for rows in held.values() for b, _ in rows)
+    assert all(sorted(n for _, n in rows) == list(range(len(rows))) for rows in held.values())
+
+
+def test_splitters_are_those_of_a_sort(spark):
+    rows = common.cut(sharding.sized(spark.range(3000).selectExpr("id AS doc_id", "repeat('x', cast(id % 97 as int)) AS text")))
+    ordered = sorted((r["key"], r["size"]) for r in rows.collect())
+    total, below, at = sum(b for _, b in ordered), 0, 0
+    for i, splitter in enumerate(sharding.find_splitters(rows, 12), 1):
+        while at < len(ordered) and ordered[at][0] < splitter:
+            below += ordered[at][1]
+            at += 1
+        assert abs(below - total * i / 12) <= max(b for _, b in ordered) + total / 12 * 0.001
+
+
 def plain_fingerprint(text):
     w = WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     shingles = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else ([" ".join(w)] if w else [])
@@ -311,6 +334,59 @@ def test_token_counts(spark, docs):
     assert sum(named.values()) == len(tokenizer.encode("head: body text").ids) and set(named) <= {"h", "b", "(rest)"}
 
 
+@pytest.mark.parametrize("kind", ["lines", "given"])
+def test_tokens_of_each_section(spark, kind):
+    """Counts and crossing tokens of every section against the library's own ids, byte by byte."""
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    width = {i: len(bpe._byte_of_char() and t) for t, i in tokenizer.get_vocab().items()}
+    rng, rows = random.Random(12), []
+    for i, t in plain_documents():
+        t = t or ""
+        spans, at = [], rng.randrange(3)
+        while at < len(t) and len(spans) < 9:
+            end = min(len(t), at + rng.randrange(1, 30))
+            spans.append((f"s{len(spans)}", at, end))
+            at = end + rng.choice([0, 0, 2])
+        rows.append((i, t, spans))
+    df = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<name:string,start:bigint,end:bigint>>")
+    got = defaultdict(list)
+    for r in token_counts.count_tokens(df, BYTE_BPE, sections="s" if kind == "given" else None).collect():
+        got[r["doc_id"]].append(r)
+    for i, t, spans in rows:
+        if "<|" in t:
+            continue
+        if kind == "lines":
+            lines, at = re.findall("[^\n]*\n|[^\n]+$", t) or [""], 0
+            spans = []
+            for line in lines:
+                spans.append((None, at, at + len(line)))
+                at += len(line)
+        of_byte = {}
+        for k, (_, a, b) in enumerate(spans):
+            for p in range(len(t[:a].encode()), len(t[:b].encode())):
+                of_byte[p] = k
+        n, crossing, at = Counter(), Counter(), 0
+        for token in tokenizer.encode(t, add_special_tokens=False).ids:
+            k = of_byte.get(at, "rest")
+            n[k] += 1
+            crossing[k] += k != "rest" and of_byte.get(at + width[token] - 1) != k
+            at += width[token]
+        assert at == len(t.encode())
+        for r in got[i]:
+            k = "rest" if r["name"] == "(rest)" else r["section"]
+            assert (r["n_tokens"], r["n_crossing"]) == (n[k], crossing[k] if k != "rest" else 0), (i, k)
+        assert sum(r["n_tokens"] for r in got[i]) == sum(n.values())
+
+
+def test_missing_sections(spark):
+    kind = "doc_id long, text string, s array<struct<name:string,start:bigint,end:bigint>>, n_tokens int"
+    rows = [(1, "some words here", [None, ("a", 0, 5), ("b", None, 9)], 1), (2, "two\nlines", None, 1), (3, "none left", [None], 1), (4, "", [], 1), (5, None, None, 1)]
+    got = defaultdict(dict)
+    for r in token_counts.count_tokens(spark.createDataFrame(rows, kind), BYTE_BPE, sections="s").collect():
+        got[r["doc_id"]][r["name"] or r["section"]] = r["n_tokens"]
+    assert set(got[1]) == {"a", "(rest)"} and set(got[2]) == {0, 1} and got[3]["(rest)"] > 0 and sum(got[4].values()) == sum(got[5].values()) == 0
+
+
 def test_attribution_gives_a_token_to_its_first_byte():
     n, crossing = token_counts.attribute(np.array([3, 3, 2]), np.array([0, 4]), np.array([4, 8]))
     assert n.tolist() == [2, 1, 0] and crossing.tolist() == [1, 0, 0]
@@ -380,6 +456,32 @@ def test_classifier(spark):
     assert quality_classifier.score(df, model, keep=True).columns == [*df.columns, "quality_score"]
 
 
+def test_risk_slopes_are_finite_differences():
+    rng = np.random.default_rng(3)
+    for prior, shift in ((0.4, 0.0), (0.9, 3.0), (0.9, -3.0)):
+        p, u = rng.normal(shift, 1, 7), rng.normal(0, 1, 9)
+        both, (good, rest) = np.concatenate([p, u]), quality_classifier.risk(p, u, prior)
+        value = lambda g: (lambda r: r[0] + r[1] if rest >= 0 else -r[1])(quality_classifier.risk(g[:7], g[7:], prior))  # noqa: B023, E731
+        slopes = quality_classifier.risk_slopes(p, u, prior)
+        for k in range(16):
+            step = np.zeros(16)
+            step[k] = 1e-5
+            assert abs((value(both + step) - value(both - step)) / 2e-5 - slopes[k]) < 1e-7
+    loss = lambda g: np.logaddexp(0, -g[:7]).mean() + np.logaddexp(0, g[7:]).mean()
+    step = np.zeros(16)
+    step[3] = 1e-5
+    assert abs((loss(both + step) - loss(both - step)) / 2e-5 - quality_classifier.slopes(p, u)[3]) < 1e-7
+
+
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    """Rows repeating one id, with one text or ever new ones, neither overflow the sample nor starve it."""
+    sizes = []
+    monkeypatch.setattr(quality_classifier, "train", lambda p, u: sizes.append((len(p), len(u))))
+    rows = spark.range(3000).selectExpr("if(id < 1000, 0, if(id < 2000, 1, id)) AS doc_id", "if(id < 1000, 'same text', concat('text ', id)) AS text", "1 AS quality", "'x' AS key")
+    quality_classifier.fit(rows, rows.select("doc_id", "quality"), sample_rows=100)
+    assert sizes[0][0] <= 150 and 60 <= sizes[0][1] <= 280
+
+
 def test_licenses(spark, docs):
     rows = spark.createDataFrame([(1, "text\nReleased under the MIT license!\nmore", 0.1), (2, "Licensed under CC BY 4.0", 0.2), (3, None, 0.3), (4, "the license is under review here", 0.4)], "doc_id long, text string, dice double")
     found = {(r["doc_id"], r["unit"], r["license"], r["dice"]) for r in license_scan.scan(rows).collect()}

@@ -21,8 +21,9 @@ def test_stages_keep_columns_and_take_effect(spark):
             kept = {r["doc_id"] for r in quality_rules.apply_policy(quality_rules.ledger(docs)).where("kept").collect()}
             assert {r["doc_id"] for r in out.collect()} == kept and len(kept) < docs.count()
         if name == "near_dedup":
-            first = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-            assert {r["doc_id"] for r in out.collect()} == first
+            rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+            label, _ = plain_groups([t for _, t in rows])
+            assert {r["doc_id"] for r in out.collect()} == {rows[k][0] for k in label}
         if name == "passage_dedup":
             assert out.agg(F.sum(F.octet_length("text"))).first()[0] < docs.agg(F.sum(F.octet_length("text"))).first()[0]
         docs = out.cache()
@@ -55,7 +56,10 @@ def planted(seed=1, bases=12, n_words=200):
 
 
 def plain_groups(texts):
-    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    sets = []
+    for t in texts:
+        words = (t or "").encode().translate(simhash._LOWER).split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
     label = list(range(len(texts)))
     pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     for _ in texts:
@@ -79,3 +83,29 @@ def test_near_dedup_tells_rows_by_text(spark):
     rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (None, "a b c d e f g"), (None, "o p q r s t u"), (None, "o p q r s t u"), (2, None), (3, "")]
     out = near_text.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in out) == [(0, "o p q r s t u"), (1, "a b c d e f g"), (1, "h i j k l m n"), (2, "")]
+
+
+def test_stages_leave_clashing_columns_and_repeated_ids_alone(spark):
+    """Columns named like measures come back untouched, and no unrelated text of a shared or missing id is lost."""
+    rng = random.Random(7)
+    words = "river stone walks slowly under the tall trees where small birds sing before evening comes again".split()
+    prose = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", "s", "."]) for _ in range(n))
+    texts = [prose(90) for _ in range(6)]
+    rows = [(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (6, texts[4]), (6, texts[4]), (7, texts[5]), (8, None), (9, "")]
+    rows = [(i, t, f"keep {k}", k, k / 7, True, f"s{k}", 3, k) for k, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, kept string, n_words int, quality_score double, failed_bits boolean, kept_sha256 string, N_BYTES int, __key int"
+    docs = spark.createDataFrame(rows, schema)
+    everything = {r[2]: tuple(r)[2:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        held = out.collect()
+        assert all(everything[r["kept"]] == tuple(r)[2:] for r in held), name
+        if name == "near_dedup":
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in held) == sorted({(i or 0, t or "") for i, t, *_ in rows if i != 9})
+        if name in ("quality_classifier", "passage_dedup"):
+            assert len(held) == len(rows) or name == "quality_classifier"
+        if name == "quality_rules":
+            assert {r["text"] for r in held} <= set(texts)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.rule_stage(spark, docs.where("false"), SF).count() == 0
