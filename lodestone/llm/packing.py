@@ -9,8 +9,10 @@
    the smallest gap that holds them; new bins are opened when none does. Equal
    lengths are treated together, so the plan is a short list of slot runs
    whatever the number of documents.
-3. Pieces are ranked within their length (within bounded buckets, raised by the
-   counts of the buckets before) and look their slot up by rank.
+3. A task numbers its own pieces of each length as it cuts them, in buckets of
+   ``rows_per_bucket``; raised by the counts of the buckets before, that is a
+   piece's rank, by which it looks its slot up. Nothing is sorted, and a frequent
+   length is spread over as many buckets as tasks.
 
 Defined results: a null or empty text packs as the single ``end_id``. Repeated
 rows are packed one by one. Other columns of the input stay out. An empty table
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -105,30 +108,37 @@ def _load(source: str) -> WordIds:
     return _LOADED[key]
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: every document's ids, cut only where longer than ``capacity``."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", rows_per_bucket: int = 50_000) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, bucket, nth``: every document's ids, cut only where longer than ``capacity``.
+
+    ``nth`` numbers the pieces of a length within a ``bucket`` of one task. To be written before it is used twice.
+    """
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _load(source.value)
         end = array("I", [end_id]).tobytes()
+        task, seen = TaskContext.get().partitionId() << 32, defaultdict(int)
         for batch in small_batches(batches, 2048):
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in range(7)]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = words.encode(t or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    length = len(part) // 4
+                    block, nth = divmod(seen[length], rows_per_bucket)
+                    seen[length] += 1
+                    for column, value in zip(rows, (i, k, at // 4, length, zlib.crc32(part), task | block, nth), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[2:]]],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "nth"],
             )
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bucket long, nth long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -195,17 +205,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", rows_per_bucket: int = 50_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
-    rows = cut(pieces(docs, vocabulary, capacity, end_id, doc_id, text))
-    buckets = max(1, -(-rows.count() // rows_per_bucket))
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    counts = cut(placed.groupBy("length", "bucket").agg(F.count("*").alias("n")))
+    rows = cut(pieces(docs, vocabulary, capacity, end_id, doc_id, text, rows_per_bucket))
+    counts = cut(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = np.array(plan(histogram, capacity), np.int64).reshape(-1, 6)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     slots = docs.sparkSession.sparkContext.broadcast(runs)  # bounded by the capacity, not by the rows
     before = counts.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("base"))
-    within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
-    ranked = placed.withColumn("rank", within).join(before, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("rank") - 1)
+    ranked = rows.join(before, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = slots.value
