@@ -8,11 +8,12 @@ times, so suffixes are bucketed and only buckets that stay mixed are refined:
 2. In each batch, every window of ``width`` bytes belongs to the smallest hash of
    the q-grams inside it, which depends on the window alone. Windows next to each
    other with the same smallest q-gram form a run. A run is sent on as two
-   hashes (its q-gram, its whole string) with the smallest id that holds it,
-   once a batch.
+   hashes (40 bits of its q-gram, 64 of its whole string) with the smallest id that
+   holds it, once a batch.
 3. All runs of a q-gram meet in one bucket. If they are one and the same string,
    the bucket is settled: its first document is known. Otherwise one batch is
-   asked for the string of each distinct run.
+   asked for the string of each distinct run. Questions and answers name a run by
+   its place among those its batch sent to the shard, which the batch finds again.
 4. In mixed buckets all suffixes of those strings get their initial q-gram
    buckets; sorting on the bucket identifiers of later offsets (8, 16, then 18
    bytes on) refines them, each round reusing the last round's identifiers,
@@ -23,7 +24,8 @@ times, so suffixes are bucketed and only buckets that stay mixed are refined:
 A q-gram with very many distinct runs (a frequent phrase between ever new
 neighbours) would make one bucket grow with the corpus. Such q-grams are found on
 a sample, and each of their windows is a run of its own, dealt by a hash of the
-whole window and told by two hashes of it, so it is settled without its string.
+whole window and told by two hashes of it (104 bits), so it is settled without its
+string. The sample decides only how work is dealt, not the result.
 
 A group of copies costs a row for each batch, not for each document, and no
 window string is sent for text that occurs once.
@@ -83,7 +85,7 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, width: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of all windows in joined texts that end at ``ends``: q-gram hash, string hash (40 bits each), first window, windows.
+    """Runs of all windows in joined texts that end at ``ends``: q-gram hash (40 bits), string hash (64), first window, windows.
 
     Windows of the q-grams in ``hot`` (sorted) are runs of their own, named by two hashes of the window.
     """
@@ -125,7 +127,7 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int, hot: np.ndarray | None
         size = np.minimum(most, total - nth * most)
     string = _mix(_mix(whole[first] + size.astype(np.uint64)) ^ whole[first + size - 1])
     name = np.where(frequent, _mix(whole[first] ^ np.uint64(_BASE)), least[first])
-    return name & LOW40, string & LOW40, first, size
+    return name & LOW40, string, first, size
 
 
 def _among(x: np.ndarray, chosen: np.ndarray | None) -> np.ndarray:
@@ -157,13 +159,13 @@ class Batch:
         self.table = pa.ipc.open_stream(blob).read_all()
         ids = self.table.column(doc_id).cast(pa.int64()).combine_chunks()
         self.ids = ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False)
-        raw = [t.encode() if t else b"" for t in self.table.column(text).to_pylist()]
-        self.sizes = np.array([len(r) for r in raw], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        raw = pa.concat_arrays([pa.array([], pa.large_binary()), *self.table.column(text).cast(pa.large_binary()).fill_null(b"").chunks])
+        offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset)
+        self.sizes, self.ends = np.diff(offsets), offsets[1:] - offsets[0]
+        self.data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         found, start, lower = [], 0, 0
         while start < len(raw):  # some texts at a time, to bound the working arrays
-            stop = max(start + 1, int(np.searchsorted(self.ends, lower + 400_000, side="right")))
+            stop = max(start + 1, int(np.searchsorted(self.ends, lower + 65_536, side="right")))
             upper = int(self.ends[stop - 1])
             gram, string, first, size = self._some(lower, upper, self.ends[start:stop] - lower, width)
             found.append((gram, string, first + lower, size))
@@ -184,13 +186,28 @@ class Batch:
                 out.append((gram, string, first + a, size))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def first_of_runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Order of runs by (q-gram, string, id) and the place of each distinct run's first in it."""
-        order = np.lexsort((self.ids[self.doc], self.string, self.gram))
+    def distinct(self, shards: int) -> None:
+        """Names the distinct runs: ``group`` of every run; ``chosen`` run, least id and place in ``by_shard`` of every group.
+
+        Groups lie by shard, within it in the order of documents: a run is known by shard and place there.
+        """
+        order = np.argsort(self.string, kind="stable")
         g, s = self.gram[order], self.string[order]
         new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
-        return order, np.flatnonzero(new)
+        new[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
+        at = np.flatnonzero(new)
+        chosen, least = order[at], np.minimum.reduceat(self.ids[self.doc[order]], at) if len(at) else np.zeros(0, np.int64)
+        shard = (self.gram[chosen] % np.uint64(shards)).astype(np.int64)
+        by_shard = np.lexsort((chosen, shard))
+        name = np.empty(len(at), np.int64)
+        name[by_shard] = np.arange(len(at))
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.repeat(name, np.diff(np.append(at, len(order))))
+        self.chosen, self.least, self.shard = chosen[by_shard], least[by_shard], shard[by_shard]
+
+    def places(self, shard: int, at: bytes) -> np.ndarray:
+        """Groups of the runs that a shard names by their places."""
+        return np.searchsorted(self.shard, shard) + np.frombuffer(at, "<i4")
 
 
 def _pack40(x: np.ndarray) -> bytes:
@@ -203,13 +220,8 @@ def _unpack40(raw: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def _key(gram: np.ndarray, string: np.ndarray) -> np.ndarray:
-    """One number for a run within a batch."""
-    return _mix(gram ^ _mix(string))
-
-
-_BLOCK = [("kind", pa.int32()), ("target", pa.int64()), ("gram", pa.binary()), ("string", pa.binary()), ("number", pa.binary()), ("body", pa.binary())]
-BLOCK = "kind int, target long, gram binary, string binary, number binary, body binary"
+_BLOCK = [("kind", pa.int32()), ("target", pa.int64()), ("shard", pa.int64()), ("place", pa.binary()), ("number", pa.binary()), ("body", pa.binary())]
+BLOCK = "kind int, target long, shard long, place binary, number binary, body binary"
 SETTLED, ASKED, PENDING, SPELT, REFINED = range(5)
 
 
@@ -231,30 +243,33 @@ def _settle(block: pa.Table) -> pa.Table:
     """Settles the buckets of one shard; asks for the strings of mixed ones."""
     grams = [_unpack40(x) for x in block.column("gram").to_pylist()]
     batch = np.repeat(np.array(block.column("batch").to_pylist(), np.int64), [len(g) for g in grams])
+    place = np.concatenate([np.arange(len(g), dtype="<i4") for g in grams])
     gram = np.concatenate(grams)
     del grams
-    string = np.concatenate([_unpack40(x) for x in block.column("string").to_pylist()])
+    string = np.concatenate([np.frombuffer(x, "<u8") for x in block.column("string").to_pylist()])
     number = np.concatenate([np.frombuffer(x, "<i8") for x in block.column("number").to_pylist()])
     shard = block.column("shard")[0].as_py()
     order = np.lexsort((number, string, gram))
-    gram, string, number, batch = gram[order], string[order], number[order], batch[order]
+    gram, string, number, batch, place = gram[order], string[order], number[order], batch[order], place[order]
     new_gram = np.ones(len(order), bool)
     new_gram[1:] = gram[1:] != gram[:-1]
     new_run = new_gram.copy()
     new_run[1:] |= string[1:] != string[:-1]
-    run = np.cumsum(new_run) - 1
+    run = (np.cumsum(new_run) - 1).astype("<i4")
     first = number[np.flatnonzero(new_run)][run]
     strings = np.bincount(np.cumsum(new_gram) - 1, new_run)[np.cumsum(new_gram) - 1]
     rows = []
-    told = (strings == 1) & (number > first)
-    for kind, chosen in ((SETTLED, told), (ASKED, (strings > 1) & new_run)):
-        at = np.flatnonzero(chosen)
-        for target, part in _by(batch[at]):
-            p = at[part]
-            rows.append((kind, target, _pack40(gram[p]), _pack40(string[p]), first[p].astype("<i8").tobytes(), np.array([shard], "<i8").tobytes()))
+    at = np.flatnonzero((strings == 1) & (number > first))
+    for target, part in _by(batch[at]):
+        p = at[part]
+        rows.append((SETTLED, target, shard, place[p].tobytes(), first[p].astype("<i8").tobytes(), b""))
+    at = np.flatnonzero((strings > 1) & new_run)
+    for target, part in _by(batch[at]):
+        p = at[part]
+        rows.append((ASKED, target, shard, place[p].tobytes(), first[p].astype("<i8").tobytes(), run[p].tobytes()))
     at = np.flatnonzero(strings > 1)
     if len(at):
-        rows.append((PENDING, shard, _pack40(gram[at]), _pack40(string[at]), batch[at].astype("<i8").tobytes(), b""))
+        rows.append((PENDING, shard, shard, place[at].tobytes(), batch[at].astype("<i8").tobytes(), run[at].tobytes()))
     return _table(rows)
 
 
@@ -282,8 +297,7 @@ def _refine_shard(width: int):
     def run(pending: pa.Table, spelt: pa.Table) -> pa.Table:
         if not pending.num_rows or not spelt.num_rows:
             return _table([])
-        gram = np.concatenate([_unpack40(x) for x in spelt.column("gram").to_pylist()])
-        string = np.concatenate([_unpack40(x) for x in spelt.column("string").to_pylist()])
+        named = np.concatenate([np.frombuffer(x, "<i4") for x in spelt.column("place").to_pylist()])
         meta = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in spelt.column("number").to_pylist()])
         text = np.frombuffer(b"".join(spelt.column("body").to_pylist()), np.uint8)
         first_doc, windows = meta[:, 0], meta[:, 1]
@@ -295,18 +309,18 @@ def _refine_shard(width: int):
         least = np.full(bucket.max() + 1, LAST_ID)
         np.minimum.at(least, bucket, np.repeat(first_doc, windows))
         answer = least[bucket]
-        key = _key(gram, string)
-        order = np.argsort(key)
-        shard_gram = np.concatenate([_unpack40(x) for x in pending.column("gram").to_pylist()])
-        shard_string = np.concatenate([_unpack40(x) for x in pending.column("string").to_pylist()])
+        spelt_at = np.full(named.max() + 1, -1)
+        spelt_at[named] = np.arange(len(named))
+        shard = pending.column("shard")[0].as_py()
+        place = np.concatenate([np.frombuffer(x, "<i4") for x in pending.column("place").to_pylist()])
         batch = np.concatenate([np.frombuffer(x, "<i8") for x in pending.column("number").to_pylist()])
-        at = order[np.searchsorted(key[order], _key(shard_gram, shard_string))]
+        at = spelt_at[np.concatenate([np.frombuffer(x, "<i4") for x in pending.column("body").to_pylist()])]
         rows = []
         for target, part in _by(batch):
             run_of = at[part]
             n = windows[run_of]
-            place = np.repeat(base[run_of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows.append((REFINED, target, _pack40(shard_gram[part]), _pack40(shard_string[part]), n.astype("<i8").tobytes(), answer[place].astype("<i8").tobytes()))
+            window = np.repeat(base[run_of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows.append((REFINED, target, shard, place[part].tobytes(), n.astype("<i8").tobytes(), answer[window].astype("<i8").tobytes()))
         return _table(rows)
 
     return run
@@ -365,13 +379,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
         for rows in batches:
             for number, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
                 b = Batch(blob.as_buffer(), doc_id, text, width, frequent.value)
-                order, at = b.first_of_runs()
-                chosen = np.sort(order[at])  # in the order of documents, so that ids pack well
-                shard = (b.gram[chosen] % np.uint64(shards)).astype(np.int64)
+                b.distinct(shards)
                 out: list[tuple] = []
-                for target, part in _by(shard):
-                    p = chosen[part]
-                    out.append((target, number, _pack40(b.gram[p]), _pack40(b.string[p]), b.ids[b.doc[p]].astype("<i8").tobytes()))
+                cuts = np.flatnonzero(np.diff(b.shard, prepend=-1, append=-1))
+                for lower, upper in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    p = b.chosen[lower:upper]
+                    out.append((int(b.shard[lower]), number, _pack40(b.gram[p]), b.string[p].astype("<u8").tobytes(), b.least[lower:upper].astype("<i8").tobytes()))
                 if out:
                     columns = list(zip(*out, strict=True))
                     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -385,16 +398,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
         if not left.num_rows or not right.num_rows:
             return _table([])
         b = Batch(left.column("blob")[0].as_buffer(), doc_id, text, width, frequent.value)
-        order, at = b.first_of_runs()
-        key = _key(b.gram[order[at]], b.string[order[at]])
-        by_key = np.argsort(key)
+        b.distinct(shards)
         rows = []
         for r in right.to_pylist():
-            gram, string = _unpack40(r["gram"]), _unpack40(r["string"])
-            run = order[at[by_key[np.searchsorted(key[by_key], _key(gram, string))]]]
+            run = b.chosen[b.places(r["shard"], r["place"])]
             body = b"".join([b.data[s:e].tobytes() for s, e in zip(b.first[run].tolist(), (b.first[run] + b.size[run] + width - 1).tolist(), strict=True)])
             meta = np.stack([np.frombuffer(r["number"], "<i8"), b.size[run]], axis=1)
-            rows.append((SPELT, int(np.frombuffer(r["body"], "<i8")[0]), r["gram"], r["string"], meta.astype("<i8").tobytes(), body))
+            rows.append((SPELT, r["shard"], r["shard"], r["body"], meta.astype("<i8").tobytes(), body))
         return _table(rows)
 
     asked = settled.where(F.col("kind") == ASKED).withColumnRenamed("target", "batch")
@@ -408,25 +418,21 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left.column("blob")[0].as_buffer(), doc_id, text, width, frequent.value)
-        order, at = b.first_of_runs()
-        group = np.zeros(len(order), np.int64)
-        group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
-        first = b.ids[b.doc[order[at]]].copy()  # by distinct run
-        key = _key(b.gram[order[at]], b.string[order[at]])
-        by_key = np.argsort(key)
+        b.distinct(shards)
+        group, first = b.group, b.least.copy()
         change = np.zeros(len(b.data) + 1, np.int32)
         own = b.ids[b.doc]
-        fine = np.full(len(at), -1, np.int64)
-        pool: list[np.ndarray] = []
+        fine = np.full(len(first), -1, np.int64)
+        pool, offset = [], 0
         for r in right.to_pylist():
-            place = by_key[np.searchsorted(key[by_key], _key(_unpack40(r["gram"]), _unpack40(r["string"])))]
+            place = b.places(r["shard"], r["place"])
             number = np.frombuffer(r["number"], "<i8")
             if r["kind"] == SETTLED:
                 first[place] = number
             else:
-                offset = sum(map(len, pool))
                 fine[place] = offset + np.cumsum(number) - number
                 pool.append(np.frombuffer(r["body"], "<i8"))
+                offset += len(pool[-1])
         gone = (first[group] < own) & (fine[group] < 0)
         np.add.at(change, b.first[gone], 1)
         np.add.at(change, b.first[gone] + b.size[gone] + width - 1, -1)
