@@ -1,13 +1,18 @@
 """Near-duplicate vectors of one label by product quantisation.
 
 1. Equal vectors of a label fold into one row with a count.
-2. A coarse quantiser and, for its residuals, one codebook a subspace are fitted
-   on a bounded sample (``sample_rows``, chosen by a hash of the id). Every
-   vector is indexed: its inverted list, its residual codes, and the length of
-   what the codes leave out.
-3. A vector probes, besides its own list, each later list whose bisecting plane
-   lies within the search radius. A neighbour in another list is always across
-   such a plane, so these probes lose no pair and every pair meets once.
+2. A coarse quantiser of two levels (top cells, then the lists inside of each) and,
+   for its residuals, one codebook a subspace are fitted on a bounded sample
+   (``sample_rows`` or eight rows a list, at most 131,072, drawn by a hash of the id),
+   for each vector length of the sample. Lists grow with the table, up to 16,384, so
+   that a list holds some 1000 rows. Every vector is indexed: its inverted list, its
+   residual codes, and the length of what the codes leave out.
+3. A vector probes, besides its own list, each later list it may have a neighbour in:
+   the planes that bisect the way there, between top cells and then between lists, lie
+   within ``reach``. With ``slack`` None that is the search radius, and no pair is lost. By
+   default it is at most 5 times the radius over the root of the length: a neighbour at
+   the radius in a random direction lies across a farther plane less than once in a
+   million. Every pair of lists is probed from one side only.
 4. The rows of a list and those that probe it are dealt into blocks, and every task
    gets one pair of blocks, so neither side grows with a list. Asymmetric distances are sums of looked
    up parts; a pair survives if that distance is within the radius plus the
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,39 +52,72 @@ def _k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
         own = _nearest(x, centres).argmin(1)
-        n = np.bincount(own, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+        order = np.argsort(own, kind="stable")
+        at = np.flatnonzero(np.diff(own[order], prepend=-1))
+        if len(at):
+            centres[own[order[at]]] = np.add.reduceat(x[order], at) / np.diff(np.append(at, len(x)))[:, None]
     return centres
 
 
+def _apart(centres: np.ndarray) -> np.ndarray:
+    square = (centres * centres).sum(1)
+    return np.sqrt(np.maximum(square[:, None] + square - 2 * (centres @ centres.T), 0))
+
+
+def _within(d: np.ndarray, best: np.ndarray, apart: np.ndarray, reach: float) -> np.ndarray:
+    """Which centres lie behind a plane within ``reach``, the plane between each and the best; ``d`` as of :func:`_nearest`."""
+    return d - d[np.arange(len(d)), best][:, None] <= 2 * apart[best] * reach + 1e-9
+
+
 class Index:
-    """Coarse centres and residual codebooks for unit vectors of one length."""
+    """Coarse centres on two levels and residual codebooks for unit vectors of one length."""
 
     def __init__(self, sample: np.ndarray, lists: int, parts: int = 16, codes: int = 256, seed: int = 1):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
-        self.centres = _k_means(sample, lists, 8, rng)
-        residual = sample - self.centres[_nearest(sample, self.centres).argmin(1)]
+        self.tops = _k_means(sample, math.ceil(math.sqrt(lists)), 8, rng)
+        own = _nearest(sample, self.tops).argmin(1)
+        within = [sample[own == t] if (own == t).any() else self.tops[t : t + 1] for t in range(len(self.tops))]
+        inner = [_k_means(x, max(1, round(lists * len(x) / len(sample))), 8, rng) for x in within]
+        self.starts = np.cumsum([0, *map(len, inner)])
+        self.centres = np.concatenate(inner)
+        self.apart, self.inner_apart = _apart(self.tops), [_apart(c) for c in inner]
+        some = sample[:20_000]
+        residual = some - self.centres[self.place(some, 0.0)[0]]
         self.cuts = [dim * i // min(parts, dim) for i in range(min(parts, dim) + 1)]
         self.books = [_k_means(residual[:, a:b], codes, 6, rng) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        gap = self.centres[:, None] - self.centres[None]
-        self.apart = np.sqrt((gap * gap).sum(-1))
 
-    def encode(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+    def place(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List of each unit vector, and as pairs (row, list) the later lists to probe."""
+        d = _nearest(x, self.tops)
+        top = d.argmin(1)
+        near = _within(d, top, self.apart, reach)
+        own, rows, lists = np.empty(len(x), np.int64), [], []
+        for t in range(len(self.tops)):
+            at = np.flatnonzero(near[:, t])
+            if len(at):
+                inside = _nearest(x[at], self.centres[self.starts[t] : self.starts[t + 1]])
+                best = inside.argmin(1)
+                mine = top[at] == t
+                own[at[mine]] = self.starts[t] + best[mine]
+                i, j = np.nonzero(_within(inside, best, self.inner_apart[t], reach))
+                rows.append(at[i])
+                lists.append(self.starts[t] + j)
+        rows, lists = np.concatenate(rows), np.concatenate(lists)
+        later = lists > own[rows]
+        return own, rows[later], lists[later]
+
+    def encode(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """List, codes, residual length and the later lists to probe of each unit vector."""
-        d = _nearest(x, self.centres)
-        own = d.argmin(1)
+        own, rows, lists = self.place(x, reach)
         rest = x - self.centres[own]
         codes = np.empty((len(x), len(self.books)), np.uint8)
         for p, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
             codes[:, p] = _nearest(rest[:, a:b], self.books[p]).argmin(1)
             rest[:, a:b] -= self.books[p][codes[:, p]]
-        margin = d - d[np.arange(len(x)), own][:, None]
-        reach = margin <= 2 * self.apart[own] * radius + 1e-9
-        reach &= np.arange(len(self.centres)) > own[:, None]
-        return own, codes, np.sqrt((rest * rest).sum(1)), [np.flatnonzero(r).tolist() for r in reach]
+        order = np.argsort(rows, kind="stable")
+        probes = np.split(lists[order], np.searchsorted(rows[order], np.arange(1, len(x))))
+        return own, codes, np.sqrt((rest * rest).sum(1)), probes
 
     def distances(self, x: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of unit vectors to coded vectors of one list."""
@@ -148,21 +187,21 @@ def _linker(index, radius: float, cosine: float):
 
 
 def fit(reps: DataFrame, n: int, sample_rows: int, lists: int, seed: int = 1) -> dict[int, Index]:
-    """An index for the commonest vector length of a sample of about ``sample_rows`` rows; {} for an empty table."""
+    """An index for each vector length of a sample of about ``sample_rows`` rows that has over 64 of them; {} for an empty table."""
     share = min(1.0, sample_rows / max(1, n))
-    chosen = reps.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = chosen.select("vec").limit(2 * sample_rows).toArrow().column("vec").to_pylist()
-    by_dim: dict[int, list] = {}
-    for v in rows:
-        by_dim.setdefault(len(v), []).append(v)
-    if not by_dim:
-        return {}
-    dim = max(by_dim, key=lambda d: len(by_dim[d]))
-    x = np.array(by_dim[dim], np.float64)
-    return {dim: Index(x / np.sqrt((x * x).sum(1))[:, None], lists, seed=seed)}
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = 20_000, block: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+    chosen = reps.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < int(share * (1 << 30)))  # ids are distinct
+    rows = chosen.select("rep", "vec").toArrow().sort_by("rep").column("vec").combine_chunks()
+    sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
+    found = {}
+    for dim in np.unique(sizes).tolist():
+        part = rows.filter(pa.array(sizes == dim))
+        if len(part) > 64:
+            x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            found[dim] = Index(x / np.sqrt((x * x).sum(1))[:, None], max(1, round(lists * len(part) / len(rows))), seed=seed)
+    return found
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = 20_000, block: int = 2048, slack: float | None = 5.0, list_rows: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id`` of every row."""
     radius = math.sqrt(2 - 2 * cosine)
     vec = F.col(embedding)
@@ -187,8 +226,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
         .agg(F.min("vec_id").alias("rep"), F.min_by("vec", "vec_id").alias("vec"), F.count_distinct("vec_id").alias("copies"))
     )
     n = reps.count()
-    lists = int(min(1024, max(8, math.sqrt(n) / 8)))
-    index = vectors.sparkSession.sparkContext.broadcast(fit(reps, n, sample_rows, lists))  # lists and codes of fixed size
+    lists = min(16_384, max(1, n // list_rows))
+    index = vectors.sparkSession.sparkContext.broadcast(fit(reps, n, max(sample_rows, 8 * lists), lists))  # at most 16,384 lists
+    reach = lambda dim: radius if slack is None else radius * min(1.0, slack / math.sqrt(dim))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,7 +237,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
                 model = index.value.get(dim)
                 if model is not None:
                     x = np.stack(part["vec"].to_list()).astype(np.float64)
-                    own, codes, left, probes = model.encode(x / np.sqrt((x * x).sum(1))[:, None], radius)
+                    own, codes, left, probes = model.encode(x / np.sqrt((x * x).sum(1))[:, None], reach(dim))
                     part = part.assign(list=own, codes=[c.tobytes() for c in codes], left=left, probes=probes)
                 yield part
 

@@ -417,6 +417,33 @@ def test_vectors(spark):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_of_ten_thousand_vectors(spark):
+    """Lists on two levels, default reach: links and components are those of brute force, also for a second length."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(400, 64))
+    x = np.concatenate([centres[rng.integers(0, 400, 7000)] + rng.normal(size=(7000, 64)) * rng.choice([0.1, 0.14, 0.2, 0.5], (7000, 1)), rng.normal(size=(3000, 64))]).astype(np.float32)
+    label = rng.integers(0, 3, len(x))
+    short = (centres[rng.integers(0, 40, 200), :24] + rng.normal(size=(200, 24)) * 0.1).astype(np.float32)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))] + [(20_000 + i, v.tolist(), 0) for i, v in enumerate(short)]
+    links, group = Counter(), {i: i for i, _, _ in rows}
+    edges = []
+    for ids, part, k in ((np.arange(len(x)), x, label), (20_000 + np.arange(200), short, np.zeros(200))):
+        unit = part.astype(np.float64)
+        unit /= np.sqrt((unit * unit).sum(1))[:, None]
+        for at in range(0, len(unit), 1000):
+            i, j = np.nonzero((unit[at : at + 1000] @ unit.T >= 0.98) & (k[at : at + 1000, None] == k))
+            edges += [(int(ids[a + at]), int(ids[b])) for a, b in zip(i, j, strict=True) if a + at != b]
+    for a, _ in edges:
+        links[a] += 1
+    for _ in range(20):
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    assert len(edges) > 5000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(df, 0.98, list_rows=128).collect()}
+    assert got == {i: (links[i], group[i]) for i, _, _ in rows}
+
+
 def test_vector_tasks_are_bounded(spark, monkeypatch):
     """200 near vectors of one list: no task gets more than some blocks' rows."""
     real = vector_dedup._linker
