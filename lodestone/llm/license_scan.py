@@ -1,36 +1,50 @@
 """License scan: normalised text against templates by Dice over word bigrams, in DataFrame functions only.
 
-A document's units are its lines, its paragraphs (parts between blank lines)
-and its whole text. A unit is normalised (lower case, everything but letters
-and digits to single blanks), and its distinct word bigrams are compared with
+A document's units are its lines, its paragraphs (parts between blank lines), its
+whole text, and its passages. A unit is normalised (lower case, everything but
+letters and digits to single blanks), and its distinct word bigrams are compared with
 those of each template: Dice = 2 |A and B| / (|A| + |B|). Two sets of sizes a
 and b can only reach a Dice of t if b lies between a t/(2-t) and a (2-t)/t;
 templates outside of these bounds are never compared. Before that, texts and
-units without any of the templates' marker words are dropped: a text near enough
-to a template must hold one of them.
+units without any of a template's marker words, or too short for it, are dropped: a
+text near enough to the template must hold one of them.
 
-Everything happens inside a row, so there is no shuffle and no skew.
+A passage is a stretch of the whole text that a template's bigrams mark: its telling
+bigrams (not of two common words) lie at most ``gap`` words apart from one to the next.
+So a header is found wherever it begins and ends, over wrapped lines, comment signs and
+blank lines and right before code. Stretches with fewer of the template's bigrams than
+the size bound asks for are dropped before they are measured.
+
+Units other than passages stay inside a row. Passages of the few texts with a marker
+meet the table of the templates' bigrams, which is of fixed size; only matching places
+are shuffled, by document.
 
 Defined results: null, empty and one-word units have no bigrams and match
-nothing. The best template of a unit wins; ties go to the first name in order.
-Repeated rows are scanned one by one. Other columns of the input stay out.
+nothing. The best template of a unit wins; ties go to the first name in order. Of
+passages that overlap, the one that shares the most bigrams with its template stays, then
+the one of the highest Dice, then the first name, then the first place. ``position`` counts units from 0, for passages words. Repeated rows are
+scanned one by one. Other columns of the input stay out.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Public license notices and texts to compare with, by identifier and form.
-TEMPLATES: dict[str, str] = {
+from lodestone.llm.common import cut
+
+#: Public license notices and headers to compare with, by identifier and form.
+NOTICES: dict[str, str] = {
     "Apache-2.0/header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause/text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause/notice": "Released under the BSD 3-Clause License.",
     "CC-BY-4.0/notice": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0/notice": "Licensed under CC BY-NC 4.0.",
@@ -38,11 +52,15 @@ TEMPLATES: dict[str, str] = {
     "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "GPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC/text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT/notice": "Released under the MIT License.",
-    "MIT/text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "AGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "GPL-2.0/header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "LGPL-2.1/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
 }
+#: The whole texts lie beside this module, one file each, as published.
+TEMPLATES = NOTICES | {f"{path.stem}/text": path.read_text(encoding="utf-8") for path in sorted(Path(__file__).with_name("licenses").glob("*.txt"))}
 
 
 #: Words too common to tell a license.
@@ -62,35 +80,114 @@ def marker_words(bigrams: list[str], threshold: float) -> set[str]:
     """Words of which every text within ``threshold`` of these bigrams holds at least one.
 
     Such a text shares at least n t/(2-t) of the n bigrams, so it holds one of
-    any set that leaves out fewer; few words cover such a set.
+    any set that leaves out fewer; few words cover such a set, rare (long) ones first.
     """
     need = len(bigrams) - math.ceil(len(bigrams) * threshold / (2 - threshold) - 1e-9) + 1
-    left, chosen = list(bigrams), set()
-    while len(bigrams) - len(left) < need:
-        weight = lambda w: sum(w in b.split() for b in left) * (0.01 if w in COMMON or len(w) < 2 else len(w))  # noqa: B023, E731  long words are rarer
-        words = sorted({w for b in left for w in b.split()}, key=lambda w: (-weight(w), w))
-        chosen.add(words[0])
-        left = [b for b in left if words[0] not in b.split()]
+    holding = defaultdict(set)
+    for b in bigrams:
+        for w in b.split():
+            holding[w].add(b)
+    weight = {w: 0.01 if w in COMMON or len(w) < 2 else len(w) for w in holding}
+    covered, chosen = set(), set()
+    while len(covered) < need:
+        best = min(holding, key=lambda w: (-len(holding[w] - covered) * weight[w], w))  # noqa: B023
+        chosen.add(best)
+        covered |= holding[best]
     return chosen
 
 
-def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def telling(bigrams: list[str]) -> list[str]:
+    """The bigrams that are not of two common words or letters; all of them if there is none."""
+    plain = lambda w: w in COMMON or (len(w) < 2 and not w.isdigit())
+    return [b for b in bigrams if not all(map(plain, b.split()))] or bigrams
+
+
+def least_shared(bigrams: list[str], threshold: float) -> int:
+    """How many distinct telling bigrams a text within ``threshold`` shares at least."""
+    return max(1, math.ceil(len(bigrams) * threshold / (2 - threshold) - 1e-9) - (len(bigrams) - len(telling(bigrams))))
+
+
+def least_bytes(bigrams: list[str], threshold: float) -> int:
+    """Bytes that a text within ``threshold`` has at least: each shared bigram begins at a word of its own."""
+    sizes = sorted(len(b.split()[0]) + 1 for b in bigrams)
+    return sum(sizes[: math.ceil(len(bigrams) * threshold / (2 - threshold) - 1e-9)])
+
+
+def _pairs(ws: Column) -> Column:
+    return F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1)))
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " "))
+
+
+def _passages(texts: DataFrame, sets: dict[str, list[str]], threshold: float, gap: int) -> DataFrame:
+    """``doc_id, unit, position, license, dice, n_bigrams`` of the passages of ``doc_id, plain``."""
+    spark = texts.sparkSession
+    held = cut(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(_plain(F.col("plain")), " ").alias("words")))
+    marks = spark.createDataFrame([(b, k) for k, bigrams in enumerate(sets.values()) for b in telling(bigrams)], "bigram string, k int")
+    rows = [(k, name, bigrams, least_shared(bigrams, threshold)) for k, (name, bigrams) in enumerate(sets.items())]
+    known = spark.createDataFrame(rows, "k int, license string, bigrams array<string>, need int")
+    placed = held.select("row", F.posexplode(_pairs(F.col("words"))).alias("at", "bigram")).join(F.broadcast(marks), "bigram")  # as many rows as the templates have bigrams
+    within = W.partitionBy("row", "k").orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(within) > gap, F.lit(False)).cast("int")
+    spans = (
+        placed.withColumn("apart", apart)
+        .withColumn("nth", F.sum("apart").over(within))
+        .groupBy("row", "k", "nth")
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count_distinct("bigram").alias("found"))
+        .join(F.broadcast(known), "k")  # a row a template
+        .where("found >= need")
+    )
+    own = F.array_distinct(_pairs(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 2)))
+    measured = (
+        spans.join(held, "row")
+        .withColumn("own", F.explode(F.array(own)))
+        .withColumn("shared", F.size(F.array_intersect("own", "bigrams")))
+        .withColumn("dice", F.lit(2.0) * F.col("shared") / (F.size("own") + F.size("bigrams")))
+        .where(F.col("dice") >= threshold)
+    )
+    span = F.struct("first", "last", "license", "shared", "dice", F.size("own").alias("n_bigrams"))
+
+    def beaten(x: Column, every: Column) -> Column:
+        def wins(y: Column) -> Column:
+            order = lambda z: F.struct(-z["shared"], -z["dice"], z["license"], z["first"])
+            return (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & (order(y) < order(x))
+
+        return F.exists(every, wins)
+
+    grouped = measured.groupBy("row", "doc_id").agg(F.collect_list(span).alias("s"))  # some spans of one text
+    return grouped.select("doc_id", F.explode(F.filter("s", lambda x: ~beaten(x, F.col("s")))).alias("s")).select(
+        "doc_id", F.lit("passage").alias("unit"), F.col("s.first").alias("position"), "s.license", "s.dice", "s.n_bigrams"
+    )
+
+
+def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", gap: int = 6) -> DataFrame:
     """``doc_id, unit, position, license, dice, n_bigrams`` of every unit that reaches ``threshold``."""
     sets = template_bigrams(templates)
     names = list(sets)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    markers = sorted(set().union(*[marker_words(b, threshold) for b in sets.values()]))
-    holds = lambda c, pad: reduce(or_, [F.contains(c, F.lit(pad + m + pad)) for m in markers])
+    asked: dict[int, set[str]] = defaultdict(set)  # shortest length in bytes to the markers of templates that need it
+    for bigrams in sets.values():
+        asked[least_bytes(bigrams, threshold) // 250 * 250] |= marker_words(bigrams, threshold)
+    seen: set[str] = set()
+    for shortest in sorted(asked):  # a marker that shorter texts are tested for is not tested again
+        asked[shortest] -= seen
+        seen |= asked[shortest]
+
+    def holds(c: Column, pad: str) -> Column:
+        some = [(n, reduce(or_, [F.contains(c, F.lit(pad + m + pad)) for m in sorted(words)])) for n, words in sorted(asked.items()) if words]
+        return reduce(or_, [found if not n else (F.octet_length(c) >= n) & found for n, found in some])
+
     marked = lambda c, pad="": F.transform(F.array(c), lambda x: holds(x, pad))[0]  # noqa: E731  ``c`` is computed once
 
     def units(kind: str, parts: Column) -> Column:
         return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("position"), x.alias("part")))
 
     whole = F.col("plain")
+    texts = cut(docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("plain")).where(marked(whole)))
     found = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("plain"))
-        .where(marked(whole))
-        .select(
+        texts.select(
             "doc_id",
             F.explode(
                 F.concat(
@@ -103,19 +200,14 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
         .where(marked(F.col("u.part")))
     )
     # Generators keep later filters from computing what stands before them anew.
-    plain = F.trim(F.regexp_replace("u.part", "[^\\p{L}\\p{N}]+", " "))
-    found = found.withColumn("plain", F.explode(F.array(plain))).where(marked(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), " "))
+    found = found.withColumn("plain", F.explode(F.array(_plain(F.col("u.part"))))).where(marked(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), " "))
     words = F.split("plain", " ")
 
-    def pairs(ws: Column) -> Column:
-        made = F.transform(F.slice(ws, 1, F.size(ws) - 1), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1)))
-        return F.when(F.size(ws) > 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
-
     def best(own: Column) -> Column:
         def dice(k: int) -> Column:
             bigrams = sets[names[k]]
             n, size = len(bigrams), F.size(own)
-            shared = F.size(F.array_intersect(own, F.array(*[F.lit(b) for b in bigrams])))
+            shared = F.size(F.array_intersect(own, F.split(F.lit("\n".join(bigrams)), "\n")))
             inside = (size >= n * low - 1e-9) & (size <= n * high + 1e-9)
             value = F.when(inside, F.lit(2.0) * shared / (size + F.lit(n))).otherwise(F.lit(0.0))
             return F.struct(value.alias("dice"), F.lit(-k).alias("place"), size.alias("n_bigrams"))
@@ -123,8 +215,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
         return F.array_max(F.array(*[dice(k) for k in range(len(names))]))
 
     let = lambda value, use: F.transform(F.array(value), use)[0]
-    held = found.withColumn("best", F.explode(F.array(let(let(words, pairs), best))))
-    return held.where(F.col("best.dice") >= threshold).select(
+    held = found.withColumn("best", F.explode(F.array(let(let(words, lambda ws: F.array_distinct(_pairs(ws))), best))))
+    inside = held.where(F.col("best.dice") >= threshold).select(
         "doc_id",
         "u.unit",
         "u.position",
@@ -132,31 +224,55 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
         "best.dice",
         "best.n_bigrams",
     )
+    return inside.unionByName(_passages(texts, sets, threshold, gap))
 
 
-def scan_sql(threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> str:
+def scan_sql(threshold: float = 0.8, templates: dict[str, str] = TEMPLATES, gap: int = 6) -> str:
     """The same scan of table ``documents`` as DuckDB SQL."""
-    rows = ", ".join(
-        "('{}', [{}])".format(name, ", ".join(f"'{b}'" for b in bigrams)) for name, bigrams in template_bigrams(templates).items()
-    )
+    sets = template_bigrams(templates)
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = ", ".join(f"('{name}', {listed(b)}, {listed(telling(b))}, {least_shared(b, threshold)})" for name, b in sets.items())
+    words = "string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
     return f"""
-WITH templates(license, bigrams) AS (VALUES {rows}),
+WITH templates(license, bigrams, telling, need) AS (VALUES {rows}),
 parts AS (
   SELECT doc_id, 'line' AS unit, string_split(coalesce(text, ''), chr(10)) AS p FROM documents
   UNION ALL SELECT doc_id, 'paragraph', regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n') FROM documents
   UNION ALL SELECT doc_id, 'text', [coalesce(text, '')] FROM documents),
 units AS (SELECT doc_id, unit, unnest(range(len(p))) AS position, unnest(p) AS part FROM parts),
-words AS (
-  SELECT doc_id, unit, position,
-         string_split(trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
+words AS (SELECT doc_id, unit, position, {words.format('part')} AS w FROM units),
 pairs AS (
   SELECT doc_id, unit, position, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM words WHERE len(w) > 1),
 scored AS (
   SELECT doc_id, unit, position, license, len(b) AS n_bigrams,
          2.0::double * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice
-  FROM pairs JOIN templates ON true)
-SELECT doc_id, unit, position::integer AS position, license, dice, n_bigrams::integer AS n_bigrams
-FROM scored WHERE dice >= {threshold}
-QUALIFY row_number() OVER (PARTITION BY doc_id, unit, position ORDER BY dice DESC, license) = 1
+  FROM pairs JOIN templates
+    ON len(b) >= len(bigrams) * {threshold / (2 - threshold)} - 1e-9 AND len(b) <= len(bigrams) * {(2 - threshold) / threshold} + 1e-9),
+whole AS (SELECT row_number() OVER () AS row, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+places AS (
+  SELECT row, unnest(range(1, len(w))) AS spot, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM whole),
+marks AS (SELECT license, unnest(telling) AS b FROM templates),
+hits AS (
+  SELECT row, license, spot, b, CASE WHEN spot - lag(spot) OVER (PARTITION BY row, license ORDER BY spot) > {gap} THEN 1 ELSE 0 END AS apart
+  FROM places JOIN marks USING (b)),
+stretches AS (SELECT *, sum(apart) OVER (PARTITION BY row, license ORDER BY spot) AS nth FROM hits),
+spans AS (
+  SELECT row, license, min(spot) AS lo, max(spot) AS hi FROM stretches JOIN templates USING (license)
+  GROUP BY row, license, nth, need HAVING count(DISTINCT b) >= need),
+measured AS (
+  SELECT row, doc_id, license, lo, hi, bigrams, list_distinct(list_transform(range(lo, hi + 1), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM spans JOIN whole USING (row) JOIN templates USING (license)),
+near AS (
+  SELECT row, doc_id, license, lo, hi, len(b) AS n_bigrams, len(list_intersect(b, bigrams)) AS shared,
+         2.0::double * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice FROM measured),
+passages AS (
+  SELECT * FROM near x WHERE dice >= {threshold} AND NOT EXISTS (
+    SELECT 1 FROM near y WHERE y.row = x.row AND y.lo <= x.hi AND x.lo <= y.hi AND y.dice >= {threshold}
+      AND (-y.shared, -y.dice, y.license, y.lo) < (-x.shared, -x.dice, x.license, x.lo)))
+(SELECT doc_id, unit, position::integer AS position, license, dice, n_bigrams::integer AS n_bigrams
+ FROM scored WHERE dice >= {threshold}
+ QUALIFY row_number() OVER (PARTITION BY doc_id, unit, position ORDER BY dice DESC, license) = 1)
+UNION ALL
+SELECT doc_id, 'passage', (lo - 1)::integer, license, dice, n_bigrams::integer FROM passages
 """

@@ -513,12 +513,41 @@ def test_licenses(spark, docs):
     rows = spark.createDataFrame([(1, "text\nReleased under the MIT license!\nmore", 0.1), (2, "Licensed under CC BY 4.0", 0.2), (3, None, 0.3), (4, "the license is under review here", 0.4)], "doc_id long, text string, dice double")
     found = {(r["doc_id"], r["unit"], r["license"], r["dice"]) for r in license_scan.scan(rows).collect()}
     near = {(1, unit, "MIT/notice", 0.8) for unit in ("paragraph", "text")}  # 4 of 6 bigrams against 4
+    near |= {(1, "passage", "MIT/notice", 1.0), (2, "passage", "CC-BY-4.0/notice", 1.0)}
     assert found == near | {(1, "line", "MIT/notice", 1.0), (2, "line", "CC-BY-4.0/notice", 1.0), (2, "paragraph", "CC-BY-4.0/notice", 1.0), (2, "text", "CC-BY-4.0/notice", 1.0)}
     assert license_scan.scan(empty(spark)).count() == 0
     sets = license_scan.template_bigrams(license_scan.TEMPLATES)
     rng = random.Random(1)
     for bigrams in sets.values():  # whatever 2/3 of a template is kept, a marker word is in it
         need = -(-len(bigrams) * 2 // 3)
+        markers, least = license_scan.marker_words(bigrams, 0.8), license_scan.least_bytes(bigrams, 0.8)
         for _ in range(50):
             kept = " ".join(rng.sample(bigrams, need))
-            assert set(kept.split()) & license_scan.marker_words(bigrams, 0.8)
+            assert set(kept.split()) & markers and len(kept) >= least
+            assert len(set(license_scan.telling(bigrams)) & {b for b in bigrams if b in kept}) >= license_scan.least_shared(bigrams, 0.8)
+
+
+def test_headers_inside_of_files_are_found(spark):
+    """Wrapped and commented headers of several paragraphs right before code, and whole texts within longer ones."""
+    wrap = lambda t, lead: "\n".join(lead + " ".join(w) for w in (t.split()[k : k + 11] for k in range(0, len(t.split()), 11)))
+    code = "\n".join(f"def step_{k}(value): return value * {k} + offset[{k}]" for k in range(60))
+    templates = license_scan.TEMPLATES
+    apache, gpl, bsd = templates["Apache-2.0/header"], templates["GPL-3.0/header"], templates["BSD-3-Clause/text"]
+    cut_at = gpl.index("This program is distributed")
+    rows = [
+        (1, wrap(apache, "# ") + "\n" + code),
+        (2, "/*\n" + wrap(gpl[:cut_at], " * ") + "\n *\n" + wrap(gpl[cut_at:], " * ") + "\n */\n" + code),
+        (3, code + "\n" + "\n".join("// " + x for x in bsd.split("\n")) + "\n" + code),
+        (4, "Copyright (c) 2020 A. Writer\n\n" + templates["MIT/text"] + code),
+        (5, code + templates["GPL-3.0/text"] + code),
+        (6, code),
+        (7, " ".join(w for k, w in enumerate(apache.split()) if k % 2)),
+        (8, templates["Apache-2.0/text"].replace("Contribution", "Submission")),
+    ]
+    found = defaultdict(dict)
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r["unit"] == "passage":
+            found[r["doc_id"]][r["license"]] = r["dice"]
+    assert found[1] == {"Apache-2.0/header": 1.0} and found[2] == {"GPL-3.0/header": 1.0} and set(found[3]) == {"BSD-3-Clause/text"}
+    assert set(found[4]) == {"MIT/text"} and found[4]["MIT/text"] > 0.98 and "GPL-3.0/text" in found[5] and 6 not in found and 7 not in found
+    assert set(found[8]) == {"Apache-2.0/text"}
