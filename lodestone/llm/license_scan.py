@@ -5,19 +5,18 @@ whole text, and its passages. A unit is normalised (lower case, everything but
 letters and digits to single blanks), and its distinct word bigrams are compared with
 those of each template: Dice = 2 |A and B| / (|A| + |B|). Two sets of sizes a
 and b can only reach a Dice of t if b lies between a t/(2-t) and a (2-t)/t;
-templates outside of these bounds are never compared. Before that, texts and
-units without any of a template's marker words, or too short for it, are dropped: a
-text near enough to the template must hold one of them.
+templates outside of these bounds are never compared. Before that, one scan looks for
+the templates' telling bigrams (not of two common words) in whole texts: a text with
+fewer distinct ones of a template than the size bound asks for has no unit near it.
 
-A passage is a stretch of the whole text that a template's bigrams mark: its telling
-bigrams (not of two common words) lie at most ``gap`` words apart from one to the next.
-So a header is found wherever it begins and ends, over wrapped lines, comment signs and
-blank lines and right before code. Stretches with fewer of the template's bigrams than
-the size bound asks for are dropped before they are measured.
+A passage is a stretch of the whole text that a template's telling bigrams mark: they
+lie at most ``gap`` words apart from one to the next. So a header is found wherever it
+begins and ends, over wrapped lines, comment signs and blank lines and right before
+code. Stretches with too few of the template's bigrams are dropped before they are
+measured.
 
-Units other than passages stay inside a row. Passages of the few texts with a marker
-meet the table of the templates' bigrams, which is of fixed size; only matching places
-are shuffled, by document.
+Only places of telling bigrams are shuffled, by text and template. The texts found that
+way are read again, by a key (hash of id and text); all else stays inside a row.
 
 Defined results: null, empty and one-word units have no bigrams and match
 nothing. The best template of a unit wins; ties go to the first name in order. Of
@@ -30,9 +29,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
-from functools import reduce
-from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -76,26 +72,6 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     return out
 
 
-def marker_words(bigrams: list[str], threshold: float) -> set[str]:
-    """Words of which every text within ``threshold`` of these bigrams holds at least one.
-
-    Such a text shares at least n t/(2-t) of the n bigrams, so it holds one of
-    any set that leaves out fewer; few words cover such a set, rare (long) ones first.
-    """
-    need = len(bigrams) - math.ceil(len(bigrams) * threshold / (2 - threshold) - 1e-9) + 1
-    holding = defaultdict(set)
-    for b in bigrams:
-        for w in b.split():
-            holding[w].add(b)
-    weight = {w: 0.01 if w in COMMON or len(w) < 2 else len(w) for w in holding}
-    covered, chosen = set(), set()
-    while len(covered) < need:
-        best = min(holding, key=lambda w: (-len(holding[w] - covered) * weight[w], w))  # noqa: B023
-        chosen.add(best)
-        covered |= holding[best]
-    return chosen
-
-
 def telling(bigrams: list[str]) -> list[str]:
     """The bigrams that are not of two common words or letters; all of them if there is none."""
     plain = lambda w: w in COMMON or (len(w) < 2 and not w.isdigit())
@@ -107,58 +83,48 @@ def least_shared(bigrams: list[str], threshold: float) -> int:
     return max(1, math.ceil(len(bigrams) * threshold / (2 - threshold) - 1e-9) - (len(bigrams) - len(telling(bigrams))))
 
 
-def least_bytes(bigrams: list[str], threshold: float) -> int:
-    """Bytes that a text within ``threshold`` has at least: each shared bigram begins at a word of its own."""
-    sizes = sorted(len(b.split()[0]) + 1 for b in bigrams)
-    return sum(sizes[: math.ceil(len(bigrams) * threshold / (2 - threshold) - 1e-9)])
-
-
 def _pairs(ws: Column) -> Column:
     return F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1)))
 
 
 def _plain(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^\\p{L}\\p{N}]+", " "))
+
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column behind a generator, so that later filters do not compute it anew."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
-def _passages(texts: DataFrame, sets: dict[str, list[str]], threshold: float, gap: int) -> DataFrame:
-    """``doc_id, unit, position, license, dice, n_bigrams`` of the passages of ``doc_id, plain``."""
+
+def _hits(texts: DataFrame, sets: dict[str, list[str]], threshold: float) -> DataFrame:
+    """``key, k, at, bigram``: places of the telling bigrams of template ``k``, where a text has enough of them."""
     spark = texts.sparkSession
-    held = cut(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(_plain(F.col("plain")), " ").alias("words")))
-    marks = spark.createDataFrame([(b, k) for k, bigrams in enumerate(sets.values()) for b in telling(bigrams)], "bigram string, k int")
-    rows = [(k, name, bigrams, least_shared(bigrams, threshold)) for k, (name, bigrams) in enumerate(sets.items())]
-    known = spark.createDataFrame(rows, "k int, license string, bigrams array<string>, need int")
-    placed = held.select("row", F.posexplode(_pairs(F.col("words"))).alias("at", "bigram")).join(F.broadcast(marks), "bigram")  # as many rows as the templates have bigrams
-    within = W.partitionBy("row", "k").orderBy("at")
+    pairs = "\n".join(f"{b}|{k}" for k, bigrams in enumerate(sets.values()) for b in telling(bigrams))
+    pair = F.split(F.explode(F.split(F.lit(pairs), "\n")), "\\|")
+    marks = spark.range(1).select(pair.alias("p")).select(F.col("p")[0].alias("bigram"), F.col("p")[1].cast("int").alias("k"))
+    needs = {k: least_shared(bigrams, threshold) for k, bigrams in enumerate(sets.values())}
+    wanted = ", ".join(f"'{b}'" for b in sorted({b for bigrams in sets.values() for b in telling(bigrams)}))
+    made = "transform(slice(words, 1, greatest(size(words) - 1, 0)), (w, i) -> struct(i AS at, concat_ws(' ', w, get(words, i + 1)) AS bigram))"
+    found = _once(texts.select("key", F.split(_plain(F.col("text")), " ").alias("words")), "places", F.expr(f"filter({made}, x -> x.bigram IN ({wanted}))"))
+    placed = found.where(F.size("places") >= min(needs.values())).select("key", F.explode("places").alias("p")).select("key", "p.at", "p.bigram")
+    placed = placed.join(F.broadcast(marks), "bigram").distinct()  # as many rows as the templates have bigrams
+    enough = placed.groupBy("key", "k").agg(F.collect_list(F.struct("at", "bigram")).alias("places"))  # a text's own places
+    need = F.element_at(F.array(*[F.lit(n) for _, n in sorted(needs.items())]), F.col("k") + 1)
+    return enough.where(F.size(F.array_distinct("places.bigram")) >= need).withColumn("need", need)
+
+
+def _spans(hits: DataFrame, gap: int) -> DataFrame:
+    """``key, k, first, last``: stretches of places at most ``gap`` words apart with enough distinct bigrams."""
+    single = hits.select("key", "k", "need", F.explode("places").alias("p")).select("key", "k", "need", "p.at", "p.bigram")
+    within = W.partitionBy("key", "k").orderBy("at")
     apart = F.coalesce(F.col("at") - F.lag("at").over(within) > gap, F.lit(False)).cast("int")
-    spans = (
-        placed.withColumn("apart", apart)
-        .withColumn("nth", F.sum("apart").over(within))
-        .groupBy("row", "k", "nth")
+    numbered = single.withColumn("apart", apart).withColumn("nth", F.sum("apart").over(within))
+    return (
+        numbered.groupBy("key", "k", "need", "nth")
         .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count_distinct("bigram").alias("found"))
-        .join(F.broadcast(known), "k")  # a row a template
         .where("found >= need")
-    )
-    own = F.array_distinct(_pairs(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 2)))
-    measured = (
-        spans.join(held, "row")
-        .withColumn("own", F.explode(F.array(own)))
-        .withColumn("shared", F.size(F.array_intersect("own", "bigrams")))
-        .withColumn("dice", F.lit(2.0) * F.col("shared") / (F.size("own") + F.size("bigrams")))
-        .where(F.col("dice") >= threshold)
-    )
-    span = F.struct("first", "last", "license", "shared", "dice", F.size("own").alias("n_bigrams"))
-
-    def beaten(x: Column, every: Column) -> Column:
-        def wins(y: Column) -> Column:
-            order = lambda z: F.struct(-z["shared"], -z["dice"], z["license"], z["first"])
-            return (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & (order(y) < order(x))
-
-        return F.exists(every, wins)
-
-    grouped = measured.groupBy("row", "doc_id").agg(F.collect_list(span).alias("s"))  # some spans of one text
-    return grouped.select("doc_id", F.explode(F.filter("s", lambda x: ~beaten(x, F.col("s")))).alias("s")).select(
-        "doc_id", F.lit("passage").alias("unit"), F.col("s.first").alias("position"), "s.license", "s.dice", "s.n_bigrams"
+        .groupBy("key")
+        .agg(F.collect_list(F.struct("first", "last", "k")).alias("spans"))  # some spans of one text
     )
 
 
@@ -167,64 +133,49 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
     sets = template_bigrams(templates)
     names = list(sets)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    asked: dict[int, set[str]] = defaultdict(set)  # shortest length in bytes to the markers of templates that need it
-    for bigrams in sets.values():
-        asked[least_bytes(bigrams, threshold) // 250 * 250] |= marker_words(bigrams, threshold)
-    seen: set[str] = set()
-    for shortest in sorted(asked):  # a marker that shorter texts are tested for is not tested again
-        asked[shortest] -= seen
-        seen |= asked[shortest]
-
-    def holds(c: Column, pad: str) -> Column:
-        some = [(n, reduce(or_, [F.contains(c, F.lit(pad + m + pad)) for m in sorted(words)])) for n, words in sorted(asked.items()) if words]
-        return reduce(or_, [found if not n else (F.octet_length(c) >= n) & found for n, found in some])
-
-    marked = lambda c, pad="": F.transform(F.array(c), lambda x: holds(x, pad))[0]  # noqa: E731  ``c`` is computed once
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    hits = cut(_hits(texts, sets, threshold))
+    near = cut(hits.select("key").distinct().join(_spans(hits, gap), "key", "left"))
+    held = texts.join(near, "key")
+    literal = lambda k: F.split(F.lit("\n".join(sets[names[k]])), "\n")
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  ``value`` is computed once
+    name_of = lambda k: F.element_at(F.array(*[F.lit(n) for n in names]), k + 1)
+
+    def dice(own: Column, k: int) -> Column:
+        n, size = len(sets[names[k]]), F.size(own)
+        shared = F.size(F.array_intersect(own, literal(k)))
+        inside = (size >= n * low - 1e-9) & (size <= n * high + 1e-9)
+        return F.struct(F.when(inside, F.lit(2.0) * shared / (size + F.lit(n))).otherwise(F.lit(0.0)).alias("dice"), F.lit(-k).alias("place"), size.alias("n_bigrams"), shared.alias("shared"))
 
     def units(kind: str, parts: Column) -> Column:
         return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("position"), x.alias("part")))
 
-    whole = F.col("plain")
-    texts = cut(docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("plain")).where(marked(whole)))
-    found = (
-        texts.select(
-            "doc_id",
-            F.explode(
-                F.concat(
-                    units("line", F.split(whole, "\n")),
-                    units("paragraph", F.split(whole, "\n[ \t]*\n")),
-                    units("text", F.array(whole)),
-                )
-            ).alias("u"),
-        )
-        .where(marked(F.col("u.part")))
-    )
-    # Generators keep later filters from computing what stands before them anew.
-    found = found.withColumn("plain", F.explode(F.array(_plain(F.col("u.part"))))).where(marked(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), " "))
-    words = F.split("plain", " ")
-
-    def best(own: Column) -> Column:
-        def dice(k: int) -> Column:
-            bigrams = sets[names[k]]
-            n, size = len(bigrams), F.size(own)
-            shared = F.size(F.array_intersect(own, F.split(F.lit("\n".join(bigrams)), "\n")))
-            inside = (size >= n * low - 1e-9) & (size <= n * high + 1e-9)
-            value = F.when(inside, F.lit(2.0) * shared / (size + F.lit(n))).otherwise(F.lit(0.0))
-            return F.struct(value.alias("dice"), F.lit(-k).alias("place"), size.alias("n_bigrams"))
-
-        return F.array_max(F.array(*[dice(k) for k in range(len(names))]))
-
-    let = lambda value, use: F.transform(F.array(value), use)[0]
-    held = found.withColumn("best", F.explode(F.array(let(let(words, lambda ws: F.array_distinct(_pairs(ws))), best))))
-    inside = held.where(F.col("best.dice") >= threshold).select(
-        "doc_id",
-        "u.unit",
-        "u.position",
-        F.element_at(F.array(*[F.lit(n) for n in names]), 1 - F.col("best.place")).alias("license"),
-        "best.dice",
-        "best.n_bigrams",
-    )
-    return inside.unionByName(_passages(texts, sets, threshold, gap))
+    whole = F.coalesce("text", F.lit(""))
+    every = F.concat(units("line", F.split(whole, "\n")), units("paragraph", F.split(whole, "\n[ \t]*\n")), units("text", F.array(whole)))
+    words = lambda c: F.split(_plain(c), " ")
+    of_units = held.select("doc_id", F.explode(every).alias("u"))
+    best = let(let(words(F.col("u.part")), lambda ws: F.array_distinct(_pairs(ws))), lambda own: F.array_max(F.array(*[dice(own, k) for k in range(len(names))])))
+    inside = _once(of_units, "best", best).where(F.col("best.dice") >= threshold)
+    inside = inside.select("doc_id", "u.unit", "u.position", name_of(-F.col("best.place")).alias("license"), "best.dice", "best.n_bigrams")
+
+    def chosen(own: Column, x: Column) -> Column:
+        """The span measured with its own template."""
+        value = dice(own, 0)
+        for k in range(1, len(names)):
+            value = F.when(x["k"] == k, dice(own, k)).otherwise(value)
+        return F.struct(x["first"].alias("first"), x["last"].alias("last"), name_of(x["k"]).alias("license"), value.alias("d"))
+
+    def measured(ws: Column) -> Column:
+        return F.transform("spans", lambda x: let(F.array_distinct(_pairs(F.slice(ws, x["first"] + 1, x["last"] - x["first"] + 2))), lambda own: chosen(own, x)))
+
+    def beaten(x: Column, spans: Column) -> Column:
+        order = lambda z: F.struct(-z["d"]["shared"], -z["d"]["dice"], z["license"], z["first"])
+        return F.exists(spans, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & (order(y) < order(x)))
+
+    kept = lambda spans: F.filter(spans, lambda x: ~beaten(x, spans))
+    passing = let(F.filter(let(words(F.col("text")), measured), lambda x: x["d"]["dice"] >= threshold), kept)
+    passages = held.where("spans IS NOT NULL").select("doc_id", F.explode(passing).alias("s"))
+    return inside.unionByName(passages.select("doc_id", F.lit("passage").alias("unit"), F.col("s.first").alias("position"), "s.license", "s.d.dice", "s.d.n_bigrams"))
 
 
 def scan_sql(threshold: float = 0.8, templates: dict[str, str] = TEMPLATES, gap: int = 6) -> str:

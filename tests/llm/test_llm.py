@@ -518,13 +518,10 @@ def test_licenses(spark, docs):
     assert license_scan.scan(empty(spark)).count() == 0
     sets = license_scan.template_bigrams(license_scan.TEMPLATES)
     rng = random.Random(1)
-    for bigrams in sets.values():  # whatever 2/3 of a template is kept, a marker word is in it
-        need = -(-len(bigrams) * 2 // 3)
-        markers, least = license_scan.marker_words(bigrams, 0.8), license_scan.least_bytes(bigrams, 0.8)
-        for _ in range(50):
-            kept = " ".join(rng.sample(bigrams, need))
-            assert set(kept.split()) & markers and len(kept) >= least
-            assert len(set(license_scan.telling(bigrams)) & {b for b in bigrams if b in kept}) >= license_scan.least_shared(bigrams, 0.8)
+    for bigrams in sets.values():  # whatever 2/3 of a template is kept, enough telling bigrams are among it
+        for _ in range(20):
+            kept = set(rng.sample(bigrams, -(-len(bigrams) * 2 // 3)))
+            assert len(set(license_scan.telling(bigrams)) & kept) >= license_scan.least_shared(bigrams, 0.8)
 
 
 def test_headers_inside_of_files_are_found(spark):
