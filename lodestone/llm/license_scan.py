@@ -100,8 +100,8 @@ def _hits(texts: DataFrame, sets: dict[str, list[str]], threshold: float) -> Dat
     """``key, k, at, bigram``: places of the telling bigrams of template ``k``, where a text has enough of them."""
     spark = texts.sparkSession
     pairs = "\n".join(f"{b}|{k}" for k, bigrams in enumerate(sets.values()) for b in telling(bigrams))
-    pair = F.split(F.explode(F.split(F.lit(pairs), "\n")), "\\|")
-    marks = spark.range(1).select(pair.alias("p")).select(F.col("p")[0].alias("bigram"), F.col("p")[1].cast("int").alias("k"))
+    pair = F.split("pair", "\\|")
+    marks = spark.range(1).select(F.explode(F.split(F.lit(pairs), "\n")).alias("pair")).select(pair[0].alias("bigram"), pair[1].cast("int").alias("k"))
     needs = {k: least_shared(bigrams, threshold) for k, bigrams in enumerate(sets.values())}
     wanted = ", ".join(f"'{b}'" for b in sorted({b for bigrams in sets.values() for b in telling(bigrams)}))
     made = "transform(slice(words, 1, greatest(size(words) - 1, 0)), (w, i) -> struct(i AS at, concat_ws(' ', w, get(words, i + 1)) AS bigram))"
