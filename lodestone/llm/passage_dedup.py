@@ -222,7 +222,7 @@ def _unpack40(raw: bytes) -> np.ndarray:
 
 _BLOCK = [("kind", pa.int32()), ("target", pa.int64()), ("shard", pa.int64()), ("place", pa.binary()), ("number", pa.binary()), ("body", pa.binary())]
 BLOCK = "kind int, target long, shard long, place binary, number binary, body binary"
-SETTLED, ASKED, PENDING, SPELT, REFINED = range(5)
+SETTLED, ASKED, PENDING, SPELT, REFINED, STRETCH = range(6)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -239,8 +239,8 @@ def _by(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(target[part[0]]), part
 
 
-def _settle(block: pa.Table) -> pa.Table:
-    """Settles the buckets of one shard; asks for the strings of mixed ones."""
+def _settle(block: pa.Table, stretch_runs: int) -> pa.Table:
+    """Settles the buckets of one shard; asks for the strings of mixed ones, to be refined in stretches of some q-grams."""
     grams = [_unpack40(x) for x in block.column("gram").to_pylist()]
     batch = np.repeat(np.array(block.column("batch").to_pylist(), np.int64), [len(g) for g in grams])
     place = np.concatenate([np.arange(len(g), dtype="<i4") for g in grams])
@@ -270,6 +270,9 @@ def _settle(block: pa.Table) -> pa.Table:
     at = np.flatnonzero(strings > 1)
     if len(at):
         rows.append((PENDING, shard, shard, place[at].tobytes(), batch[at].astype("<i8").tobytes(), run[at].tobytes()))
+        opens = run[np.flatnonzero(new_gram & (strings > 1))]  # first runs of q-grams
+        first_of = opens[np.flatnonzero(np.diff(opens // stretch_runs, prepend=-1))]
+        rows.append((STRETCH, shard, shard, first_of.tobytes(), b"", b""))
     return _table(rows)
 
 
@@ -300,15 +303,25 @@ def _refine_shard(width: int):
         named = np.concatenate([np.frombuffer(x, "<i4") for x in spelt.column("place").to_pylist()])
         meta = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in spelt.column("number").to_pylist()])
         text = np.frombuffer(b"".join(spelt.column("body").to_pylist()), np.uint8)
-        first_doc, windows = meta[:, 0], meta[:, 1]
-        lengths = windows + width - 1
-        begin = np.cumsum(lengths) - lengths
+        kind = np.array(pending.column("kind").to_pylist())
+        opens = np.frombuffer(pending.column("place")[int(np.flatnonzero(kind == STRETCH)[0])].as_py(), "<i4")
+        pending = pending.filter(pa.array(kind == PENDING))
+        begin = np.cumsum(meta[:, 1] + width - 1) - (meta[:, 1] + width - 1)
+        order = np.argsort(named)
+        named, first_doc, windows, begin = named[order], meta[order, 0], meta[order, 1], begin[order]
         base = np.cumsum(windows) - windows
-        starts = np.repeat(begin - base, windows) + np.arange(windows.sum())
-        bucket = np.unique(refine(text, starts, width), return_inverse=True)[1]
-        least = np.full(bucket.max() + 1, LAST_ID)
-        np.minimum.at(least, bucket, np.repeat(first_doc, windows))
-        answer = least[bucket]
+        answer = np.empty(windows.sum(), np.int64)
+        cuts = [*np.searchsorted(named, opens).tolist(), len(named)]
+        for lower, upper in zip(cuts, cuts[1:], strict=False):  # q-grams share no window, so some are refined at a time
+            n = windows[lower:upper]
+            length = n + width - 1
+            inside = np.cumsum(length) - length
+            part = text[np.repeat(begin[lower:upper] - inside, length) + np.arange(length.sum())]
+            starts = np.repeat(inside - (base[lower:upper] - base[lower]), n) + np.arange(n.sum())
+            bucket = np.unique(refine(part, starts, width), return_inverse=True)[1]
+            least = np.full(bucket.max() + 1, LAST_ID)
+            np.minimum.at(least, bucket, np.repeat(first_doc[lower:upper], n))
+            answer[base[lower] : base[lower] + n.sum()] = least[bucket]
         spelt_at = np.full(named.max() + 1, -1)
         spelt_at[named] = np.arange(len(named))
         shard = pending.column("shard")[0].as_py()
@@ -346,7 +359,7 @@ def hot_grams(docs: DataFrame, width: int, gram_runs: int, text: str = "text", s
     return np.sort(counted.select("gram").toArrow().column("gram").combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint64))
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 6 << 20, shard_bytes: int = 12 << 20, gram_runs: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 6 << 20, shard_bytes: int = 12 << 20, gram_runs: int = 20_000, stretch_runs: int = 8192) -> DataFrame:
     """All columns of ``docs`` with the kept text, and ``n_bytes, n_removed, n_spans, kept_sha256``."""
     if width < GRAM + 12:
         raise ValueError(f"width must be at least {GRAM + 12}")
@@ -391,7 +404,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "batch", "gram", "string", "number"])
 
     sent = held.mapInArrow(spread, "shard long, batch long, gram binary, string binary, number binary")
-    settled = cut(sent.groupBy("shard").applyInArrow(_settle, BLOCK))
+    settled = cut(sent.groupBy("shard").applyInArrow(lambda block: _settle(block, stretch_runs), BLOCK))
 
     def spell(left: pa.Table, right: pa.Table) -> pa.Table:
         """Strings of the runs that the right side asks for."""
@@ -409,7 +422,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
 
     asked = settled.where(F.col("kind") == ASKED).withColumnRenamed("target", "batch")
     spelt = held.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(spell, BLOCK)
-    pending = settled.where(F.col("kind") == PENDING)
+    pending = settled.where(F.col("kind").isin(PENDING, STRETCH))
     refined = pending.groupBy("target").cogroup(spelt.groupBy("target")).applyInArrow(_refine_shard(width), BLOCK)
     answers = cut(refined).unionByName(settled.where(F.col("kind") == SETTLED)).withColumnRenamed("target", "batch")
     schema = T.StructType(list(docs.schema.fields))

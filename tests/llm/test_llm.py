@@ -197,7 +197,7 @@ def plain_removal(rows, width=50):
 
 @pytest.mark.parametrize(("batch", "shard"), [(1 << 20, 1 << 20), (900, 3000)])
 def test_passages(spark, docs, batch, shard):
-    out = passage_dedup.remove_repeats(docs, 50, batch_bytes=batch, shard_bytes=shard)
+    out = passage_dedup.remove_repeats(docs, 50, batch_bytes=batch, shard_bytes=shard, stretch_runs=shard // 1000)
     assert out.columns == [*docs.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     expected = plain_removal(plain_documents())
     rows = out.collect()
