@@ -1,8 +1,10 @@
 """Document store: documents, blocks, chunks and cursors as Parquet tables.
 
-A write makes a new version of a table next to the old one and then moves a
-one-row pointer, so a reader never sees a half-written table and a lost job
-leaves the old version in place.
+A write makes a new version of a table next to the old one and then adds a
+numbered one-row pointer; the highest complete pointer counts. Nothing that a
+reader needs is overwritten or deleted, so it never sees a half-written table, and a
+job or driver lost at any point leaves the version before in place. The last
+``keep`` versions stay, older ones are removed.
 """
 
 from __future__ import annotations
@@ -23,21 +25,36 @@ KEYS = {
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 6):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/_current"
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _pointers(self, name: str) -> list[int]:
+        """Numbers of the complete pointers, ascending."""
+        folder, fs = self._folder(f"{self.path}/{name}/_pointers")
+        if not fs.exists(folder):
+            return []
+        numbers = sorted(int(f.getPath().getName()) for f in fs.listStatus(folder))
+        return [n for n in numbers if fs.exists(self._folder(f"{self._pointer(name, n)}/_SUCCESS")[0])]
+
+    def _pointer(self, name: str, number: int) -> str:
+        return f"{self.path}/{name}/_pointers/{number:012d}"
 
     def exists(self, name: str) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name) + "/_SUCCESS")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        return bool(self._pointers(name))
+
+    def _at(self, name: str, number: int):
+        return self.spark.read.schema("version string, shape string").json(self._pointer(name, number)).first()
 
     def read(self, name: str) -> DataFrame | None:
         """The current version of a table; None before its first write."""
-        if not self.exists(name):
+        held = self._pointers(name)
+        if not held:
             return None
-        row = self.spark.read.schema("version string, shape string").json(self._pointer(name)).first()
+        row = self._at(name, held[-1])
         return self.spark.read.schema(row["shape"]).parquet(f"{self.path}/{name}/{row['version']}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
@@ -45,7 +62,13 @@ class Store:
         rows.write.parquet(f"{self.path}/{name}/{version}")
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
         pointer = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(shape).alias("shape"))
-        pointer.coalesce(1).write.mode("overwrite").json(self._pointer(name))
+        held = self._pointers(name)
+        number = held[-1] + 1 if held else 0
+        pointer.coalesce(1).write.mode("overwrite").json(self._pointer(name, number))  # at most an incomplete one of that number
+        for old in held[: -self.keep]:
+            for path in (f"{self.path}/{name}/{self._at(name, old)['version']}", self._pointer(name, old)):
+                folder, fs = self._folder(path)
+                fs.delete(folder, True)
 
     def save(self, name: str, rows: DataFrame) -> None:
         """Puts rows in place of those with the same key."""
