@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import blocks, chunks, clean, context, fusion, identity, keyword, metrics, vectors
 from lodestone.operators.store import Store
+from lodestone.sources import files, threads
 
 CLEANING = ("unicode_fix", "empty_filter", "ocr_line_merge", "html_nav_footer_remove", "dedupe_paragraphs")
 
@@ -114,13 +115,23 @@ class Engine:
         return held.groupBy(name.alias("collection")).agg(F.count("*").alias("n_documents"))
 
     def sync(self, connector: str, items: DataFrame, order: str = "cursor_after") -> DataFrame:
-        """Ingests a connector's artifacts after its cursor, keyed by ``source_id``, and moves the cursor past those with content."""
-        fresh = items
+        """Ingests a connector's artifacts after its cursor, keyed by ``source_id``, and moves the cursor.
+
+        An artifact's text is ``content_text`` or else its decoded ``content_bytes``. Cursors
+        compare as numbers where both are numbers, else as text. The cursor stops before the
+        first artifact without content, which the next run meets again; what lies after it is
+        ingested all the same, and unchanged documents are skipped then.
+        """
+        raw = F.col("content_bytes") if "content_bytes" in items.columns else F.lit(None).cast("binary")
+        place = threads.ordered(F.col(order))
+        fresh = items.select("source_id", order, files.artifact_text(F.nullif(F.trim("content_text"), F.lit("")), raw).alias("text"), place.alias("place"))
         cursor = self.store.cursor(connector)
         if cursor is not None:
-            fresh = fresh.where(F.col(order) > cursor)
-        good = fresh.where(F.coalesce(F.trim("content_text"), F.lit("")) != "")
-        done = self.ingest(good.select(F.col("source_id").alias("source_path"), F.col("content_text").alias("text")))
-        last = good.agg(F.max(order).alias("cursor")).where("cursor IS NOT NULL")
+            fresh = fresh.where(F.col("place") > threads.ordered(F.lit(cursor)))
+        empty = F.coalesce(F.trim("text"), F.lit("")) == ""
+        done = self.ingest(fresh.where(~empty).select(F.col("source_id").alias("source_path"), "text"))
+        stop = fresh.where(empty).agg(F.min("place").alias("stop"))
+        safe = fresh.where(~empty).crossJoin(F.broadcast(stop)).where("stop IS NULL OR place < stop")  # one row
+        last = safe.agg(F.max_by(order, "place").alias("cursor")).where("cursor IS NOT NULL")
         self.store.save("connector_state", last.select(F.lit(connector).alias("connector_name"), F.col("cursor").cast("string").alias("cursor")))
         return done

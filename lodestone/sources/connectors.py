@@ -32,7 +32,7 @@ def _mail(uid: str, raw: bytes) -> Iterator[tuple]:
             continue
         body = part.get_payload(decode=True) or b""
         if part.get_content_type() == "application/pdf" or part.get_filename():
-            if part.get_content_type() == "application/pdf" and len(body) <= MAX_ATTACHMENT:
+            if part.get_content_type() == "application/pdf":
                 files.append((part.get_filename() or "attachment.pdf", body))
         elif part.get_content_type() == "text/plain":
             plain.append(body.decode(part.get_content_charset() or "utf-8", "replace").strip())
@@ -42,11 +42,16 @@ def _mail(uid: str, raw: bytes) -> Iterator[tuple]:
     text = "\n\n".join([head, *(plain or html)]).strip()
     yield ("email", source, None, text, None, "text/plain", uid)
     for filename, body in files:
-        yield ("email", f"{source}/attachment/{filename}", None, None, body, "application/pdf", uid)
+        kind = "application/pdf" if len(body) <= MAX_ATTACHMENT else "error/too-large"
+        yield ("email", f"{source}/attachment/{filename}", None, None, body if kind == "application/pdf" else None, kind, uid)
 
 
 def mail_artifacts(messages: DataFrame) -> DataFrame:
-    """Artifacts of RFC 2822 messages (``uid``, ``raw``): the text, and each PDF of up to 5 MB. A broken message gives no row."""
+    """Artifacts of RFC 2822 messages (``uid``, ``raw``): the text, and each PDF.
+
+    What cannot be used is a row without content whose ``mime_type`` says why: ``error/<kind>``
+    for a broken message, ``error/too-large`` for a PDF of over 5 MB.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -54,8 +59,8 @@ def mail_artifacts(messages: DataFrame) -> DataFrame:
             for uid, raw in batch.itertuples(index=False):
                 try:
                     rows += list(_mail(str(uid), bytes(raw)))
-                except Exception:  # noqa: BLE001  one broken message must not stop the others
-                    continue
+                except Exception as e:  # noqa: BLE001  one broken message must not stop the others
+                    rows.append(("email", f"email:uid:{uid}", None, None, None, f"error/{type(e).__name__}", str(uid)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ARTIFACT.split(", ")])
 
     return messages.select(F.col("uid").cast("string"), "raw").mapInPandas(run, ARTIFACT)

@@ -18,7 +18,7 @@ def raw_artifacts(spark: SparkSession, path: str) -> DataFrame:
         name.alias("file_name"),
         F.lower(F.regexp_extract(name, "(\\.[^.]+)$", 1)).alias("extension"),
         F.col("length").alias("file_size_bytes"),
-        F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_at"),
+        F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_at"),
         "content",
         decoded(F.col("content")).alias("text"),
         key.alias("doc_key"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,12 @@ def flatten(messages: DataFrame, thread: str, order: str, author: str, text: str
     return messages.groupBy(thread).agg(F.count("*").alias("n_messages"), F.max(order).alias("cursor"), F.array_join(rows["line"], "\n").alias("text"))
 
 
+def ordered(cursor: Column) -> Column:
+    """Cursors as they compare: numbers by value (10 after 9), before all text, which compares as text."""
+    number = cursor.cast("string").try_cast("decimal(38,9)")
+    return F.struct(number.isNull().alias("is_text"), F.coalesce(number, F.lit(0)).alias("number"), F.when(number.isNull(), cursor.cast("string")).alias("text"))
+
+
 def since(items: DataFrame, order: str, cursor) -> DataFrame:
     """Items after the cursor; all of them where it is None."""
     return items if cursor is None else items.where(F.col(order) > F.lit(cursor))
