@@ -34,13 +34,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 409
     queries meets every block of vectors in a task of its own, which passes on
     at most k rows (and ties) a query. ``same`` names a column that must be equal
     on both sides. Distances are rounded to six places; ties go to the smaller id.
+    Null vectors, vectors with a null component and queries like that are left out; a
+    query meets vectors of its own length only.
     """
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", F.isnull)
+    vectors, queries = vectors.where(whole), queries.where(whole)
     extra = [same] if same else []
     n_v, n_q = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // block))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select(deal("chunk_id", n_v).alias("vb"), every(n_q).alias("qb"), "chunk_id", "embedding", *extra)
-    right = queries.select(every(n_v).alias("vb"), deal("query_id", n_q).alias("qb"), "query_id", "embedding", *extra)
+    size = F.size("embedding").alias("dim")
+    left = vectors.select(deal("chunk_id", n_v).alias("vb"), every(n_q).alias("qb"), size, "chunk_id", "embedding", *extra)
+    right = queries.select(every(n_v).alias("vb"), deal("query_id", n_q).alias("qb"), size, "query_id", "embedding", *extra)
 
     def nearest(own: pa.Table, asked: pa.Table) -> pa.Table:
         none = pa.table({"query_id": asked.column("query_id").slice(0, 0), "chunk_id": own.column("chunk_id").slice(0, 0), "l2sq": pa.array([], pa.float64())})
@@ -48,8 +53,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 409
             return none
         x, q = _matrix(own), _matrix(asked)
         rows, columns, found = [], [], []
+        bounds = (x * x).sum(1), 1e-9 * (1 + (x * x).sum(1).max())
         for start in range(len(q)):
-            d = np.round(((x - q[start]) ** 2).sum(1), 6)
+            rough = bounds[0] - 2 * (x @ q[start]) + q[start] @ q[start]  # close, but not as exact as differences
+            if not same and len(rough) > 4 * k:
+                some = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + 1e-5 + bounds[1])
+            else:
+                some = np.arange(len(x))
+            d = np.full(len(x), np.inf)
+            d[some] = np.round(((x[some] - q[start]) ** 2).sum(1), 6)
             if same:
                 d[np.asarray(own.column(same).to_pylist()) != asked.column(same)[start].as_py()] = np.inf
             bound = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
@@ -66,6 +78,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 409
         )
 
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, l2sq double"
-    met = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(nearest, kinds)
+    met = left.groupBy("dim", "vb", "qb").cogroup(right.groupBy("dim", "vb", "qb")).applyInArrow(nearest, kinds)
     order = W.partitionBy("query_id").orderBy("l2sq", "chunk_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import trace
+from lodestone.operators import trace, vectors
 from lodestone.operators.store import Store
 from lodestone.plans.engine import Engine
 from lodestone.sources import connectors, files, threads, web
@@ -95,3 +95,40 @@ def test_threads_and_trace(spark, tmp_path):
     runs = spark.createDataFrame([("query", {"q": "x"}, 1), ("ingest", {"p": "y"}, 2)], "run_type string, metadata map<string,string>, created_at int")
     trace.save_runs(runs, f"file://{tmp_path}/runs")
     assert trace.list_runs(spark, f"file://{tmp_path}/runs", "query").count() == 1
+
+
+def test_numeric_cursors_and_byte_artifacts(spark, engine):
+    """UID 10 comes after 9; artifacts of bytes alone are ingested; the cursor stops before an artifact without content."""
+    schema = "source_id string, content_text string, content_bytes binary, cursor_after string"
+    assert engine.sync("mail", spark.createDataFrame([("a", "text of nine", None, "9")], schema)).count() == 1
+    more = [("b", "text of ten", None, "10"), ("c", None, b"bytes of eleven", "11"), ("d", " ", None, "12"), ("e", "text of thirteen", None, "13")]
+    assert engine.sync("mail", spark.createDataFrame(more, schema)).count() == 3
+    assert engine.store.cursor("mail") == "11" and engine.store.read("documents").count() == 4
+    assert engine.sync("mail", spark.createDataFrame([("d", "now there", None, "12"), more[3]], schema)).count() == 1
+    assert engine.store.cursor("mail") == "13"
+
+
+def test_a_lost_write_leaves_the_version_before(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", keep=2)
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "doc_id string")
+    store.save("documents", rows("a", "b"))
+    (tmp_path / "store/documents/_pointers/000000000001").mkdir()  # a driver lost while it wrote the next pointer
+    assert store.read("documents").count() == 2
+    store.save("documents", rows("c"))
+    assert {r["doc_id"] for r in store.read("documents").collect()} == {"a", "b", "c"}
+    for i in range(4):
+        store.save("documents", rows(f"d{i}"))
+    assert store.read("documents").count() == 7 and len(list((tmp_path / "store/documents").glob("[0-9a-f]*"))) <= 4
+
+
+def test_odd_vectors_are_left_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0, 0.0, 0.0]), (5, [0.9, 0.1])]
+    df = spark.createDataFrame(rows, "chunk_id int, embedding array<float>")
+    found = vectors.search(df, df.withColumnRenamed("chunk_id", "query_id"), 3).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in found} == {(1, 1), (1, 5), (5, 5), (5, 1), (4, 4)}
+
+
+def test_broken_mail_is_a_row(spark):
+    df = spark.createDataFrame([("1", None)], "uid string, raw binary")
+    row = connectors.mail_artifacts(df).first()
+    assert row["content_text"] is None and row["mime_type"].startswith("error/") and row["cursor_after"] == "1"
