@@ -120,14 +120,14 @@ def terms(x: str) -> str:
 def bm25_index(where: str = "true") -> str:
     return f"""
 corpus AS (SELECT doc_id AS chunk_id, text AS stable_text, source AS source_path, lang, {tokens('text')}::int AS token_count FROM documents),
-words AS (SELECT chunk_id, {terms('stable_text')} AS t FROM corpus WHERE {where}),
+words AS MATERIALIZED (SELECT chunk_id, {terms('stable_text')} AS t FROM corpus WHERE {where}),
 lengths AS (SELECT chunk_id, len(t) AS n_terms FROM words),
-postings AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM words) GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM lengths) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings GROUP BY term),
+postings AS MATERIALIZED (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM words) GROUP BY ALL),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT count(*) FROM lengths) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings GROUP BY term),
 statistics AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
-ASKED = "asked AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark)"
+ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def bm25(k: int, scope: str = "true") -> str:
@@ -225,7 +225,7 @@ heads AS (SELECT page_id, lower(regexp_extract(name, '(\\.[^./]+)$', 1)) AS ext,
 sniffed AS (SELECT page_id, {_case([("starts_with(head, '<!doctype html') OR starts_with(head, '<html')", "{'mime_type': 'text/html', 'detected_type': 'html', 'confidence': 0.95::double, 'strategy': 'magic'}"), *_EXT],
   "{'mime_type': 'application/octet-stream', 'detected_type': 'unknown', 'confidence': 0.0::double, 'strategy': 'none'}")} AS s FROM heads)"""
 MARKDOWN = f"""{LINES},
-marks AS (SELECT doc_id, pos, CASE WHEN pos % 9 = 0 THEN '# ' || substr(text, 1, 20) WHEN pos % 9 = 4 THEN '## ' || substr(text, 1, 20) WHEN pos % 9 = 6 THEN '```' WHEN pos % 9 = 8 THEN '' ELSE text END AS line FROM lines),
+marks AS (SELECT doc_id, pos, CASE WHEN pos % 9 = 0 THEN '# ' || text WHEN pos % 9 = 4 THEN '## ' || text WHEN pos % 9 = 6 THEN '```' WHEN pos % 9 = 8 THEN '' ELSE text END AS line FROM lines),
 state AS (SELECT *, starts_with(line, '```') AS fence, coalesce(sum(starts_with(line, '```')::int) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced FROM marks),
 kinds AS (SELECT *, CASE WHEN fence THEN 'fence' WHEN fenced THEN 'code' WHEN starts_with({strip('line')}, '#') THEN 'heading' WHEN {strip('line')} = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM state),
 titled AS (SELECT *, CASE WHEN kind = 'heading' THEN length(regexp_extract({strip('line')}, '^#+')) END AS level, CASE WHEN kind = 'heading' THEN {strip("regexp_replace(" + strip('line') + ", '^#+', '')")} END AS title FROM kinds),

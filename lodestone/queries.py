@@ -144,8 +144,8 @@ def _markdown(spark, sf_dir):
     """Documents as markdown: by a line's place a heading, a fence, a blank line or text."""
     i, line = F.col("pos"), F.col("text")
     marked = (
-        F.when(i % 9 == 0, F.concat(F.lit("# "), F.substring(line, 1, 20)))
-        .when(i % 9 == 4, F.concat(F.lit("## "), F.substring(line, 1, 20)))
+        F.when(i % 9 == 0, F.concat(F.lit("# "), line))
+        .when(i % 9 == 4, F.concat(F.lit("## "), line))
         .when(i % 9 == 6, F.lit("```"))
         .when(i % 9 == 8, F.lit(""))
         .otherwise(line)
@@ -485,13 +485,20 @@ def answer_spans(spark, sf_dir):
 
 
 def _qrels(spark, sf_dir):
-    """Documents that hold a benchmark passage whole: found through the passage's longest words, then compared."""
+    """Documents that hold a benchmark passage whole: found through the longest word inside of the passage, then compared.
+
+    A word at a passage's edge may go on in a document, so it does not count. A passage without an inner
+    word is compared with every text.
+    """
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
-    words = F.regexp_extract_all("passage", F.lit("[a-z]+"), F.lit(0))
+    words = F.regexp_extract_all("passage", F.lit("(?<=[^a-z])[a-z]+(?=[^a-z])"), F.lit(0))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("word"))))["word"]
     held = docs.select("chunk_id", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    return held.join(F.broadcast(asked.withColumn("word", longest)), "word").where(F.contains("body", "passage")).select("query_id", "chunk_id")
+    asked = asked.withColumn("word", longest)
+    found = held.join(asked, "word").where(F.contains("body", "passage")).select("query_id", "chunk_id")
+    wordless = asked.where("word IS NULL AND passage IS NOT NULL").select("query_id", "passage")
+    return found.unionByName(docs.join(wordless, F.contains("body", "passage")).select("query_id", "chunk_id"))
 
 
 @query
