@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import blocks, chunks, clean, context, fusion, identity, keyword, metrics, vectors
+from lodestone.operators import blocks, chunks, clean, context, fusion, identity, keyword, metrics, models, vectors
+from lodestone.operators.models import Embed
 from lodestone.operators.store import Store
 from lodestone.sources import files, threads
 
@@ -29,6 +30,7 @@ class Engine:
     top_k: int = 10
     context_top_k: int = 6
     context_budget: int = 2048
+    embed: Embed | None = None  # texts to vectors, called in batches in the workers
 
     def __post_init__(self) -> None:
         _within("token_budget", self.token_budget, 64, 4096)
@@ -74,16 +76,40 @@ class Engine:
             self.store.delete(former.select("doc_id").join(made["documents"].select("doc_id"), "doc_id", "left_anti"))
         for name in ("blocks", "chunks", "documents"):
             self.store.save(name, made[name])
+        self.refresh()
         return out
 
-    def index(self) -> keyword.KeywordIndex:
-        return keyword.build(self.store.read("chunks"))
+    def refresh(self) -> None:
+        """Brings the stored keyword and vector index up to the stored chunks; only new chunks are tokenized and embedded.
+
+        Each table is replaced on its own; a run lost in between is made good by the next call.
+        """
+        held = self.store.read("chunks").dropDuplicates(["chunk_id"])
+        index = self.index()
+        for name, rows in (keyword.build(held) if index is None else keyword.update(index, held)).tables().items():
+            self.store.replace(name, rows)
+        if self.embed is not None:
+            old = self.store.read("vectors")
+            new = held if old is None else held.join(old.select("chunk_id"), "chunk_id", "left_anti")
+            made = models.embed_texts(new.select("chunk_id", "stable_text"), self.embed).select("chunk_id", "embedding")
+            self.store.replace("vectors", made if old is None else old.join(held.select("chunk_id"), "chunk_id", "left_semi").unionByName(made))
+
+    def index(self) -> keyword.KeywordIndex | None:
+        """The stored keyword index; None before the first ingest."""
+        tables = [self.store.read(name) for name in ("postings", "lengths", "statistics", "corpus")]
+        return None if None in tables else keyword.KeywordIndex(*tables)
 
     def search(self, queries: DataFrame, collection: str | None = None, embeddings: DataFrame | None = None, query_embeddings: DataFrame | None = None, reranker: str = "noop") -> DataFrame:
-        """Ranked candidates of ``query_id, query``: keyword search, fused with vector search where embeddings are given."""
+        """Ranked candidates of ``query_id, query``: search in the stored keyword index, fused with vector search.
+
+        Vectors are those given, or else the stored ones and the queries' own where the engine has a model.
+        """
+        if embeddings is None and self.embed is not None and self.store.exists("vectors"):
+            embeddings = self.store.read("vectors")
+            query_embeddings = models.embed_texts(queries, self.embed, "query").select("query_id", "embedding")
         held = self.store.read("chunks").dropDuplicates(["chunk_id"])
         scope = None if collection is None else held.where(F.col("collection") == collection).select("chunk_id")
-        lists = {"bm25": keyword.search(keyword.build(held), queries, 2 * self.top_k, scope)}
+        lists = {"bm25": keyword.search(self.index() or keyword.build(held), queries, 2 * self.top_k, scope)}
         if embeddings is not None and query_embeddings is not None:
             inside = embeddings if scope is None else embeddings.join(scope, "chunk_id", "left_semi")
             near = vectors.search(vectors.checked(inside), query_embeddings, 2 * self.top_k)

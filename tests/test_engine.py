@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import trace, vectors
+from lodestone.operators import keyword, models, trace, vectors
 from lodestone.operators.store import Store
 from lodestone.plans.engine import Engine
 from lodestone.sources import connectors, files, threads, web
@@ -132,3 +132,24 @@ def test_broken_mail_is_a_row(spark):
     df = spark.createDataFrame([("1", None)], "uid string, raw binary")
     row = connectors.mail_artifacts(df).first()
     assert row["content_text"] is None and row["mime_type"].startswith("error/") and row["cursor_after"] == "1"
+
+
+def test_stored_index_follows_the_chunks(spark, tmp_path):
+    """After changes the stored index equals one built anew, and only new chunks are embedded."""
+    engine = Engine(spark, Store(spark, f"file://{tmp_path}/store"), token_budget=64, embed=models.hash_vectors)
+    engine.ingest(documents(spark, [("a.txt", "Spark joins large tables.", "db"), ("b.txt", "Cats sleep all day.", None)]))
+    before = {r["chunk_id"] for r in engine.store.read("vectors").collect()}
+    engine.ingest(documents(spark, [("a.txt", "Spark sorts large tables and joins.", "db"), ("c.txt", "Dogs bark at cats.", None)]))
+    held = engine.store.read("chunks")
+    fresh = keyword.build(held)
+    for name in ("postings", "lengths", "statistics"):
+        columns = getattr(fresh, name).columns
+        rows = lambda t: sorted(tuple(map(str, r)) for r in t.select(columns).collect())  # noqa: B023, E731
+        assert rows(getattr(engine.index(), name)) == rows(getattr(fresh, name)), name
+    ids = {r["chunk_id"] for r in held.collect()}
+    assert {r["chunk_id"] for r in engine.store.read("vectors").collect()} == ids and len(before & ids) == 1
+    found = engine.search(spark.createDataFrame([(1, "cats")], "query_id int, query string"))
+    assert {r["source_path"] for r in found.collect()} == {"b.txt", "c.txt", "a.txt"}
+    path = f"file://{tmp_path}/index"
+    fresh.save(path)
+    assert keyword.KeywordIndex.load(spark, path).postings.count() == fresh.postings.count()
