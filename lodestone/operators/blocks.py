@@ -45,6 +45,20 @@ def parse_metrics(blocks: DataFrame) -> DataFrame:
     )
 
 
+def document_metrics(docs: DataFrame) -> DataFrame:
+    """What :func:`parse_metrics` gives for the lines of ``doc_id, text``, within each row: no shuffle; rows without a block are left out."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.strip), lambda x: x != "")
+    held = docs.select("doc_id", F.explode(F.array(lines)).alias("lines")).where(F.size("lines") > 0)  # the generator keeps the lines from being made anew
+    n, joined = F.size("lines"), F.char_length(F.array_join("lines", "\n"))
+    return held.select(
+        "doc_id",
+        n.cast("long").alias("n_blocks"),
+        joined.cast("long").alias("char_count"),
+        F.round(T.non_printable(F.array_join("lines", "\n")) / joined, 6).alias("non_printable_ratio"),
+        F.round(F.when(n > 1, (n - F.size(F.array_distinct("lines"))) / n).otherwise(F.lit(0.0)), 6).alias("repetition_score"),
+    )
+
+
 def quality_gates(metrics: DataFrame, min_chars: int | None = 50, max_non_printable: float | None = 0.05, max_repetition: float | None = 0.4) -> DataFrame:
     """``metrics`` with ``reasons`` and ``passed``; a gate set to None is off."""
     gates = []

@@ -143,6 +143,17 @@ def dedupe_paragraphs(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
+def dedupe_document_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, text``: what :func:`dedupe_paragraphs` keeps of the lines of ``doc_id, text``, within each row: no shuffle."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(T.strip(x).alias("line"), i.alias("pos"), x.alias("text")))
+
+    def first(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["line"] != x["line"]))
+
+    kept = F.transform(F.array(F.array_sort(lines)), first)[0]  # sorted once: equal lines lie side by side, the first place before
+    return docs.select("doc_id", F.explode(kept).alias("k")).select("doc_id", "k.pos", "k.text")
+
+
 STEPS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "unicode_fix": unicode_fix,
     "empty_filter": drop_empty,

@@ -59,12 +59,12 @@ def doc_fingerprint(spark, sf_dir):
 
 @query
 def parse_metrics(spark, sf_dir):
-    return blocks.parse_metrics(_lines(spark, sf_dir))
+    return blocks.document_metrics(table(spark, sf_dir, "documents"))
 
 
 @query
 def quality_gates(spark, sf_dir):
-    gated = blocks.quality_gates(blocks.parse_metrics(_lines(spark, sf_dir)))
+    gated = blocks.quality_gates(blocks.document_metrics(table(spark, sf_dir, "documents")))
     return gated.select("doc_id", F.array_join("reasons", ",").alias("reasons"), "passed")
 
 
@@ -113,7 +113,7 @@ def clean_repeated_headers(spark, sf_dir):
 
 @query
 def clean_dedupe_lines(spark, sf_dir):
-    return clean.dedupe_paragraphs(_lines(spark, sf_dir)).select("doc_id", "pos")
+    return clean.dedupe_document_lines(table(spark, sf_dir, "documents")).select("doc_id", "pos")
 
 
 # Sniffing, routing, parsing
@@ -561,7 +561,7 @@ def list_collections(spark, sf_dir):
 
 @query
 def ingest_summary(spark, sf_dir):
-    gated = blocks.quality_gates(blocks.parse_metrics(_lines(spark, sf_dir)))
+    gated = blocks.quality_gates(blocks.document_metrics(table(spark, sf_dir, "documents")))
     status = F.when(F.col("passed"), "ok").when(F.array_contains("reasons", "too_short"), "skipped").otherwise("error")
     return gated.groupBy(status.alias("status")).agg(F.count("*").alias("n_docs"), F.sum("n_blocks").alias("n_blocks"), F.sum("char_count").alias("chars"))
 

@@ -176,3 +176,15 @@ def test_models(spark):
     assert [list(r["embedding"]) for r in out] == [[3.0, 1.0], [0.0, 1.0]]
     v = models.embed_texts(df, models.hash_vectors).collect()
     assert abs(sum(x * x for x in v[0]["embedding"]) - 1) < 1e-6 and sum(v[1]["embedding"]) == 0
+
+
+def test_rows_of_documents_equal_their_blocks(spark):
+    """Metrics and first lines within a row are those of the exploded blocks, and need no exchange."""
+    rows = [(1, "a\n b \nb\n\na\na"), (2, None), (3, ""), (4, "one\ttab\u0007bell\nx"), (5, "z\n" * 3000 + "y\nz")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(blocks.document_metrics(docs)) == as_set(blocks.parse_metrics(blocks.line_blocks(docs)))
+    kept = clean.dedupe_document_lines(docs)
+    assert as_set(kept) == as_set(clean.dedupe_paragraphs(blocks.line_blocks(docs)).select("doc_id", "pos", "text"))
+    for df in (blocks.document_metrics(docs), kept):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
