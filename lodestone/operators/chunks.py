@@ -108,8 +108,18 @@ def risk_level(score: Column) -> Column:
     return F.when(score < 0.2, "low").when(score < 0.5, "medium").otherwise("high")
 
 
-def enrich(chunks: DataFrame, text: str = "stable_text", max_summary: int = 256) -> DataFrame:
-    """``chunks`` with ``title``, ``summary``, ``tags``, ``pronoun_risk`` and ``risk_level``."""
+def enrich(chunks: DataFrame, text: str = "stable_text", max_summary: int = 256, overwrite: bool = True) -> DataFrame:
+    """``chunks`` with ``title``, ``summary``, ``tags``, ``pronoun_risk`` and ``risk_level``.
+
+    Without ``overwrite`` values that are there and not empty stay.
+    """
+    if not overwrite:
+        held = [c for c in ("title", "summary", "tags") if c in chunks.columns]
+        renamed = chunks.withColumnsRenamed({c: f"__{c}" for c in held})
+        made = enrich(renamed, text, max_summary)
+        empty = lambda c: F.size(f"__{c}") == 0 if c == "tags" else F.trim(f"__{c}") == ""
+        stays = {c: F.when(F.col(f"__{c}").isNotNull() & ~empty(c), F.col(f"__{c}")).otherwise(F.col(c)) for c in held}
+        return made.withColumns(stays).drop(*[f"__{c}" for c in held])
     t = F.col(text)
     heading = F.substring(T.strip(F.regexp_extract(t, "(?m)^#{1,6}\\s+(.+)", 1)), 1, 120)
     sentences = T.sentences(t)

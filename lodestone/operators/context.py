@@ -49,6 +49,25 @@ def drop_reasons(candidates: DataFrame, top: int = 6, budget: int = 2048) -> Dat
     return out.select("query_id", "chunk_id", "rank", reason.alias("reason"))
 
 
+def packer_citations(packed: DataFrame, excerpt: int = 120) -> DataFrame:
+    """``query_id, ref_number, chunk_id, source_label, excerpt`` of packed passages.
+
+    Without a label it is the document's id (the chunk's, where there is none) and page; a longer text is cut and ends with an ellipsis.
+    """
+    name = F.col("doc_id" if "doc_id" in packed.columns else "chunk_id").cast("string")
+    if "page" in packed.columns:
+        name = F.when(F.col("page").isNotNull(), F.concat(name, F.lit(" — page "), F.col("page"))).otherwise(name)
+    text = F.col("display_text")
+    short = F.concat(F.regexp_replace(F.substring(text, 1, excerpt), f"{T.SPACE}+$", ""), F.lit("…"))
+    return packed.select(
+        "query_id",
+        "ref_number",
+        "chunk_id",
+        F.coalesce(F.nullif("source_label", F.lit("")), name).alias("source_label"),
+        F.when(F.char_length(text) > excerpt, short).otherwise(text).alias("excerpt"),
+    )
+
+
 def context_text(packed: DataFrame) -> DataFrame:
     """``query_id, context_text, total_tokens, n_passages``."""
     line = F.concat(F.lit("["), F.col("ref_number"), F.lit("] "), F.col("display_text"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,6 +94,19 @@ def rerank(candidates: DataFrame, score: Column, top: int) -> DataFrame:
     return ranked.where(F.col("rank") <= top)
 
 
+def rerank_pairs(candidates: DataFrame, model: Callable[[list[tuple[str, str]]], list[float]], top: int, batch: int = 32) -> DataFrame:
+    """Best ``top`` by a model that scores (query, text) pairs, ``batch`` at a time in the workers; the text is the stable one, else the shown one."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, texts in parts:
+            pairs = list(zip(queries.fillna(""), texts.fillna(""), strict=True))
+            yield pd.Series([float(s) for i in range(0, len(pairs), batch) for s in model(pairs[i : i + batch])], dtype=float)
+
+    text = F.coalesce(F.nullif("stable_text", F.lit("")), F.col("display_text")) if "display_text" in candidates.columns else F.col("stable_text")
+    return rerank(candidates, run(F.col("query"), text), top)
+
+
 RERANKERS: dict[str, Callable[..., DataFrame]] = {
     "noop": lambda candidates, top: rerank_noop(candidates, top),
     "overlap": lambda candidates, top: rerank(candidates, overlap_score(F.col("query"), F.col("stable_text")), top),

@@ -46,6 +46,25 @@ def macro(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("n_queries"), *[mean(c) for c in ("recall", "mrr", "ndcg")])
 
 
+def answerable(metrics: DataFrame, cases: DataFrame) -> DataFrame:
+    """``metrics`` without the queries that ``cases`` (query_id, expected_behavior) expect to be declined."""
+    declined = cases.where(F.col("expected_behavior") == "abstain").select("query_id")
+    return metrics.join(declined, "query_id", "left_anti")
+
+
+def report(metrics: DataFrame, cases: DataFrame, **parts: DataFrame) -> DataFrame:
+    """The evaluation as one row: means over answerable queries, and each one-row part as a struct of its name."""
+    out = macro(answerable(metrics, cases))
+    for name, part in parts.items():
+        out = out.crossJoin(F.broadcast(part.select(F.struct(*part.columns).alias(name))))  # one row each
+    return out
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """The one-row report as JSON."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def source_attribution(candidates: DataFrame) -> DataFrame:
     """Counts and shares of candidates by label."""
     total = F.greatest(F.count("*"), F.lit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.chunks import enrich
 
+Complete = Callable[[list[str]], list[str]]
 Embed = Callable[[list[str]], np.ndarray]
 
 
@@ -40,6 +43,53 @@ def hash_vectors(texts: list[str], dimension: int = 64) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
+def complete(rows: DataFrame, model: Complete, prompt: str = "user", out: str = "answer", batch: int = 8) -> DataFrame:
+    """``rows`` with the model's answer to each prompt, ``batch`` prompts a call in the workers; null where a call fails or a prompt is null."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in parts:
+            found: list[str | None] = []
+            for i in range(0, len(prompts), batch):
+                some = prompts.iloc[i : i + batch]
+                asked = some[some.notna()].tolist()
+                try:
+                    answers = iter(model(asked)) if asked else iter(())
+                    found += [next(answers, None) if here else None for here in some.notna()]
+                except Exception:  # noqa: BLE001  one failing call must not stop the others
+                    found += [None] * len(some)
+            yield pd.Series(found, dtype=object)
+
+    return rows.withColumn(out, run(F.col(prompt)))
+
+
+def enrich_by_model(chunks: DataFrame, model: Complete, text: str = "stable_text", batch: int = 8, width: int = 400) -> DataFrame:
+    """``chunks`` with ``title, summary, tags`` from a model that answers a prompt of ``batch`` numbered texts with a JSON array.
+
+    The prompt shows the first ``width`` characters of each text. An item missing in the answer
+    gives empty values; where a call or its JSON fails, the values are those of the rules.
+    """
+
+    @F.pandas_udf("title string, summary string, tags array<string>, made boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            rows = []
+            for i in range(0, len(texts), batch):
+                some = texts.iloc[i : i + batch].fillna("").tolist()
+                try:
+                    items = json.loads(model(["\n".join(f"[{n}] {t[:width]}" for n, t in enumerate(some))])[0])
+                    items = [item if isinstance(item, dict) else {} for item in items][: len(some)]
+                    items += [{}] * (len(some) - len(items))
+                    rows += [(str(x.get("title") or ""), str(x.get("summary") or ""), [str(t) for t in x.get("tags") or []], True) for x in items]
+                except Exception:  # noqa: BLE001  the rules stand in
+                    rows += [(None, None, None, False)] * len(some)
+            yield pd.DataFrame(rows, columns=["title", "summary", "tags", "made"])
+
+    ruled = enrich(chunks, text).withColumn("__model", run(F.col(text)))
+    chosen = {c: F.when(F.col("__model.made"), F.col(f"__model.{c}")).otherwise(F.col(c)) for c in ("title", "summary", "tags")}
+    return ruled.withColumns(chosen).drop("__model")
+
+
 def answer_quality(rows: DataFrame) -> DataFrame:
     """Lexical stand-ins for judged answer quality on ``query, answer, expected, context``: shares of terms found."""
 

@@ -314,6 +314,9 @@ c AS (SELECT *, count(*) FILTER (NOT wrong) OVER (PARTITION BY query_id) AS n, m
 SELECT query_id, chunk_id, rank FROM c WHERE NOT wrong OR (n = 0 AND rank = first)""",
     "rerank_overlap": f"WITH {OVERLAP} SELECT query_id, chunk_id, new_rank AS rank, rerank_score FROM reranked",
     "rank_change": f"WITH {OVERLAP} SELECT query_id, chunk_id, old_rank, new_rank, CASE WHEN old_rank > new_rank THEN '▲' || (old_rank - new_rank) WHEN old_rank < new_rank THEN '▼' || (new_rank - old_rank) ELSE '↔' END AS change FROM reranked",
+    "packer_citations": f"""WITH {PACKED} SELECT query_id, ref_number, chunk_id, CASE WHEN chunk_id % 3 <> 0 THEN source_label ELSE chunk_id::varchar END AS source_label,
+sha256(CASE WHEN length(display_text) > 120 THEN regexp_replace(substr(display_text, 1, 120), '{SPACE}+$', '') || '…' ELSE display_text END) AS excerpt_hash FROM packed""",
+    "eval_answerable": f"WITH {EVAL} SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM judged WHERE query_id % 4 <> 0",
     "citations": f"WITH {FUSED} SELECT query_id, rank AS ref_number, chunk_id, source_path AS source_label, sha256(substr(display_text, 1, 200)) AS excerpt_hash FROM hybrid",
     "context_pack": f"WITH {PACKED} SELECT query_id, ref_number, chunk_id, tokens, used_tokens FROM packed",
     "context_drop_reasons": f"""WITH {PACKED} SELECT o.query_id, o.chunk_id, o.rank, CASE WHEN o.nth > 1 THEN 'duplicate' WHEN r.ref_number > 6 THEN 'below_top_k' ELSE 'budget' END AS reason

@@ -439,6 +439,13 @@ def context_pack(spark, sf_dir):
     return _packed(spark, sf_dir).select("query_id", "ref_number", "chunk_id", "tokens", "used_tokens")
 
 
+@query
+def packer_citations(spark, sf_dir):
+    """Every third packed passage without a label."""
+    packed = _packed(spark, sf_dir).withColumn("source_label", F.when(F.col("chunk_id") % 3 != 0, F.col("source_label")))
+    return context.packer_citations(packed).select("query_id", "ref_number", "chunk_id", "source_label", _digest("excerpt").alias("excerpt_hash"))
+
+
 @query
 def context_drop_reasons(spark, sf_dir):
     return context.drop_reasons(_hybrid(spark, sf_dir).withColumn("source_label", F.col("source_path")), 6, 2048)
@@ -511,6 +518,15 @@ def eval_macro(spark, sf_dir):
     return metrics.macro(metrics.per_query(_keyword(spark, sf_dir), _qrels(spark, sf_dir), 10))
 
 
+@query
+def eval_answerable(spark, sf_dir):
+    """Means without the queries that are to be declined, here every fourth."""
+    behaviour = F.when(F.col("item_id") % 4 == 0, "abstain").otherwise("answer").alias("expected_behavior")
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), behaviour)
+    rows = metrics.per_query(_keyword(spark, sf_dir), _qrels(spark, sf_dir), 10)
+    return metrics.macro(metrics.answerable(rows, cases))
+
+
 @query
 def case_outcomes(spark, sf_dir):
     return metrics.outcomes(metrics.per_query(_keyword(spark, sf_dir), _qrels(spark, sf_dir), 10))

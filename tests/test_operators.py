@@ -188,3 +188,37 @@ def test_rows_of_documents_equal_their_blocks(spark):
     assert as_set(kept) == as_set(clean.dedupe_paragraphs(blocks.line_blocks(docs)).select("doc_id", "pos", "text"))
     for df in (blocks.document_metrics(docs), kept):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_model_hooks_fall_back(spark):
+    """Batched completion, enrichment and pair scores; failing calls leave null or the values of the rules."""
+    rows = spark.createDataFrame([(i, f"Text number {i}.") for i in range(10)], "chunk_id int, stable_text string").coalesce(1)
+
+    def upper(prompts):
+        if any("7" in p for p in prompts):
+            raise ValueError
+        return [p.upper() for p in prompts]
+
+    got = {r["chunk_id"]: r["answer"] for r in models.complete(rows, upper, "stable_text", batch=5).collect()}
+    assert got[0] == "TEXT NUMBER 0." and got[6] is None and len(got) == 10
+
+    def titled(prompts):
+        return ["not json" if "[0] Text number 8" in prompts[0] else '[{"title": "T", "summary": "S", "tags": ["a"]}]']
+
+    made = {r["chunk_id"]: (r["title"], r["tags"]) for r in models.enrich_by_model(rows, titled).collect()}
+    assert made[0] == ("T", ["a"]) and made[1] == ("", []) and made[8][0] == "Text number 8."
+    asked = rows.selectExpr("1 AS query_id", "chunk_id", "chunk_id + 1 AS rank", "'q' AS query", "stable_text")
+    best = fusion.rerank_pairs(asked, lambda pairs: [float(t[12]) for _, t in pairs], 2, batch=3).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in best] == [9, 8]
+
+
+def test_overwrite_policy_and_report(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Some text here.", "Own", ""), (2, "Other text.", None, "kept")], "chunk_id int, stable_text string, title string, summary string")
+    got = {r["chunk_id"]: (r["title"], r["summary"]) for r in chunks.enrich(rows, overwrite=False).collect()}
+    assert got == {1: ("Own", "Some text here."), 2: ("Other text.", "kept")}
+    judged = spark.createDataFrame([(1, 1.0, 1.0, 1.0), (2, 0.0, 0.0, 0.0)], "query_id int, recall double, mrr double, ndcg double")
+    cases = spark.createDataFrame([(1, "answer"), (2, "abstain")], "query_id int, expected_behavior string")
+    row = metrics.report(judged, cases, latency=spark.range(1).selectExpr("31.5 AS mean_ms"))
+    metrics.write_report(row, f"file://{tmp_path}/report")
+    held = spark.read.json(f"file://{tmp_path}/report").first()
+    assert held["n_queries"] == 1 and held["recall"] == 1.0 and held["latency"]["mean_ms"] == 31.5
