@@ -130,8 +130,8 @@ statistics AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) F
 ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
-def bm25(k: int, scope: str = "true") -> str:
-    return f"""{bm25_index()}, {ASKED},
+def bm25(k: int, scope: str = "true", asked: str = ASKED) -> str:
+    return f"""{bm25_index()}, {asked},
 wanted AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({terms('query')}) AS term FROM asked) GROUP BY ALL),
 scored AS (SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_terms / (SELECT avg(n_terms) FROM lengths)))), 6) AS bm25_score
   FROM postings JOIN statistics USING (term) JOIN wanted USING (term) JOIN lengths USING (chunk_id) JOIN corpus USING (chunk_id) WHERE {scope} GROUP BY ALL),
@@ -294,12 +294,15 @@ SELECT doc_id, unchanged, added, removed, round(r, 6) AS change_ratio, CASE WHEN
     "resync_hybrid": f"""WITH RECURSIVE {RESYNC}, all_ AS (SELECT doc_id, again OR avg(again::int) OVER (PARTITION BY doc_id) >= 0.8 AS again FROM again)
 SELECT doc_id, count(*) FILTER (NOT again) AS reused, count(*) FILTER (again) AS reembed, round(count(*) FILTER (NOT again)::double / count(*), 6) AS savings_ratio FROM all_ GROUP BY doc_id""",
     "stale_chunks": f"WITH RECURSIVE {VERSIONS} SELECT o.doc_id, o.pos, o.block_hash AS chunk_signature FROM old o ANTI JOIN new n ON o.doc_id = n.doc_id AND o.block_hash = n.block_hash",
-    "early_skip": "SELECT doc_id, sha256(text) AS doc_key FROM documents d WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 2 = 1 AND k.text = d.text)",
+    "early_skip": "WITH known AS (SELECT CASE WHEN doc_id % 7 = 0 THEN text || ' x' ELSE text END AS text FROM documents) SELECT doc_id, sha256(text) AS doc_key FROM documents ANTI JOIN known USING (text)",
     "latest_version": "SELECT source AS source_path, doc_id, n_chars AS ingest_seq FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) = 1",
     "upsert_documents": "WITH r AS (SELECT doc_id * 2 AS doc_id, lang, -1::bigint AS n_chars FROM documents WHERE doc_id % 5 = 0) SELECT doc_id, lang, n_chars FROM documents ANTI JOIN r USING (doc_id) UNION ALL SELECT * FROM r",
     "delete_documents": f"WITH {LINES} SELECT doc_id, count(*) AS n_blocks FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id",
     "bm25_statistics": f"WITH {bm25_index()} SELECT term, df, round(idf, 6) AS idf FROM statistics",
     "bm25_topk": f"WITH {bm25(10)} SELECT query_id, chunk_id, bm25_score, rank FROM keyword",
+    "bm25_filled": f"""WITH {bm25(10, asked="asked AS (SELECT min(doc_id) AS query_id, source AS query FROM documents WHERE source IS NOT NULL GROUP BY source)")}
+SELECT a.query_id, c.chunk_id, coalesce(s.bm25_score, 0) AS bm25_score, (row_number() OVER (PARTITION BY a.query_id ORDER BY s.bm25_score IS NULL, s.bm25_score DESC, c.chunk_id))::int AS rank
+FROM asked a CROSS JOIN corpus c LEFT JOIN scored s ON s.query_id = a.query_id AND s.chunk_id = c.chunk_id QUALIFY rank <= 10""",
     "bm25_topk_collection": f"""WITH {bm25(10, "lang = 'en'")} SELECT query_id, chunk_id, bm25_score, rank FROM keyword""",
     "keyword_remove": f"WITH {bm25_index('chunk_id % 4 <> 0')} SELECT term, df, round(idf, 6) AS idf FROM statistics",
     "knn_topk": f"WITH {knn('q.vec_id % 100 = 0', 10)} SELECT query_id, chunk_id, l2sq, rank FROM vector",

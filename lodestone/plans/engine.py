@@ -103,12 +103,15 @@ class Engine:
         """Ranked candidates of ``query_id, query``: search in the stored keyword index, fused with vector search.
 
         Vectors are those given, or else the stored ones and the queries' own where the engine has a model.
+        A collection without any chunk does not narrow the search.
         """
         if embeddings is None and self.embed is not None and self.store.exists("vectors"):
             embeddings = self.store.read("vectors")
             query_embeddings = models.embed_texts(queries, self.embed, "query").select("query_id", "embedding")
         held = self.store.read("chunks").dropDuplicates(["chunk_id"])
         scope = None if collection is None else held.where(F.col("collection") == collection).select("chunk_id")
+        if scope is not None and scope.isEmpty():
+            scope = None
         lists = {"bm25": keyword.search(self.index() or keyword.build(held), queries, 2 * self.top_k, scope)}
         if embeddings is not None and query_embeddings is not None:
             inside = embeddings if scope is None else embeddings.join(scope, "chunk_id", "left_semi")

@@ -31,6 +31,7 @@ def test_ingest_search_and_reingest(spark, engine):
     assert "[1]" in parts["answers"].first()["answer"] and "=== Question ===" in parts["prompts"].first()["user"]
     assert {r["collection"]: r["n_documents"] for r in engine.list_collections().collect()} == {"db": 1, "default": 1}
     assert engine.search(asked, collection="default").count() == 0
+    assert engine.search(asked, collection="of no document").first()["source_path"] == "a.txt"
     with pytest.raises(ValueError):
         Engine(spark, engine.store, token_budget=1)
 

@@ -101,6 +101,23 @@ def test_keyword_search(spark):
     assert [r["chunk_id"] for r in keyword.search(keyword.remove(index, gone), asked, 5).collect()] == ["c3"]
 
 
+def test_keyword_search_fills_up(spark):
+    rows = [("c1", "Python is a language"), ("c2", "the cat sat"), ("c3", "a language of cats"), ("c4", None), ("c5", "birds fly")]
+    index = keyword.build(frame(spark, rows, "chunk_id string, stable_text string"))
+    asked = frame(spark, [(1, "Python programming language"), (2, "nothing here"), (3, None)], "query_id int, query string")
+
+    def ids(scope=None):
+        found = keyword.search(index, asked, 3, scope, fill=True).orderBy("query_id", "rank").collect()
+        assert all((r["bm25_score"] == 0) == (r["query_id"] > 1 or r["chunk_id"] not in ("c1", "c3")) for r in found)
+        return [[r["chunk_id"] for r in found if r["query_id"] == q] for q in (1, 2, 3)]
+
+    assert ids() == [["c1", "c3", "c2"], ["c1", "c2", "c3"], ["c1", "c2", "c3"]]
+    assert ids(frame(spark, [("c3",), ("c5",)], "chunk_id string")) == [["c3", "c5"]] * 3
+    assert ids(frame(spark, [(1, "c5"), (2, "c4"), (2, "c4")], "query_id int, chunk_id string")) == [["c5"], ["c4"], []]
+    empty = keyword.build(frame(spark, [], "chunk_id string, stable_text string"))
+    assert keyword.search(empty, asked, 3, fill=True).count() == 0
+
+
 def test_vector_search_in_blocks(spark):
     rows = [(i, [float(i), 0.0]) for i in range(50)]
     v = frame(spark, rows, "chunk_id int, embedding array<float>")
