@@ -8,7 +8,27 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 
-def raw_artifacts(spark: SparkSession, path: str) -> DataFrame:
+RAW = "source_path string, file_name string, extension string, file_size_bytes long, modified_at string, content binary, text string, doc_key string"
+
+
+def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """:func:`raw_artifacts` of single files (no patterns) with ``error``: ``missing`` or ``folder`` in a row of its own, null for a file."""
+    errors, sound = [], []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(place):
+            errors.append((path, "missing"))
+        elif fs.getFileStatus(place).isDirectory():
+            errors.append((path, "folder"))
+        else:
+            sound.append(path)
+    held = raw_artifacts(spark, sound) if sound else spark.createDataFrame([], RAW)
+    failed = spark.createDataFrame(errors, "source_path string, error string")
+    return held.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+
+
+def raw_artifacts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``source_path, file_name, extension, file_size_bytes, modified_at, content, text, doc_key`` of files under a path or pattern."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)

@@ -90,6 +90,17 @@ def test_files_and_settings(spark, tmp_path):
     assert files.merge_settings({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
 
 
+def test_scan_gives_errors_as_rows(spark, tmp_path):
+    (tmp_path / "A.TXT").write_text("whole text")
+    paths = [f"file://{tmp_path}/A.TXT", f"file://{tmp_path}/none.txt", f"file://{tmp_path}"]
+    rows = {r["error"]: r for r in files.scan(spark, paths).collect()}
+    assert set(rows) == {None, "missing", "folder"}
+    assert (rows[None]["text"], rows[None]["extension"]) == ("whole text", ".txt")
+    assert rows["missing"]["source_path"] == paths[1] and rows["missing"]["content"] is None
+    assert [r["error"] for r in files.scan(spark, paths[1:2]).collect()] == ["missing"]
+    assert files.scan(spark, []).count() == 0
+
+
 def test_threads_and_trace(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "bot", "yo")], "conv_id int, turn int, role string, text string")
     assert threads.flatten(rows, "conv_id", "turn", "role", "text").first()["text"] == "[0] <user>: hi\n[1] <bot>: yo"
