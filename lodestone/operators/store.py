@@ -57,6 +57,11 @@ class Store:
         row = self._at(name, held[-1])
         return self.spark.read.schema(row["shape"]).parquet(f"{self.path}/{name}/{row['version']}")
 
+    def of(self, name: str, doc_ids: DataFrame) -> DataFrame | None:
+        """Rows of the given documents in the order of the table's key, so blocks by their sequence; None before the first write."""
+        held = self.read(name)
+        return None if held is None else held.join(doc_ids.select("doc_id"), "doc_id", "left_semi").orderBy(*KEYS[name])
+
     def replace(self, name: str, rows: DataFrame) -> None:
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/{name}/{version}")

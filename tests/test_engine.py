@@ -90,6 +90,14 @@ def test_files_and_settings(spark, tmp_path):
     assert files.merge_settings({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
 
 
+def test_rows_of_documents_come_in_order(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    wanted = spark.createDataFrame([("a",), ("a",), ("none",), (None,)], "doc_id string")
+    assert store.of("blocks", wanted) is None
+    store.save("blocks", spark.createDataFrame([("a", 2, "z"), ("b", 0, "y"), ("a", 10, "x"), ("a", 1, "w")], "doc_id string, sequence int, text string"))
+    assert [(r["doc_id"], r["sequence"], r["text"]) for r in store.of("blocks", wanted).collect()] == [("a", 1, "w"), ("a", 2, "z"), ("a", 10, "x")]
+
+
 def test_scan_gives_errors_as_rows(spark, tmp_path):
     (tmp_path / "A.TXT").write_text("whole text")
     paths = [f"file://{tmp_path}/A.TXT", f"file://{tmp_path}/none.txt", f"file://{tmp_path}"]
