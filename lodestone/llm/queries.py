@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, license_scan, packing, passage_dedup, quality_classifier, quality_rules, sharding, simhash, token_counts, vector_dedup
+from lodestone.llm import (
+    bpe,
+    conversation_repair,
+    fill_in_middle,
+    license_scan,
+    packing,
+    passage_dedup,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+    vector_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +89,34 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, rate=100, spm_rate=50)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, copies="copies", digest=True)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return secret_scan.scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[secret_scan.count_of(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secret_scan.joined(secret_scan.base_only(spans)), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
@@ -86,7 +128,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_bpe": op10_bpe,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_secret_scan": op13_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.scan_sql(0.8),
+    "op11_fill_in_middle": fill_in_middle.digests_sql(7, 100, 50),
 }
