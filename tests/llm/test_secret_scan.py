@@ -44,7 +44,7 @@ def secrets():
 def clean():
     return [
         "Die Donaudampfschifffahrtsgesellschaftskapitaensmuetze ist alt.", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "id 123e4567-e89b-12d3-A456-426614174000 ok",
-        "sha512-Kx0eFq8BzW1rT5yU9oP3aS7dF2gH6jK4lZ0xC8vB", "see https://host/a/Kx0eFq8BzW1rT5yU9oP3aS7dF2gH6jK4lZ", "9807915762804490 4539-1488-0343-6467-9807-9157-6280", "some_long_identifier_name_of_a_function_in_code", "a" * 5000,
+        "sha512-Kx0eFq8BzW1rT5yU9oP3aS7dF2gH6jK4lZ0xC8vB", "see https://host/a/Kx0eFq8BzW1rT5yU9oP3aS7dF2gH6jK4lZ", "9807915762804490 4539-1488-0343-6467-9807-9157-6280", "some_long_identifier_name_of_a_function_in_code", "z" * 5000,
     ]
 
 
