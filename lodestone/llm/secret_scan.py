@@ -7,8 +7,8 @@ width. The window's character counts are kept up to date, one character in and
 one out a step, and with them the sum of c log2 c that its Shannon entropy needs
 (in integers, so no step adds an error). Windows that reach the class's threshold
 and hold the kinds of character it asks for are secret; those that overlap are one
-span. An allow-list of patterns over the candidate and what stands before it
-(identifiers, digests named as such, alphabets, placeholders) suppresses such
+span. An allow-list of patterns over the candidate (identifiers, alphabets, placeholders)
+or over what stands before it (digests named as such, addresses) suppresses such
 spans; it never touches the base patterns.
 
 Texts are read where they lie, without a shuffle. A batch is screened by one
@@ -57,16 +57,20 @@ CLASSES = [
     CharacterClass("alnum", "0-9A-Za-z", 24, 3.7, ("[0-9]", "[A-Za-z]")),
     CharacterClass("base64", "0-9A-Za-z+/_=-", 24, 3.9, ("[0-9]", "[a-z]", "[A-Z]")),
 ]
-#: Searched in the candidate with up to 40 characters of its line before it.
+#: Searched in the candidate itself.
 ALLOWED = [
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # a UUID
     r"(?i)example|sample|dummy|placeholder|your[_-]?(?:key|token|secret)",
-    r"(?i)\bsha(?:1|224|256|384|512)[-:=]",  # a digest said to be one
-    r"(?i)\b(?:commit|revision|checksum|integrity|etag)\b\W{0,4}\w*$",
-    r"(?i);base64,",  # embedded data
-    r"(?i)https?://\S*$",  # a path of an address
+    r"(?i)^sha(?:1|224|256|384|512)[-=]",  # a digest said to be one
     r"(?i)abcdefgh|0123456789",  # an alphabet
 ]
+#: Searched in up to 40 characters of the line before it.
+NAMED = [
+    r"(?i)\bsha(?:1|224|256|384|512)[-:=]\s*$",
+    r"(?i)\b(?:commit|revision|checksum|integrity|etag)\b\W{0,4}\w*$",
+    r"(?i);base64,$",  # embedded data
+    r"(?i)https?:\S*$",  # a path of an address
+]
 CONTEXT = 40
 #: Fixed point of the sums, in parts of a bit.
 UNIT = 1 << 40
@@ -92,7 +96,7 @@ def windows(run: str, width: int, bits: float) -> Iterator[tuple[int, float]]:
         counts[run[start]] = c - 1
 
 
-def entropy_spans(text: str, classes: list[CharacterClass], allowed: list[str]) -> list[tuple[int, int, float]]:
+def entropy_spans(text: str, classes: list[CharacterClass] = CLASSES, allowed: list[str] = ALLOWED, named: list[str] = NAMED) -> list[tuple[int, int, float]]:
     """Start, end and highest entropy of the stretches over secret windows of any class, sorted, joined where they overlap."""
     found: list[tuple[int, int, float]] = []
     for kind in classes:
@@ -103,7 +107,7 @@ def entropy_spans(text: str, classes: list[CharacterClass], allowed: list[str])
                 continue
             line = text.rfind("\n", max(0, at - CONTEXT), at) + 1
             before = text[max(line, at - CONTEXT) : at]
-            if any(re.search(a, before + run) or re.search(a, before) for a in allowed):
+            if any(re.search(a, run) for a in allowed) or any(re.search(a, before) for a in named):
                 continue
             for start, entropy in windows(run, kind.width, kind.bits):
                 if all(n.search(run, start, start + kind.width) for n in needs):
@@ -117,11 +121,11 @@ def entropy_spans(text: str, classes: list[CharacterClass], allowed: list[str])
     return joined
 
 
-def spans_of(text: str, classes: list[CharacterClass] = CLASSES, allowed: list[str] = ALLOWED) -> list[tuple[str, int, int, float | None]]:
+def spans_of(text: str, classes: list[CharacterClass] = CLASSES, allowed: list[str] = ALLOWED, named: list[str] = NAMED) -> list[tuple[str, int, int, float | None]]:
     """``kind, start, end, bits`` by start, then kind as listed; entropy spans inside a base span are left to that."""
     order = {kind: i for i, (kind, *_) in enumerate(BASE)}
     base = [(kind, m.start(), m.end(), None) for kind, pattern, group, least in BASE for m in re.finditer(pattern, text) if m.end(group) - m.start(group) >= least]
-    own = [("entropy", a, b, e) for a, b, e in entropy_spans(text, classes, allowed) if not any(x[1] <= a and b <= x[2] for x in base)]
+    own = [("entropy", a, b, e) for a, b, e in entropy_spans(text, classes, allowed, named) if not any(x[1] <= a and b <= x[2] for x in base)]
     return sorted(base + own, key=lambda x: (x[1], order.get(x[0], len(order))))
 
 
@@ -131,7 +135,7 @@ def screen(classes: list[CharacterClass]) -> str:
     return "|".join([r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", "AKIA[A-Z0-9]{16}", "[0-9a-f]{24}", *runs])
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", classes: list[CharacterClass] = CLASSES, allowed: list[str] = ALLOWED) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", classes: list[CharacterClass] = CLASSES, allowed: list[str] = ALLOWED, named: list[str] = NAMED) -> DataFrame:
     """``doc_id, spans``: for every row an array of ``kind, start, end, bits``, sorted."""
     pattern = screen(classes)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
@@ -139,7 +143,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", classes: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             likely = pc.match_substring_regex(batch.column(1), pattern).to_pylist()
-            spans = [[dict(zip(("kind", "start", "end", "bits"), s, strict=True)) for s in spans_of(batch.column(1)[i].as_py(), classes, allowed)] if hit else [] for i, hit in enumerate(likely)]
+            spans = [[dict(zip(("kind", "start", "end", "bits"), s, strict=True)) for s in spans_of(batch.column(1)[i].as_py(), classes, allowed, named)] if hit else [] for i, hit in enumerate(likely)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
