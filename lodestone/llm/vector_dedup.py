@@ -9,10 +9,10 @@
    residual codes, and the length of what the codes leave out.
 3. A vector probes, besides its own list, each later list it may have a neighbour in:
    the planes that bisect the way there, between top cells and then between lists, lie
-   within ``reach``. With ``slack`` None that is the search radius, and no pair is lost. By
-   default it is at most 5 times the radius over the root of the length: a neighbour at
-   the radius in a random direction lies across a farther plane less than once in a
-   million. Every pair of lists is probed from one side only.
+   within ``reach``. That is the search radius, so no pair is lost in whatever direction
+   it lies. (A ``slack`` makes it at most ``slack`` radii over the root of the length, which
+   pairs in random directions hardly ever exceed, but pairs on a curve do.) Every pair of
+   lists is probed from one side only.
 4. The rows of a list and those that probe it are dealt into blocks, and every task
    gets one pair of blocks, so neither side grows with a list. Asymmetric distances are sums of looked
    up parts; a pair survives if that distance is within the radius plus the
@@ -186,9 +186,13 @@ def _linker(index, radius: float, cosine: float):
     return link
 
 
-def fit(reps: DataFrame, n: int, sample_rows: int, lists: int, seed: int = 1) -> dict[int, Index]:
-    """An index for each vector length of a sample of about ``sample_rows`` rows that has over 64 of them; {} for an empty table."""
-    share = min(1.0, sample_rows / max(1, n))
+def fit(reps: DataFrame, n: int, sample_rows: int, lists: int, seed: int = 1, sample_bytes: int = 128 << 20) -> dict[int, Index]:
+    """An index for each vector length of a sample of about ``sample_rows`` rows that has over 64 of them; {} for an empty table.
+
+    The sample takes ``sample_bytes`` at most on average, counted in double precision, so that long vectors bring fewer rows.
+    """
+    longest = reps.agg(F.max(F.size("vec"))).first()[0] or 1
+    share = min(1.0, min(sample_rows, sample_bytes // (8 * longest)) / max(1, n))
     chosen = reps.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < int(share * (1 << 30)))  # ids are distinct
     rows = chosen.select("rep", "vec").toArrow().sort_by("rep").column("vec").combine_chunks()
     sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
@@ -201,7 +205,7 @@ def fit(reps: DataFrame, n: int, sample_rows: int, lists: int, seed: int = 1) ->
     return found
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = 20_000, block: int = 2048, slack: float | None = 5.0, list_rows: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = 20_000, block: int = 2048, slack: float | None = None, list_rows: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id`` of every row."""
     radius = math.sqrt(2 - 2 * cosine)
     vec = F.col(embedding)
