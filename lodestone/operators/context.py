@@ -22,13 +22,18 @@ NO_CONTEXT = "(No context passages available — please respond with the abstain
 SYSTEM_PROMPT = "Answer only from the numbered context passages and cite each claim as [N]. If they do not hold the answer, say that you don't have enough information in the provided context."
 
 
+def packing_tokens() -> Column:
+    """A candidate's tokens: those counted, else the estimate for its text."""
+    return F.when(F.col("token_count") > 0, F.col("token_count")).otherwise(T.token_estimate(F.col("display_text")))
+
+
 def pack(candidates: DataFrame, top: int = 6, budget: int = 2048) -> DataFrame:
     """``query_id, ref_number, chunk_id, tokens, used_tokens, display_text, source_label``.
 
     In rank order, repeated texts are skipped; the first one that would exceed
     the budget ends the context. The choice is a prefix, so a running sum decides.
     """
-    tokens = F.when(F.col("token_count") > 0, F.col("token_count")).otherwise(T.token_estimate(F.col("display_text")))
+    tokens = packing_tokens()
     ordered = W.partitionBy("query_id").orderBy("rank")
     first = F.row_number().over(W.partitionBy("query_id", F.sha2(T.strip(F.col("stable_text")), 256)).orderBy("rank"))
     unique = candidates.withColumns({"tokens": tokens, "nth": first}).where("nth = 1")

@@ -65,8 +65,12 @@ def rrf(lists: dict[str, DataFrame], k: int = 60, top: int | None = None) -> Dat
 
 
 def language_filter(candidates: DataFrame, query: str = "query", text: str = "stable_text") -> DataFrame:
-    """For queries with CJK characters, drops candidates without any and without a positive keyword score; the best stays if none would."""
-    wrong = T.has_cjk(F.col(query)) & ~T.has_cjk(F.col(text)) & (F.coalesce("bm25_score", F.lit(0.0)) <= 0)
+    """For queries with CJK characters, drops candidates without any and without a positive keyword score; the best stays if none would.
+
+    Where the text is empty, the one that is shown counts.
+    """
+    shown = F.coalesce(F.nullif(F.col(text), F.lit("")), F.col("display_text"), F.lit("")) if "display_text" in candidates.columns else F.coalesce(F.col(text), F.lit(""))
+    wrong = T.has_cjk(F.col(query)) & ~T.has_cjk(shown) & (F.coalesce("bm25_score", F.lit(0.0)) <= 0)
     marked = candidates.withColumn("fits", ~F.coalesce(wrong, F.lit(False)))
     whole = W.partitionBy("query_id")
     counted = marked.withColumns({"left": F.sum(F.col("fits").cast("int")).over(whole), "first": F.min("rank").over(whole)})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stages in the order a trace shows them.
-STAGES = ["sniff", "parse", "clean", "split", "pack", "embed", "index", "retrieve", "fuse", "filter", "rerank", "generate"]
+STAGES = ["sniff", "parse", "clean", "split", "pack", "embed", "index", "retrieve", "fuse", "filter", "rerank", "generate", "cite"]
 
 
 def save_runs(runs: DataFrame, path: str) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import blocks, chunks, clean, context, fusion, identity, keyword, metrics, models, parse, trace, vectors
 from lodestone.oracles import ORACLE_SQL  # noqa: F401
+from lodestone.scratch import spread, written
 from lodestone.sources import threads, web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,8 +323,12 @@ def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _index(spark, sf_dir):
+    return keyword.build(spread(_corpus(spark, sf_dir).select("chunk_id", "stable_text")))
+
+
 def _keyword(spark, sf_dir, k: int = 20):
-    return keyword.search(keyword.build(_corpus(spark, sf_dir)), _asked(spark, sf_dir), k)
+    return keyword.search(_index(spark, sf_dir), _asked(spark, sf_dir), k)
 
 
 def _vectors(spark, sf_dir):
@@ -344,7 +349,7 @@ def _hybrid(spark, sf_dir, top: int = 10):
 
 @query
 def bm25_statistics(spark, sf_dir):
-    index = keyword.build(_corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return index.statistics.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -357,18 +362,18 @@ def bm25_topk(spark, sf_dir):
 def bm25_filled(spark, sf_dir):
     """Names of sources as queries; few texts hold one, so chunks at score zero follow."""
     asked = table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("query")).agg(F.min("doc_id").alias("query_id"))
-    return keyword.search(keyword.build(_corpus(spark, sf_dir)), asked, 10, fill=True)
+    return keyword.search(_index(spark, sf_dir), asked, 10, fill=True)
 
 
 @query
 def bm25_topk_collection(spark, sf_dir):
     scope = _corpus(spark, sf_dir).where("lang = 'en'").select("chunk_id")
-    return keyword.search(keyword.build(_corpus(spark, sf_dir)), _asked(spark, sf_dir), 10, scope)
+    return keyword.search(_index(spark, sf_dir), _asked(spark, sf_dir), 10, scope)
 
 
 @query
 def keyword_remove(spark, sf_dir):
-    index = keyword.build(_corpus(spark, sf_dir))
+    index = _index(spark, sf_dir)
     gone = _corpus(spark, sf_dir).where("chunk_id % 4 = 0").select("chunk_id")
     return keyword.remove(index, gone).statistics.select("term", "df", F.round("idf", 6).alias("idf"))
 

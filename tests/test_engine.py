@@ -129,16 +129,19 @@ def test_numeric_cursors_and_byte_artifacts(spark, engine):
 
 
 def test_a_lost_write_leaves_the_version_before(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/store", keep=2)
+    """What a lost driver leaves, a segment without a manifest and half a draft of one, is no one's; old versions go."""
+    store = Store(spark, f"file://{tmp_path}/store", keep=2, buckets=2, segments=2)
     rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "doc_id string")
     store.save("documents", rows("a", "b"))
-    (tmp_path / "store/documents/_pointers/000000000001").mkdir()  # a driver lost while it wrote the next pointer
+    store.stage("documents", rows("lost"))
+    (tmp_path / "store/_manifests/000000000001.json.0.draft").write_text("{")
     assert store.read("documents").count() == 2
     store.save("documents", rows("c"))
     assert {r["doc_id"] for r in store.read("documents").collect()} == {"a", "b", "c"}
-    for i in range(4):
+    for i in range(8):
         store.save("documents", rows(f"d{i}"))
-    assert store.read("documents").count() == 7 and len(list((tmp_path / "store/documents").glob("[0-9a-f]*"))) <= 4
+    assert store.read("documents").count() == 11 and len(list((tmp_path / "store/documents").glob("[0-9a-f]*"))) <= 8
+    assert len(list((tmp_path / "store/_manifests").glob("*.json"))) == 2
 
 
 def test_odd_vectors_are_left_out(spark):
@@ -173,3 +176,67 @@ def test_stored_index_follows_the_chunks(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     fresh.save(path)
     assert keyword.KeywordIndex.load(spark, path).postings.count() == fresh.postings.count()
+
+
+def test_a_text_of_two_collections_is_found_in_each(spark, engine):
+    shared = "Shared words of two collections."
+    engine.ingest(documents(spark, [("a.txt", shared, "db"), ("b.txt", shared, "web"), ("c.txt", "Only of the web.", "web")]))
+    asked = spark.createDataFrame([(1, "shared words")], "query_id int, query string")
+    for name, path in (("db", "a.txt"), ("web", "b.txt")):
+        rows = engine.search(asked, collection=name).collect()
+        assert [(r["source_path"], r["collection"]) for r in rows] == [(path, name)]
+    engine.ingest(documents(spark, [("a.txt", "Quite another text.", "db")]))
+    assert [r["source_path"] for r in engine.search(asked).collect()] == ["b.txt"]  # the chunk stays, as b.txt has it
+    engine.ingest(documents(spark, [("b.txt", "Something else.", "web")]))
+    assert engine.search(asked).count() == 0
+    engine.ingest(documents(spark, [("d.txt", shared, "db")]))  # a chunk that was removed comes back
+    rows = engine.search(asked).collect()
+    assert [(r["source_path"], r["rank"]) for r in rows] == [("d.txt", 1)]
+    fresh = keyword.search(keyword.build(engine.store.read("chunks").dropDuplicates(["chunk_id"])), asked, 5).first()
+    assert rows[0]["bm25_score"] == pytest.approx(fresh["bm25_score"])
+
+
+def test_an_empty_store_answers(spark, engine):
+    asked = spark.createDataFrame([(1, "anything")], "query_id int, query string")
+    found = engine.search(asked, collection="x")
+    assert found.count() == 0 and [tuple(r) for r in engine.list_collections().collect()] == [("default", 0)]
+    made = engine.answer(asked, found)
+    assert made["packed"].count() == 0 and made["citations"].count() == 0 and made["trace"].count() == 3
+
+
+def test_artifacts_that_never_have_content_are_dead_letters(spark, engine):
+    schema = "source_id string, content_text string, content_bytes binary, mime_type string, cursor_after string"
+    items = [("m9", "mail nine", None, "text/plain", "9"), ("m9/pdf", None, None, "error/too-large", "9"), ("m10", "mail ten", None, "text/plain", "10"), ("m11", "mail eleven", None, "text/plain", "11")]
+    assert engine.sync("mail", spark.createDataFrame(items, schema)).count() == 3
+    assert engine.store.cursor("mail") == "11"
+    assert [(r["source_id"], r["reason"]) for r in engine.store.read("dead_letters").collect()] == [("m9/pdf", "error/too-large")]
+    late = [("m12", None, None, "error/UnicodeError", "12"), ("m13", " ", None, "text/plain", "13"), ("m14", "mail fourteen", None, "text/plain", "14")]
+    assert engine.sync("mail", spark.createDataFrame(late, schema)).count() == 1
+    assert engine.store.cursor("mail") == "12" and engine.store.read("dead_letters").count() == 2  # 13 may still get content
+
+
+def test_answers_of_a_model_with_trace_and_report(spark, tmp_path):
+    def model(prompts):
+        if any("cats" in p for p in prompts):
+            raise RuntimeError("down")
+        return ["It joins [1]." if "join" in p else "I cannot answer." for p in prompts]
+
+    engine = Engine(spark, Store(spark, f"file://{tmp_path}/store"), token_budget=64, complete=model)
+    engine.ingest(documents(spark, [("dir/a.txt", "Spark joins large tables.", None), ("b.txt", "Cats sleep all day.", None)]))
+    cases = spark.createDataFrame([(1, "spark join tables", "answer"), (2, "sleep of the day", "abstain"), (3, "zebra", "abstain")], "query_id int, query string, expected_behavior string")
+    found = engine.search(cases.select("query_id", "query"))
+    made = engine.answer(cases.select("query_id", "query"), found, save=True)
+    answers = {r["query_id"]: (r["answer"], r["abstained"]) for r in made["answers"].collect()}
+    assert answers[1] == ("It joins [1].", False) and answers[2][1] and answers[3][1]
+    assert [(r["query_id"], r["ref_number"], r["source_label"]) for r in made["citations"].collect()] == [(1, 1, "a.txt")]
+    spans = made["spans"].where("query_id = 1").orderBy("span_no").collect()
+    assert [r["span_type"] for r in spans] == ["answer", "citation_marker", "answer"]
+    saved = engine.saved_runs().collect()
+    assert [r["stage"] for r in saved] == ["pack", "generate", "cite"] and all(r["latency_ms"] >= 0 for r in saved)
+    assert engine.store.read("answers").count() == 3
+    qrels = spark.createDataFrame([(1, r["chunk_id"]) for r in found.where("query_id = 1").collect()], "query_id int, chunk_id string")
+    rows, report = engine.run_eval(cases, qrels)
+    assert {r["query_id"]: (r["actual_behavior"], r["behaved"]) for r in rows.collect()} == {1: ("answer", True), 2: ("abstain", True), 3: ("abstain", True)}
+    r = report.first()
+    assert (r["n_queries"], r["recall"], r["behaviour"]["share_behaved"], r["attribution"]["n_bm25_only"]) == (1, 1.0, 1.0, 2)
+    assert r["efficiency"]["n_queries"] == 2 and r["seconds"]["answering"] > 0
