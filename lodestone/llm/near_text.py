@@ -14,7 +14,8 @@ agreeing parts of the bits find no such pairs, so buckets come from minima inste
    buckets that still hold more than one component are compared.
 3. A bucket is cut into blocks by hash, each with the bucket's smallest node added. In a
    block, fingerprints are compared bit-sliced (planes, carry-save counters); pairs within
-   26 bits (at 0.8 others are rarer than one in a million) are decided on the whole sets.
+   26 bits (at 0.8 others are rarer than one in a million), and all pairs with a set of
+   fewer than 64 shingles, are decided on the whole sets.
 4. Buckets of several blocks that still hold more than one component are compared
    again as pairs of blocks, so that no pair is lost and no task grows with a bucket.
    A block sends on at most one link a node.
@@ -38,6 +39,10 @@ from lodestone.llm.common import components, cut
 from lodestone.llm.simhash import _LOWER, planes, within
 
 BANDS, ROWS, FIRST, RADIUS = 28, 4, 7, 26
+#: Sets smaller than this are compared whole at once: few shingles make fingerprints differ in more bits.
+SMALL = 64
+#: Sets that a Python group holds at once, in bytes on average.
+SHARD_BYTES = 64 << 20
 _RNG = np.random.default_rng(5)
 _SCALE = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -86,9 +91,9 @@ def marked(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
 
 
 def parts(sets: list[np.ndarray], fps: np.ndarray, similarity: float, radius: int = RADIUS) -> np.ndarray:
-    """For each set the first one of its connected part; links are pairs within ``radius`` bits and ``similarity``."""
+    """For each set the first one of its connected part; links are pairs of ``similarity`` within ``radius`` bits, or with a small set."""
     size = np.array([len(s) for s in sets])
-    part, unseen = np.arange(len(sets)), size > 0
+    part, unseen, small = np.arange(len(sets)), size > 0, size < SMALL
     near = within(fps, planes(fps), len(fps), radius)
     bits = lambda row: np.unpackbits(row.view(np.uint8), count=len(fps), bitorder="little").astype(bool)
     for root in np.flatnonzero(size):
@@ -99,7 +104,7 @@ def parts(sets: list[np.ndarray], fps: np.ndarray, similarity: float, radius: in
         while front:
             q = front.pop()
             fits = (size >= similarity * size[q] - 1e-9) & (size * similarity <= size[q] + 1e-9)
-            at = np.flatnonzero(bits(near[q]) & unseen & fits)
+            at = np.flatnonzero((bits(near[q]) | small | small[q]) & unseen & fits)
             if not len(at):
                 continue
             joined = np.concatenate([sets[k] for k in at])
@@ -138,7 +143,7 @@ def _first_row(doc_id: str = "doc_id", key: str = "key") -> Column:
 
 
 def _sets(rows: DataFrame, held: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """``node, fp, hashes`` of the wanted nodes, made from the text of one row of each."""
+    """``node, fp, hashes, size`` of the wanted nodes, made from the text of one row of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +152,8 @@ def _sets(rows: DataFrame, held: DataFrame, wanted: DataFrame, shingle_words: in
 
     chosen = cut(held.join(wanted, "node", "left_semi").select("node", "fp", "f.*"))
     made = rows.join(chosen, ROW).select("node", "fp", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "node long, fp long, hashes binary")
-    return cut(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("hashes").alias("hashes")))  # repeated rows fold
+    held = made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("hashes").alias("hashes"))  # repeated rows fold
+    return cut(held.withColumn("size", F.octet_length("hashes") / 8))
 
 
 def links(rows: DataFrame, held: DataFrame, similarity: float = 0.8, shingle_words: int = 5, block: int = 512) -> DataFrame:
@@ -160,8 +166,10 @@ def links(rows: DataFrame, held: DataFrame, similarity: float = 0.8, shingle_wor
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
     def linked(cells: DataFrame) -> DataFrame:
-        shards = max(1, cells.count() // 4096)
-        met = cells.join(sets, "node").withColumn("shard", F.pmod(F.xxhash64(*BUCKET, "i", "j"), F.lit(shards)))
+        met = cells.join(sets, "node")
+        n, size = cells.join(sets.select("node", "size"), "node").agg(F.count("*"), F.sum("size")).first()
+        shards = max(1, n // 4096, int((size or 0) * 8) // SHARD_BYTES)
+        met = met.drop("size").withColumn("shard", F.pmod(F.xxhash64(*BUCKET, "i", "j"), F.lit(shards)))
         return cut(met.groupBy("shard").applyInPandas(_linker(similarity), "a long, b long"))
 
     def open_buckets(members: DataFrame, known: DataFrame | None) -> DataFrame:

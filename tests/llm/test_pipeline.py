@@ -34,8 +34,9 @@ def test_stages_keep_columns_and_take_effect(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_covers_its_table(spark, name):
     out = queries.QUERIES[name](spark, SF)
-    key = "vec_id" if "vec_id" in out.columns else "doc_id"
-    whole = spark.read.parquet(f"{SF}/{'embeddings' if key == 'vec_id' else 'documents'}.parquet").select(key)
+    tables = {"vec_id": "embeddings", "conv_id": "conversations", "doc_id": "documents"}
+    key = next(k for k in tables if k in out.columns)
+    whole = spark.read.parquet(f"{SF}/{tables[key]}.parquet").select(key)
     if name != "op1_license_scan":
         assert whole.join(out.select(key).distinct(), key, "left_anti").count() == 0
 
@@ -109,3 +110,23 @@ def test_stages_leave_clashing_columns_and_repeated_ids_alone(spark):
             assert {r["text"] for r in held} <= set(texts)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
     assert corpus_pipeline.rule_stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_short_texts_at_the_edge_link(spark):
+    """Four of five shingles in common: fingerprints of so few hashes may differ in any number of bits."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in near_text.one_of_each(docs, similarity=0.8, shingle_words=5).collect())
+    assert kept == [2 * i for i in range(300)]
+
+
+def test_long_texts_near_each_other(spark):
+    rng = random.Random(19)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " and a tail"), (3, long[: len(long) // 2]), (4, None), (5, "")]
+    kept = sorted(r["doc_id"] for r in near_text.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [1, 3, 4]
