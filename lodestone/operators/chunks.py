@@ -43,26 +43,42 @@ def assign_chunks(blocks: DataFrame, token_budget: int = 512) -> DataFrame:
     """``blocks`` (annotated, with ``sequence`` and ``n_tokens``) with ``chunk_no``.
 
     A chunk ends before an anchor once it holds a block that is none, and before
-    a block that would exceed the budget. One fold over each document's sizes.
+    a block that would exceed the budget. Where a chunk that starts at a block would end
+    follows from running sums, for every block at once; the starts that are met from the
+    first block on are then found by doubling: with the first 2^t starts known, a jump of 2^t
+    chunks from each gives as many again. So a document of n blocks takes n log n steps, and
+    nothing grows along the way.
     """
-    item = F.struct("sequence", "n_tokens", (F.col("anchor_type") != "none").alias("anchor"))
-    start = F.struct(
-        F.lit(-1).alias("chunk"), F.lit(0).alias("used"), F.lit(False).alias("content"), F.array().cast("array<struct<sequence:int,chunk_no:int>>").alias("out")
+    plain, none = F.col("anchor_type") == "none", (1 << 31) - 1
+    ordered = W.partitionBy("doc_id").orderBy("sequence")
+    back = W.partitionBy("doc_id").orderBy(F.desc("sequence"))
+    placed = blocks.select("doc_id", "sequence", plain.alias("plain"), F.col("n_tokens").cast("long").alias("n_tokens")).withColumns(
+        {"i": F.row_number().over(ordered) - 1, "upto": F.sum("n_tokens").over(ordered)}
     )
-
-    def add(s: Column, x: Column) -> Column:
-        flush = (s["chunk"] < 0) | (x["anchor"] & s["content"]) | (s["used"] + x["n_tokens"] > token_budget)
-        chunk = s["chunk"] + flush.cast("int")
-        return F.struct(
-            chunk.alias("chunk"),
-            (F.when(flush, 0).otherwise(s["used"]) + x["n_tokens"]).cast("int").alias("used"),
-            (F.when(flush, F.lit(False)).otherwise(s["content"]) | ~x["anchor"]).alias("content"),
-            F.concat(s["out"], F.array(F.struct(x["sequence"].alias("sequence"), chunk.alias("chunk_no")))).alias("out"),
-        )
-
-    folded = blocks.groupBy("doc_id").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, add, lambda s: s["out"]).alias("out"))
-    numbers = folded.select("doc_id", F.explode("out").alias("o")).select("doc_id", "o.sequence", "o.chunk_no")
-    return blocks.join(numbers, ["doc_id", "sequence"])
+    placed = placed.withColumn("from", F.col("upto") - F.col("n_tokens"))
+    # The last block that begins within the budget is the first that does not end in it, or the document's last.
+    within = W.partitionBy("doc_id").orderBy("from").rangeBetween(0, token_budget)
+    last = F.max(F.struct("i", "upto")).over(within)
+    anchor_after = F.coalesce(F.min(F.when(~F.col("plain"), F.col("i"))).over(back.rowsBetween(W.unboundedPreceding, -1)), F.lit(none))
+    placed = placed.withColumns({"last": last, "anchor_after": anchor_after})
+    stop = F.coalesce(F.last(F.when(F.col("plain"), F.col("anchor_after")), ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)), F.lit(none))
+    full = F.col("last.i") + (F.col("last.upto") <= F.col("from") + token_budget).cast("int")
+    next_start = F.least(F.greatest(full, F.col("i") + 1), stop).alias("next")
+    jumps = placed.select("doc_id", "sequence", next_start).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "next"))).alias("r"))
+    n = F.size("r")
+    first = F.struct(F.array(F.lit(0)).alias("starts"), F.concat(F.col("r.next"), F.array(n)).alias("jump"))  # the end leads to itself
+
+    def double(s: Column, _: Column) -> Column:
+        jump = s["jump"]
+        more = F.filter(F.transform(s["starts"], lambda i: F.get(jump, i)), lambda i: i < n)
+        return F.struct(F.concat(s["starts"], more).alias("starts"), F.transform(jump, lambda i: F.get(jump, i)).alias("jump"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+    starts = jumps.select("doc_id", F.col("r.sequence").alias("sequences"), F.aggregate(rounds, first, double, lambda s: s["starts"]).alias("starts"))
+    ends = starts.select("doc_id", "sequences", F.arrays_zip("starts", F.slice(F.concat("starts", F.array(F.size("sequences"))), 2, F.size("starts")).alias("ends")).alias("c"))
+    chunk = ends.select("doc_id", F.posexplode("c").alias("chunk_no", "c"), "sequences")
+    held = chunk.select("doc_id", "chunk_no", F.explode(F.slice("sequences", F.col("c.starts") + 1, F.col("c.ends") - F.col("c.starts"))).alias("sequence"))
+    return blocks.join(held, ["doc_id", "sequence"])
 
 
 def build_chunks(assigned: DataFrame) -> DataFrame:

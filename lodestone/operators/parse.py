@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+
 #: Extension to (MIME type, type).
 EXTENSIONS = {
     ".pdf": ("application/pdf", "pdf"),
@@ -67,51 +69,82 @@ def route(sniffed: DataFrame) -> DataFrame:
     return routed.withColumn("unsupported", F.size("candidates") == 0)
 
 
-def _markdown(text: str) -> Iterator[tuple[str, str, list[str]]]:
-    """Type, text and section path of each block of a markdown text."""
-    path: list[str] = []
-    lines: list[str] = []
-    fenced = False
-
-    def flush(kind: str):
-        body = "\n".join(lines)
-        lines.clear()
-        body = body if kind == "code" else body.strip()
-        if body.strip():
-            yield kind, body, list(path)
-
-    for line in text.split("\n"):
-        if line.startswith("```"):
-            yield from flush("code" if fenced else "paragraph")
-            fenced = not fenced
-        elif fenced:
-            lines.append(line)
-        elif line.lstrip().startswith("#"):
-            yield from flush("paragraph")
-            marked = line.lstrip()
-            level = len(marked) - len(marked.lstrip("#"))
-            title = marked[level:].strip()
-            if title:
-                yield "heading", title, path[: level - 1]
-                path[level - 1 :] = [title]
-        elif line.strip():
-            lines.append(line)
-        else:
-            yield from flush("paragraph")
-    yield from flush("code" if fenced else "paragraph")
+#: Line ends, each one of them.
+LINE_END = "\\r\\n|[\\n\\r\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}]"
 
 
-def markdown_blocks(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, block_type, text, section_path``: headings, fenced code and paragraphs of each ``text``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _between(marks: Column, first: Column, end: Column, make) -> Column:
+    """``make(k, from, to)`` for the stretches from ``first`` to ``end`` that the places in ``marks`` part, the marks left out."""
+    edge = lambda k: F.when(k == 0, first).otherwise(F.get(marks, k - 1) + 1)
+    stop = lambda k: F.when(k == F.size(marks), end).otherwise(F.get(marks, k))
+    return F.transform(F.sequence(F.lit(0), F.size(marks)), lambda k: make(k, edge(k), stop(k)))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows = [(doc_id, pos, *block) for pos, block in enumerate(_markdown(text or ""))]
-                yield pd.DataFrame(rows, columns=["doc_id", "pos", "block_type", "text", "section_path"])
 
-    return docs.select("doc_id", "text").mapInPandas(parse, f"doc_id {kind}, pos int, block_type string, text string, section_path array<string>")
+def _places(first: Column, end: Column, keep) -> Column:
+    """Places from ``first`` to before ``end`` for which ``keep`` holds."""
+    return F.when(end > first, F.filter(F.sequence(first, end - 1), keep)).otherwise(F.array().cast("array<int>"))
+
+
+def markdown_blocks(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, block_type, text, section_path``: headings, fenced code and paragraphs of each ``text``.
+
+    Every document is taken apart inside its row, by array functions: fences part its lines into text and code in turn, headings
+    and blank lines part the text, and headings part the blocks, each stretch with the path that its heading leaves. All line ends
+    count; blocks are stripped, empty ones left out; a fence that is never closed goes to the end.
+    """
+    block = "array<struct<kind:string,text:string,level:int>>"
+    lines = docs.select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), LINE_END, "\n"), "\n").alias("lines"))
+    marked = lines.withColumns(
+        {
+            "n": F.size("lines"),
+            "fences": _places(F.lit(0), F.size("lines"), lambda i: F.get("lines", i).startswith("```")),
+            "marks": F.transform("lines", lambda x: F.when(x.rlike(f"^{T.SPACE}*#"), "heading").when(x.rlike(f"^{T.SPACE}*$"), "blank")),
+        }
+    )
+    body = lambda a, b: T.strip(F.array_join(F.slice("lines", a + 1, b - a), "\n"))
+    made = lambda kind, text, level: F.struct(F.lit(kind).alias("kind"), text.alias("text"), level.cast("int").alias("level"))
+    none = F.lit(0)
+
+    def heading(i: Column) -> Column:
+        line = T.strip(F.get("lines", i))
+        return made("heading", T.strip(F.regexp_replace(line, "^#+", "")), F.char_length(F.regexp_extract(line, "^#+", 0)))
+
+    def stretch(seps: Column, a: Column, b: Column) -> Column:
+        def part(k: Column, x: Column, y: Column) -> Column:
+            text = F.array(made("paragraph", body(x, y), none))
+            return F.when((k > 0) & (F.get("marks", x - 1) == "heading"), F.concat(F.array(heading(x - 1)), text)).otherwise(text)
+
+        return F.flatten(_between(seps, a, b, part))
+
+    def segment(k: Column, a: Column, b: Column) -> Column:
+        seps = _places(a, b, lambda i: F.get("marks", i).isNotNull())
+        plain = F.transform(F.array(seps), lambda s: stretch(s, a, b))[0]
+        return F.when(k % 2 == 1, F.array(made("code", body(a, b), none))).otherwise(plain)
+
+    parts = F.flatten(_between(F.col("fences"), F.lit(0), F.col("n"), segment)).cast(block)
+    blocks = marked.select("doc_id", F.filter(parts, lambda x: x["text"] != "").alias("blocks"))
+    headed = blocks.withColumn("heads", _places(F.lit(0), F.size("blocks"), lambda i: F.get("blocks", i)["kind"] == "heading"))
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<array<string>>").alias("out"))
+
+    def enter(s: Column, i: Column) -> Column:
+        kept = F.slice(s["path"], 1, F.least(F.get("blocks", i)["level"] - 1, F.size(s["path"])))
+        path = F.concat(kept, F.array(F.get("blocks", i)["text"]))
+        return F.struct(path.alias("path"), F.concat(s["out"], F.array(path)).alias("out"))
+
+    pathed = headed.withColumn("paths", F.aggregate("heads", start, enter, lambda s: s["out"]))
+    root = F.array().cast("array<string>")
+
+    def section(k: Column, a: Column, b: Column) -> Column:
+        first = F.when(k > 0, a - 1).otherwise(a)  # the heading itself
+        path = F.when(k > 0, F.get("paths", k - 1)).otherwise(root)
+        above = F.when(k > 0, F.slice(path, 1, F.size(path) - 1)).otherwise(root)
+        return F.transform(
+            F.slice("blocks", first + 1, b - first),
+            lambda x, j: F.struct((first + j).alias("pos"), x["kind"].alias("block_type"), x["text"].alias("text"), F.when(x["kind"] == "heading", above).otherwise(path).alias("section_path")),
+        )
+
+    out = F.flatten(_between(F.col("heads"), F.lit(0), F.size("blocks"), section))
+    return pathed.select("doc_id", F.explode(out).alias("b")).select("doc_id", "b.*")
 
 
 def pdf_headings(spans: DataFrame, factor: float = 1.2, min_chars: int = 3) -> DataFrame:

@@ -235,7 +235,7 @@ runs AS (SELECT *, sum((kind IN ('fence', 'heading', 'blank'))::int) OVER (PARTI
 found AS (
   SELECT doc_id, pos AS spot, 'heading' AS block_type, title AS text, CASE WHEN level = 1 THEN [] ELSE [h1.title] END AS path FROM runs WHERE kind = 'heading' AND title <> ''
   UNION ALL
-  SELECT doc_id, min(pos), kind, CASE WHEN kind = 'code' THEN string_agg(line, chr(10) ORDER BY pos) ELSE {strip("string_agg(line, chr(10) ORDER BY pos)")} END,
+  SELECT doc_id, min(pos), kind, {strip("string_agg(line, chr(10) ORDER BY pos)")},
     CASE WHEN first(h1) IS NULL THEN [] WHEN first(h2).pos > first(h1).pos THEN [first(h1).title, first(h2).title] ELSE [first(h1).title] END
   FROM runs WHERE kind IN ('code', 'paragraph') GROUP BY doc_id, run, kind)"""
 RAW_URL = f"CASE WHEN {HOST} = 'github.com' AND regexp_matches({PATH}, '^/([^/]+)/([^/]+)/blob/(.+)$') THEN 'https://raw.githubusercontent.com' || regexp_replace({PATH}, '^/([^/]+)/([^/]+)/blob/(.+)$', '/\\1/\\2/\\3') ELSE trim(u) END"
