@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import blocks, chunks, clean, context, fusion, identity, keyword, metrics, models, parse, trace, vectors
+from lodestone.operators import blocks, chunks, clean, contain, context, fusion, identity, keyword, metrics, models, parse, trace, vectors
 from lodestone.oracles import ORACLE_SQL  # noqa: F401
-from lodestone.scratch import spread, written
+from lodestone.scratch import spread
 from lodestone.sources import threads, web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -507,20 +507,10 @@ def answer_spans(spark, sf_dir):
 
 
 def _qrels(spark, sf_dir):
-    """Documents that hold a benchmark passage whole: found through the longest word inside of the passage, then compared.
-
-    A word at a passage's edge may go on in a document, so it does not count. A passage without an inner
-    word is compared with every text.
-    """
+    """Documents that hold a benchmark passage whole."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
-    words = F.regexp_extract_all("passage", F.lit("(?<=[^a-z])[a-z]+(?=[^a-z])"), F.lit(0))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("word"))))["word"]
-    held = docs.select("chunk_id", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    asked = asked.withColumn("word", longest)
-    found = held.join(asked, "word").where(F.contains("body", "passage")).select("query_id", "chunk_id")
-    wordless = asked.where("word IS NULL AND passage IS NOT NULL").select("query_id", "passage")
-    return found.unionByName(docs.join(wordless, F.contains("body", "passage")).select("query_id", "chunk_id"))
+    return contain.containing(spread(docs), asked)
 
 
 @query
