@@ -192,7 +192,7 @@ class Store:
         held = sorted(entry["buckets"] if buckets is None else set(entry["buckets"]) & set(buckets))
         if not held:
             return self.spark.createDataFrame([], shape)
-        folder = f"{self.path}/{name}/{entry['id']}"
+        folder = f"{self.path}/{entry.get('folder', name + '/' + entry['id'])}"
         # A compacted segment keeps its files but names fewer buckets, so the named ones are read.
         reader = self.spark.read.schema(f"{shape}, `{_BUCKET}` int").option("basePath", folder)
         return reader.parquet(*[f"{folder}/{_BUCKET}={b}" for b in held]).drop(_BUCKET)
@@ -251,6 +251,18 @@ class Store:
         first = self._key(name)[0]
         return self._write(name, keys.select(first).distinct(), first, table["n"] if table else self.buckets, "gone")
 
+    def stage_removals(self, names: list[str], keys: DataFrame) -> list[Segment]:
+        """Removals of the same first keys from several tables, written once each where the tables' buckets differ."""
+        done: dict[int, Segment] = {}
+        out = []
+        for name in names:
+            n = self.snapshot().tables.get(name, {"n": self.buckets})["n"]
+            if n not in done:
+                done[n] = self.stage_removal(name, keys)
+            first = done[n]
+            out.append(Segment(name, first.entry | {"folder": f"{first.table}/{first.entry['id']}"}, first.rows))
+        return out
+
     def _commit(self, change: Callable[[dict], dict]) -> int:
         for _ in range(self.tries):
             held = self.snapshot()
@@ -324,11 +336,11 @@ class Store:
         old, kept = numbers[: -self.keep], numbers[-self.keep :]
         if not old:
             return
-        named = lambda n: {(name, s["id"]) for name, t in json.loads(self._text(self._manifest(n))).items() for s in t["segments"]}
+        named = lambda n: {s.get("folder", f"{name}/{s['id']}") for name, t in json.loads(self._text(self._manifest(n))).items() for s in t["segments"]}
         live = set().union(*[named(n) for n in kept])
         for n in old:
-            for name, segment in named(n) - live:
-                folder, fs = self._folder(f"{self.path}/{name}/{segment}")
+            for segment in named(n) - live:
+                folder, fs = self._folder(f"{self.path}/{segment}")
                 fs.delete(folder, True)
             path, fs = self._folder(self._manifest(n))
             fs.delete(path, False)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,14 @@ from lodestone.operators.store import Segment, Snapshot, Store
 from lodestone.scratch import written
 from lodestone.sources import files, threads
 
+
+
+def together(*work: Callable) -> list:
+    """What the functions return; their jobs run side by side."""
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [f.result() for f in [pool.submit(w) for w in work]]
+
+
 CLEANING = ("unicode_fix", "empty_filter", "ocr_line_merge", "html_nav_footer_remove", "dedupe_paragraphs")
 
 
@@ -85,11 +95,13 @@ class Engine:
         if known is not None:
             paths = docs.rows.select("source_path").distinct()
             former = written(known.select("doc_id", "source_path").join(paths, "source_path", "left_semi").join(docs.rows.select("doc_id"), "doc_id", "left_anti"))
-            removed = [store.stage_removal(name, former) for name in ("documents", "blocks", "chunks")]
+            removed = store.stage_removals(["documents", "blocks", "chunks"], former)
             places = places.unionByName(held.of("chunks", former).select(*place, F.lit(False).alias("live")))
-        placed = store.stage("places", places)
-        out = written(self._changes(held, docs.rows, split.rows, made.rows, former))
-        index = self._index_changes(held, made.rows, former)
+        placed, out, index = together(
+            lambda: store.stage("places", places),
+            lambda: written(self._changes(held, docs.rows, split.rows, made.rows, former)),
+            lambda: self._index_changes(held, made.rows, former),
+        )
         store.commit([*removed, *index[0], docs, split, made, placed, *index[1], *more])
         return out
 
@@ -133,7 +145,8 @@ class Engine:
             again = written((buried if buried is not None else gone.limit(0)).select("chunk_id"))  # blocks still hold their postings
         fresh = forward.rows if again is None else forward.rows.join(again, "chunk_id", "left_anti")
         blocks_made = keyword.term_blocks(fresh)
-        additions = [forward, store.stage("terms", added), store.stage("corpus", counted), store.stage("blocks_of_terms", blocks_made)]
+        staged = together(lambda: store.stage("terms", added), lambda: store.stage("corpus", counted), lambda: store.stage("blocks_of_terms", blocks_made))
+        additions = [forward, *staged]
         removals = []
         if gone is not None:
             removals.append(store.stage_removal("forward", gone))
@@ -290,6 +303,17 @@ class Engine:
         more = [state] if letters.isEmpty() else [state, self.store.stage("dead_letters", letters)]
         return self.ingest(fresh.where(~empty).select(F.col("source_id").alias("source_path"), "text"), tuple(more))
 
+    def land(self, connector: str, artifacts: DataFrame, failed: DataFrame) -> DataFrame:
+        """Ingests artifacts keyed by ``source_id`` without a cursor of its own, with ``failed`` (source_id, cursor_after, reason) and artifacts
+        that say ``error/...`` as dead letters, in one commit."""
+        raw = F.col("content_bytes") if "content_bytes" in artifacts.columns else F.lit(None).cast("binary")
+        rows = artifacts.select("source_id", files.artifact_text(F.nullif(F.trim("content_text"), F.lit("")), raw).alias("text"), "cursor_after", "mime_type")
+        empty = F.coalesce(F.trim("text"), F.lit("")) == ""
+        broken = rows.where(empty).select("source_id", "cursor_after", F.coalesce("mime_type", F.lit("empty")).alias("reason"))
+        letters = failed.unionByName(broken).select(F.lit(connector).alias("connector_name"), "source_id", "cursor_after", "reason")
+        more = () if letters.isEmpty() else (self.store.stage("dead_letters", letters),)
+        return self.ingest(rows.where(~empty).select(F.col("source_id").alias("source_path"), "text"), more)
+
     def saved_runs(self) -> DataFrame | None:
         """``run_id, stage, n_events, latency_ms`` of saved traces, in the order of the stages."""
         held = self.store.read("runs")
