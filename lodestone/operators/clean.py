@@ -69,8 +69,8 @@ def plain_characters(c: Column) -> Column:
 def unicode_fix(blocks: DataFrame) -> DataFrame:
     """Composed, with plain forms. Only texts with characters from U+0300 on can change under composition."""
     open_ = F.col("text").rlike("[\\x{0300}-\\x{10FFFF}]")
-    composed = blocks.where(open_).withColumn("text", nfc("text")).unionByName(blocks.where(~F.coalesce(open_, F.lit(False))))
-    return composed.withColumn("text", plain_characters(F.col("text")))
+    composed = F.coalesce(nfc(F.when(open_, F.col("text"))), F.col("text"))  # other texts do not go to Python
+    return blocks.withColumn("text", plain_characters(composed))
 
 
 def drop_empty(blocks: DataFrame, min_chars: int = 1) -> DataFrame:

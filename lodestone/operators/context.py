@@ -117,18 +117,11 @@ def spans(answers: DataFrame) -> DataFrame:
     """``query_id, span_no, span_type, start, end, text``: alternating answer and citation_marker spans that cover the answer."""
     marked = F.regexp_replace("answer", "(\\[\\d+\\])", "\x1f$1\x1f")
     parts = F.filter(F.split(marked, "\x1f"), lambda x: x != "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-    placed = F.aggregate(
-        parts,
-        start,
-        lambda s, x: F.struct(
-            (s["at"] + F.char_length(x)).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), x.alias("text")))).alias("out")
-        ),
-        lambda s: s["out"],
-    )
-    rows = answers.select("query_id", F.posexplode(placed).alias("span_no", "s"))
-    kind = F.when(F.col("s.text").rlike("^\\[\\d+\\]$"), "citation_marker").otherwise("answer")
-    return rows.select("query_id", "span_no", kind.alias("span_type"), "s.start", (F.col("s.start") + F.char_length("s.text")).alias("end"), "s.text")
+    rows = answers.select("query_id", F.posexplode(parts).alias("span_no", "text"))
+    before = W.partitionBy("query_id").orderBy("span_no").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0)).cast("int"))
+    kind = F.when(F.col("text").rlike("^\\[\\d+\\]$"), "citation_marker").otherwise("answer")
+    return rows.select("query_id", "span_no", kind.alias("span_type"), "start", (F.col("start") + F.char_length("text")).alias("end"), "text")
 
 
 def extractive_answers(packed: DataFrame) -> DataFrame:

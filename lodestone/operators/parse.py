@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -164,6 +165,30 @@ def pdf_headings(spans: DataFrame, factor: float = 1.2, min_chars: int = 3) -> D
     return joined.select("doc_id", "page", "line", "text", F.when(heading, "heading").otherwise("paragraph").alias("block_type"))
 
 
+def layout_blocks(spans: DataFrame, factor: float = 1.2, min_chars: int = 3) -> DataFrame:
+    """``doc_id, page, block, first_line, n_lines, block_type, text`` from a table of text spans ``doc_id, page, block, line, span, size, text``.
+
+    A line's size is that of most of its visible characters, the first one of equals. A line is a heading by size (``factor`` times
+    the document's median, weighted by visible characters) or if it is in capitals throughout. Within a layout block the lines
+    between headings make up a paragraph; blank lines count for nothing. Numbers of islands come from a running count of headings.
+    """
+    held = spans.withColumn("n", F.char_length(T.strip(F.col("text"))))
+    visible = held.where("n > 0 AND size > 0")
+    median = visible.groupBy("doc_id").agg(F.percentile("size", 0.5, F.col("n")).alias("median"))
+    key = ["doc_id", "page", "block", "line"]
+    by_size = visible.groupBy(*key, "size").agg(F.sum("n").alias("n"), F.min("span").alias("at"))
+    sizes = by_size.groupBy(*key).agg(F.max_by("size", F.struct("n", -F.col("at"))).alias("size"))
+    texts = held.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("span", "text")))["text"], "").alias("text"))
+    lines = texts.where(T.strip(F.col("text")) != "").join(sizes, key, "left").join(median, "doc_id", "left")
+    heading = F.coalesce(F.col("size") >= factor * F.coalesce("median", F.lit(12.0)), F.lit(False)) | T.strip(F.col("text")).rlike("^[A-Z][A-Z\\s&/\\-]{3,59}$")
+    inside = W.partitionBy("doc_id", "page", "block").orderBy("line")
+    marked = lines.withColumn("heading", heading).withColumn("island", F.sum(F.col("heading").cast("int")).over(inside))
+    body = T.strip(F.array_join(F.array_sort(F.collect_list(F.struct("line", "text")))["text"], "\n"))
+    made = marked.groupBy("doc_id", "page", "block", "island", "heading").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines"), body.alias("text"))
+    kind = F.when(F.col("heading"), "heading").otherwise("paragraph")
+    return made.where(F.char_length("text") >= min_chars).select("doc_id", "page", "block", "first_line", "n_lines", kind.alias("block_type"), "text")
+
+
 def _office_blocks(content: bytes, kind: str) -> Iterator[tuple[str, str]]:
     """Blocks of a DOCX or XLSX file, read with the standard library."""
     import io

@@ -300,12 +300,14 @@ SELECT doc_id, count(*) FILTER (NOT again) AS reused, count(*) FILTER (again) AS
     "delete_documents": f"WITH {LINES} SELECT doc_id, count(*) AS n_blocks FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id",
     "bm25_statistics": f"WITH {bm25_index()} SELECT term, df, round(idf, 6) AS idf FROM statistics",
     "bm25_topk": f"WITH {bm25(10)} SELECT query_id, chunk_id, bm25_score, rank FROM keyword",
+    "bm25_pruned": f"WITH {bm25(10)} SELECT query_id, chunk_id, bm25_score, rank FROM keyword",
     "bm25_filled": f"""WITH {bm25(10, asked="asked AS (SELECT min(doc_id) AS query_id, source AS query FROM documents WHERE source IS NOT NULL GROUP BY source)")}
 SELECT a.query_id, c.chunk_id, coalesce(s.bm25_score, 0) AS bm25_score, (row_number() OVER (PARTITION BY a.query_id ORDER BY s.bm25_score IS NULL, s.bm25_score DESC, c.chunk_id))::int AS rank
 FROM asked a CROSS JOIN corpus c LEFT JOIN scored s ON s.query_id = a.query_id AND s.chunk_id = c.chunk_id QUALIFY rank <= 10""",
     "bm25_topk_collection": f"""WITH {bm25(10, "lang = 'en'")} SELECT query_id, chunk_id, bm25_score, rank FROM keyword""",
     "keyword_remove": f"WITH {bm25_index('chunk_id % 4 <> 0')} SELECT term, df, round(idf, 6) AS idf FROM statistics",
     "knn_topk": f"WITH {knn('q.vec_id % 100 = 0', 10)} SELECT query_id, chunk_id, l2sq, rank FROM vector",
+    "knn_pivots": f"WITH {knn('q.vec_id % 100 = 0', 10)} SELECT query_id, chunk_id, l2sq, rank FROM vector",
     "knn_topk_filtered": f"WITH {knn('q.vec_id % 100 = 0', 10, 'q.label = v.label')} SELECT query_id, chunk_id, l2sq, rank FROM vector",
     "vector_dimensions": "SELECT len(embedding)::int AS dimension, count(*) AS n_vectors FROM embeddings GROUP BY 1",
     "attribute_candidates": f"""WITH {LISTS}, m AS (SELECT query_id, chunk_id, bm25_score, -l2sq AS vector_score FROM keyword FULL JOIN vector USING (query_id, chunk_id))
@@ -362,6 +364,12 @@ e AS (SELECT doc_id, sum(length(text)) AS total, sum(length(text)) FILTER (size
 m AS (SELECT doc_id, CASE WHEN 2 * small > total THEN 10.0 WHEN 2 * small = total THEN 12.0 ELSE 14.0 END AS median FROM (SELECT doc_id, total, coalesce(small, 0) AS small FROM e))
 SELECT doc_id, page::int AS page, line, CASE WHEN size >= 1.2 * median OR regexp_matches(text, '^[A-Z][A-Z\\s&/\\-]{{3,59}}$') THEN 'heading' ELSE 'paragraph' END AS block_type
 FROM s JOIN m USING (doc_id) WHERE length(trim(text)) >= 3""",
+    "layout_paragraphs": f"""WITH {LINES}, s AS (SELECT doc_id, pos // 10 AS page, pos % 10 // 4 AS block, pos AS line, CASE WHEN pos % 6 = 0 THEN 14.0 ELSE 10.0 END::double AS size, text, {strip('text')} AS bare FROM lines),
+m AS (SELECT doc_id, CASE WHEN 2 * coalesce(sum(length(bare)) FILTER (size = 10), 0) > sum(length(bare)) THEN 10.0 WHEN 2 * coalesce(sum(length(bare)) FILTER (size = 10), 0) = sum(length(bare)) THEN 12.0 ELSE 14.0 END AS median FROM s GROUP BY doc_id),
+k AS (SELECT *, size >= 1.2 * median OR regexp_matches(bare, '^[A-Z][A-Z\\s&/\\-]{{3,59}}$') AS heading FROM s JOIN m USING (doc_id) WHERE bare <> ''),
+g AS (SELECT *, sum(heading::int) OVER (PARTITION BY doc_id, page, block ORDER BY line) AS island FROM k),
+t AS (SELECT doc_id, page, block, heading, min(line) AS first_line, count(*) AS n_lines, {strip("string_agg(text, chr(10) ORDER BY line)")} AS body FROM g GROUP BY doc_id, page, block, island, heading)
+SELECT doc_id, page::int AS page, block::int AS block, first_line, n_lines, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS block_type, sha256(body) AS text_hash FROM t WHERE length(body) >= 3""",
     "trace_stages": """SELECT user_id AS run_id, CASE event_type WHEN 'view' THEN 'retrieve' WHEN 'click' THEN 'rerank' WHEN 'purchase' THEN 'generate' ELSE 'parse' END AS stage,
 count(*) AS n_events, round(sum(value), 4) AS latency_ms FROM events GROUP BY 1, 2""",
     "trace_latest": "SELECT user_id AS run_id, event_id FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

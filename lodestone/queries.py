@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import blocks, chunks, clean, contain, context, fusion, identity, keyword, metrics, models, parse, trace, vectors
 from lodestone.oracles import ORACLE_SQL  # noqa: F401
-from lodestone.scratch import spread
+from lodestone.scratch import spread, written
 from lodestone.sources import threads, web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,6 +358,14 @@ def bm25_topk(spark, sf_dir):
     return _keyword(spark, sf_dir, 10)
 
 
+@query
+def bm25_pruned(spark, sf_dir):
+    """The same by way of a stored index: bounded blocks, thresholds, essential terms."""
+    index = _index(spark, sf_dir)
+    stored = keyword.KeywordIndex(index.forward, index.terms, index.corpus, written(keyword.term_blocks(index.forward)))
+    return keyword.search(stored, _asked(spark, sf_dir), 10)
+
+
 @query
 def bm25_filled(spark, sf_dir):
     """Names of sources as queries; few texts hold one, so chunks at score zero follow."""
@@ -387,6 +395,12 @@ def knn_topk(spark, sf_dir):
     return vectors.search(_vectors(spark, sf_dir), _every_hundredth(spark, sf_dir), 10)
 
 
+@query
+def knn_pivots(spark, sf_dir):
+    """The same in blocks of 256, so that cells around pivots and their bounds decide what a query meets."""
+    return vectors.search(_vectors(spark, sf_dir), _every_hundredth(spark, sf_dir), 10, block=256)
+
+
 @query
 def knn_topk_filtered(spark, sf_dir):
     return vectors.search(_vectors(spark, sf_dir), _every_hundredth(spark, sf_dir), 10, same="label")
@@ -624,6 +638,17 @@ def layout_headings(spark, sf_dir):
     return found.select("doc_id", "page", "line", "block_type")
 
 
+@query
+def layout_paragraphs(spark, sf_dir):
+    """Lines as text spans in several layout blocks a page, every sixth line in a larger size."""
+    lines = _lines(spark, sf_dir)
+    place = {"page": F.floor(F.col("pos") / 10), "block": F.floor(F.col("pos") % 10 / 4)}
+    size = F.when(F.col("pos") % 6 == 0, 14.0).otherwise(10.0).alias("size")
+    spans = lines.select("doc_id", *[c.cast("int").alias(n) for n, c in place.items()], F.col("pos").alias("line"), F.lit(0).alias("span"), size, "text")
+    found = parse.layout_blocks(spans)
+    return found.select("doc_id", "page", "block", "first_line", "n_lines", "block_type", _digest("text").alias("text_hash"))
+
+
 @query
 def hash_embedding_neighbours(spark, sf_dir):
     """Nearest documents of every hundredth one by hashed term counts."""

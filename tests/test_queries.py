@@ -12,7 +12,7 @@ from lodestone import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["blocks_split", "clean_ocr_merge", "markdown_blocks", "chunk_build", "block_diff", "resync_window", "bm25_topk", "bm25_filled", "early_skip", "rrf_fusion", "context_pack", "latency_mean_p95", "html_main_text"]
+CHOSEN = ["blocks_split", "clean_ocr_merge", "markdown_blocks", "chunk_build", "block_diff", "resync_window", "bm25_topk", "bm25_filled", "early_skip", "rrf_fusion", "context_pack", "latency_mean_p95", "html_main_text", "bm25_pruned", "knn_topk", "knn_topk_filtered", "knn_pivots", "layout_paragraphs", "eval_macro", "answer_spans", "clean_unicode", "language_filter", "keyword_remove", "bm25_statistics"]
 
 
 def plain(value):
