@@ -212,10 +212,13 @@ def _office_blocks(content: bytes, kind: str) -> Iterator[tuple[str, str]]:
         else:
             shared = ET.fromstring(z.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in z.namelist() else []
             strings = ["".join(x.text or "" for x in si.iter() if local(x) == "t") for si in shared]
-            sheets = [s.attrib["name"] for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if local(s) == "sheet"]
-            for n, name in enumerate(sheets, 1):
-                yield "heading", f"Sheet: {name}"
-                for row in (r for r in ET.fromstring(z.read(f"xl/worksheets/sheet{n}.xml")).iter() if local(r) == "row"):
+            links = ET.fromstring(z.read("xl/_rels/workbook.xml.rels")) if "xl/_rels/workbook.xml.rels" in z.namelist() else []
+            targets = {r.attrib["Id"]: r.attrib["Target"].removeprefix("/xl/") for r in links}
+            sheets = [s.attrib for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if local(s) == "sheet"]
+            for n, sheet in enumerate(sheets, 1):
+                named = next((v for k, v in sheet.items() if k.endswith("}id")), None)  # the relationship says which file it is
+                yield "heading", f"Sheet: {sheet['name']}"
+                for row in (r for r in ET.fromstring(z.read(f"xl/{targets.get(named, f'worksheets/sheet{n}.xml')}")).iter() if local(r) == "row"):
                     cells = []
                     for c in (c for c in row if local(c) == "c"):
                         value = "".join(x.text or "" for x in c.iter() if local(x) in ("v", "t"))
@@ -230,9 +233,9 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterator[
     Candidates are tried in order: one that is missing or raises is passed over,
     and a result under ``min_ocr_chars`` goes on to OCR if that is a candidate
     with a parser. With none left a file gives one ``[unsupported_format: T]`` block.
+    Markdown is taken apart in the JVM, by :func:`markdown_blocks`.
     """
     own = {
-        "md_parser": lambda raw: ((k, t) for k, t, _ in _markdown(raw.decode("utf-8", "replace"))),
         "docx_parser": lambda raw: _office_blocks(raw, "docx"),
         "xlsx_parser": lambda raw: _office_blocks(raw, "xlsx"),
     } | (parsers or {})
@@ -256,9 +259,16 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterator[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for path, content, kind, candidates in batch.itertuples(index=False):
                 found, parser, fallback = blocks_of(bytes(content), kind, list(candidates))
-                yield pd.DataFrame([(path, n, k, t, parser, fallback) for n, (k, t) in enumerate(found)], columns=["path", "pos", "block_type", "text", "parser", "fallback"])
+                rows += [(path, n, k, t, parser, fallback) for n, (k, t) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["path", "pos", "block_type", "text", "parser", "fallback"])
 
     held = files.select("path", "content", "detected_type", "candidates")
-    return held.mapInPandas(run, "path string, pos int, block_type string, text string, parser string, fallback boolean")
+    is_markdown = F.coalesce(F.get("candidates", F.lit(0)) == "md_parser", F.lit(False)) & F.lit("md_parser" not in own)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    native = markdown_blocks(held.where(is_markdown).select(F.col("path").alias("doc_id"), text.alias("text")))
+    native = native.select(F.col("doc_id").alias("path"), "pos", "block_type", "text", F.lit("md_parser").alias("parser"), F.lit(False).alias("fallback"))
+    others = held.where(~is_markdown).mapInPandas(run, "path string, pos int, block_type string, text string, parser string, fallback boolean")
+    return native.unionByName(others)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestone.functions import text as T
+
 ARTIFACT = "source_type string, source_id string, external_url string, content_text string, content_bytes binary, mime_type string, cursor_after string"
 MAX_ATTACHMENT = 5 << 20
 
@@ -105,7 +107,7 @@ def document_text(paragraphs: Column) -> Column:
         level = F.regexp_extract(p["style"], "^HEADING_([1-6])$", 1)
         mark = F.when(level != "", F.concat(F.repeat(F.lit("#"), level.try_cast("int")), F.lit(" "))).when(p["style"] == "TITLE", "# ").otherwise("")
         table = F.array_join(F.transform(p["rows"], lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))), "\n")
-        body = F.trim(F.array_join(p["runs"], ""))
+        body = T.strip(F.array_join(p["runs"], ""))
         return F.when(F.coalesce(F.size(p["rows"]), F.lit(0)) > 0, table).otherwise(F.when(body != "", F.concat(mark, body)))
 
     return F.array_join(F.filter(F.transform(paragraphs, line), lambda x: x.isNotNull()), "\n")
