@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -117,9 +119,19 @@ RERANKERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def build_reranker(name: str) -> Callable[..., DataFrame]:
-    """The named reranker; an unknown name does nothing."""
-    return RERANKERS.get(name, RERANKERS["noop"])
+def register_reranker(name: str, reranker: Callable[..., DataFrame]) -> None:
+    """Makes ``reranker(candidates, top, **options)`` known by a name."""
+    RERANKERS[name] = reranker
+
+
+def build_reranker(name: str, **options) -> Callable[..., DataFrame]:
+    """The named reranker with its options; an unknown name, or options that it does not take, do nothing."""
+    chosen = RERANKERS.get(name, RERANKERS["noop"])
+    try:
+        inspect.signature(chosen).bind(None, 1, **options)
+    except TypeError:
+        return RERANKERS["noop"]
+    return functools.partial(chosen, **options)
 
 
 def rank_change(before: DataFrame, after: DataFrame) -> DataFrame:

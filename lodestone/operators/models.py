@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,42 @@ def embed_texts(rows: DataFrame, embed: Embed, text: str = "stable_text", batch:
     return rows.withColumn("embedding", run(F.coalesce(F.col(text), F.lit(""))))
 
 
+class Embedded(NamedTuple):
+    """A provider's reply: vectors with the place of their text in the call, in any order, and the tokens that it counted."""
+
+    vectors: list[tuple[int, list[float]]]
+    tokens: int
+
+
+def embed_with_usage(rows: DataFrame, provider: Callable[[list[str]], Embedded], text: str = "stable_text", batch: int = 64) -> DataFrame:
+    """``rows`` with ``embedding`` and ``embedding_tokens`` from a provider that is called on ``batch`` texts at a time in the workers.
+
+    Vectors are put back to their texts by their place. A call's tokens stand at its first row, so sums over rows are those of
+    the calls. A reply without a vector for each text is an error, and so is a table without rows.
+    """
+    if batch < 1:
+        raise ValueError("batch must be at least 1")
+    if rows.isEmpty():
+        raise ValueError("texts must not be empty")
+
+    @F.pandas_udf("embedding array<float>, tokens long")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            vectors, tokens = [], []
+            for i in range(0, len(texts), batch):
+                some = texts.iloc[i : i + batch].tolist()
+                reply = provider(some)
+                placed = dict(reply.vectors)
+                if sorted(placed) != list(range(len(some))):
+                    raise ValueError(f"{len(some)} texts, but vectors for places {sorted(placed)}")
+                vectors += [placed[k] for k in range(len(some))]
+                tokens += [reply.tokens] + [0] * (len(some) - 1)
+            yield pd.DataFrame({"embedding": vectors, "tokens": tokens})
+
+    made = rows.withColumn("__made", run(F.coalesce(F.col(text), F.lit(""))))
+    return made.withColumns({"embedding": F.col("__made.embedding"), "embedding_tokens": F.col("__made.tokens")}).drop("__made")
+
+
 def hash_vectors(texts: list[str], dimension: int = 64) -> np.ndarray:
     """Unit vectors of hashed word counts: the offline stand-in for an embedding model."""
     out = np.zeros((len(texts), dimension), np.float32)
@@ -63,6 +100,18 @@ def complete(rows: DataFrame, model: Complete, prompt: str = "user", out: str =
     return rows.withColumn(out, run(F.col(prompt)))
 
 
+def complete_structured(rows: DataFrame, model: Complete, schema: str, prompt: str = "user", out: str = "answer", batch: int = 8) -> DataFrame:
+    """``rows`` with the model's JSON answer as a struct of the DDL ``schema``, null where it is no such JSON, and the prompt's estimated tokens.
+
+    Text around the outermost braces is left out, as models like to add some.
+    """
+    made = complete(rows.withColumn(f"{out}_tokens", T.token_estimate(F.col(prompt))), model, prompt, "__json", batch)
+    body = F.regexp_extract("__json", "(?s)\\{.*\\}", 0)
+    fields = F.from_json(body, f"struct<{schema}>" if not schema.startswith("struct<") else schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__none"})
+    whole = F.col("__json").isNotNull() & F.try_parse_json(body).isNotNull() & (body != "")
+    return made.withColumn(out, F.when(whole, fields)).drop("__json")
+
+
 def enrich_by_model(chunks: DataFrame, model: Complete, text: str = "stable_text", batch: int = 8, width: int = 400) -> DataFrame:
     """``chunks`` with ``title, summary, tags`` from a model that answers a prompt of ``batch`` numbered texts with a JSON array.
 

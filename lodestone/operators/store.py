@@ -22,7 +22,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = {
@@ -199,8 +199,10 @@ class Store:
 
     # Reading
 
-    def snapshot(self) -> Snapshot:
+    def snapshot(self, back: int = 0) -> Snapshot:
+        """All tables as of the latest commit, or as of one some commits ``back`` among those kept."""
         held = self._numbers()
+        held = held[: max(0, len(held) - back)]
         return Snapshot(self, held[-1], json.loads(self._text(self._manifest(held[-1])))) if held else Snapshot(self, -1, {})
 
     def exists(self, name: str) -> bool:
@@ -237,8 +239,9 @@ class Store:
         entry["buckets"] = sorted(int(p.partition("=")[2]) for p in parts if p.startswith(f"{_BUCKET}="))
         return Segment(name, entry, self._rows(name, entry, shape))
 
-    def stage(self, name: str, rows: DataFrame) -> Segment:
-        """Writes rows as a segment that no reader sees before its commit; ``.rows`` reads it back."""
+    def stage(self, name: str, rows: DataFrame, **more: Column) -> Segment:
+        """Writes rows, with ``more`` columns, as a segment that no reader sees before its commit; ``.rows`` reads it back."""
+        rows = rows.withColumns(more) if more else rows
         table = self.snapshot().tables.get(name)
         if table is not None:
             rows = rows.select(self.spark.createDataFrame([], table["shape"]).columns)

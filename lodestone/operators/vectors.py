@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from lodestone.scratch import written
 
 
-def checked(vectors: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
-    """Rows with an id and a vector; of rows repeating an id the last by ``added`` (if there) stays."""
-    held = vectors.where(F.col(chunk_id).isNotNull() & F.col("embedding").isNotNull())
+def checked(vectors: DataFrame, chunk_id: str = "chunk_id", strict: bool = False) -> DataFrame:
+    """Rows with an id and a vector; of rows repeating an id the last by ``added`` (if there) stays. With ``strict`` a row without one is an error."""
+    fits = F.col(chunk_id).isNotNull() & F.col("embedding").isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("a vector needs an id and components: "), F.coalesce(F.col(chunk_id).cast("string"), F.lit("no id"))))
+    held = vectors.where(F.when(fits, True).otherwise(wrong.cast("boolean")) if strict else fits)
     if "added" not in vectors.columns:
         return held.dropDuplicates([chunk_id])
     order = W.partitionBy(chunk_id).orderBy(F.desc("added"))

@@ -86,7 +86,7 @@ class Engine:
         held, store = self.store.snapshot(), self.store
         keyed = self._keyed(documents)
         known = held.read("documents")
-        docs = store.stage("documents", keyed if known is None else identity.early_skip(keyed, known.select("doc_id"), "doc_id").select(keyed.columns))
+        docs = store.stage("documents", keyed if known is None else identity.early_skip(keyed, known.select("doc_id"), "doc_id").select(keyed.columns), ingested_at=F.current_timestamp())
         split = store.stage("blocks", self._split(docs.rows))
         made = store.stage("chunks", self._chunks(split.rows, docs.rows))
         place = ["chunk_id", "doc_id", "source_path", "collection"]

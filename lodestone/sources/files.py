@@ -12,14 +12,23 @@ RAW = "source_path string, file_name string, extension string, file_size_bytes l
 
 
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """:func:`raw_artifacts` of single files (no patterns) with ``error``: ``missing`` or ``folder`` in a row of its own, null for a file."""
-    errors, sound = [], []
+    """:func:`raw_artifacts` of single files (no patterns) with ``error``: ``missing`` or ``folder`` in a row of its own, null for a file.
+
+    The file system is asked once for each folder that the paths lie in, not for each path.
+    """
+    errors, sound, held_in = [], [], {}
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(place):
+        parent = place.getParent()
+        folder = parent.toString() if parent is not None else path
+        if folder not in held_in:
+            fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+            there = parent is not None and fs.exists(parent) and fs.getFileStatus(parent).isDirectory()
+            held_in[folder] = {f.getPath().getName(): f.isDirectory() for f in fs.listStatus(parent)} if there else {}
+        is_folder = held_in[folder].get(place.getName()) if parent is not None else True
+        if is_folder is None:
             errors.append((path, "missing"))
-        elif fs.getFileStatus(place).isDirectory():
+        elif is_folder:
             errors.append((path, "folder"))
         else:
             sound.append(path)

@@ -117,4 +117,16 @@ def test_rows_without_keys_and_empty_saves(spark, store):
     store.save("documents", documents(spark, ["a", None]))
     store.save("documents", documents(spark, [None], "later"))
     assert {tuple(r) for r in store.read("documents").collect()} == {("a", "x"), (None, "later")}
-    assert store.latest_first().first()["doc_id"] in ("a", None) if "source_path" in store.read("documents").columns else True
+
+
+def test_former_versions_and_newest_first(spark, store):
+    assert store.latest_first() is None
+    rows = lambda i: spark.createDataFrame([(f"d{i}", f"p{i}", i)], "doc_id string, source_path string, n int").withColumn("ingested_at", F.lit(i).cast("timestamp"))
+    for i in (2, 1, 3):
+        store.save("documents", rows(i))
+    assert [r["doc_id"] for r in store.latest_first().collect()] == ["d3", "d2", "d1"]
+    store.save("blocks", spark.createDataFrame([("d1", 0, "old")], "doc_id string, sequence int, block_hash string"))
+    store.save("blocks", spark.createDataFrame([("d1", 0, "new")], "doc_id string, sequence int, block_hash string"))
+    wanted = spark.createDataFrame([("d1",)], "doc_id string")
+    assert [store.snapshot(back).of("blocks", wanted).first()["block_hash"] for back in (0, 1)] == ["new", "old"]
+    assert store.snapshot(2).read("blocks") is None and store.snapshot(99).number == -1
