@@ -14,8 +14,8 @@ agreeing parts of the bits find no such pairs, so buckets come from minima inste
    buckets that still hold more than one component are compared.
 3. A bucket is cut into blocks by hash, each with the bucket's smallest node added. In a
    block, fingerprints are compared bit-sliced (planes, carry-save counters); pairs within
-   26 bits (at 0.8 others are rarer than one in a million), and all pairs with a set of
-   fewer than 64 shingles, are decided on the whole sets.
+   26 bits (at 0.8 others are rarer than one in a million) are decided on the whole sets, and so
+   are pairs with a set of fewer than 64 shingles, unless bitmaps show that they share too few.
 4. Buckets of several blocks that still hold more than one component are compared
    again as pairs of blocks, so that no pair is lost and no task grows with a bucket.
    A block sends on at most one link a node.
@@ -39,8 +39,8 @@ from lodestone.llm.common import components, cut
 from lodestone.llm.simhash import _LOWER, planes, within
 
 BANDS, ROWS, FIRST, RADIUS = 28, 4, 7, 26
-#: Sets smaller than this are compared whole at once: few shingles make fingerprints differ in more bits.
-SMALL = 64
+#: For sets smaller than this fingerprints tell nothing, as few shingles make them differ in more bits; bitmaps bound what they share.
+SMALL, MAP_BITS = 64, 1024
 #: Sets that a Python group holds at once, in bytes on average.
 SHARD_BYTES = 64 << 20
 _RNG = np.random.default_rng(5)
@@ -90,10 +90,23 @@ def marked(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, key long, node long, fp long, bands array<long>")
 
 
+def bitmaps(sets: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """For each chosen set the ``MAP_BITS`` bits that its hashes' last bits name; zeros for the others."""
+    maps = np.zeros((len(sets), MAP_BITS // 64), np.uint64)
+    at = np.flatnonzero(chosen)
+    if len(at):
+        row = np.repeat(at, [len(sets[k]) for k in at])
+        bit = np.concatenate([sets[k] for k in at]) % np.uint64(MAP_BITS)
+        np.bitwise_or.at(maps, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return maps
+
+
 def parts(sets: list[np.ndarray], fps: np.ndarray, similarity: float, radius: int = RADIUS) -> np.ndarray:
     """For each set the first one of its connected part; links are pairs of ``similarity`` within ``radius`` bits, or with a small set."""
     size = np.array([len(s) for s in sets])
     part, unseen, small = np.arange(len(sets)), size > 0, size < SMALL
+    maps = bitmaps(sets, size * similarity < SMALL)  # a pair with a small set has two of these
+    unmapped = size - np.bitwise_count(maps).sum(1, dtype=np.int64)  # hashes that share a bit with another one of the set
     near = within(fps, planes(fps), len(fps), radius)
     bits = lambda row: np.unpackbits(row.view(np.uint8), count=len(fps), bitorder="little").astype(bool)
     for root in np.flatnonzero(size):
@@ -105,6 +118,10 @@ def parts(sets: list[np.ndarray], fps: np.ndarray, similarity: float, radius: in
             q = front.pop()
             fits = (size >= similarity * size[q] - 1e-9) & (size * similarity <= size[q] + 1e-9)
             at = np.flatnonzero((bits(near[q]) | small | small[q]) & unseen & fits)
+            tiny = small[at] | small[q]
+            shared = np.bitwise_count(maps[at[tiny]] & maps[q]).sum(1, dtype=np.int64) + unmapped[q]  # at least what they have in common
+            tiny[tiny] = shared * (1 + similarity) < similarity * (size[at[tiny]] + size[q]) - 1e-9
+            at = at[~tiny]
             if not len(at):
                 continue
             joined = np.concatenate([sets[k] for k in at])
@@ -162,14 +179,14 @@ def links(rows: DataFrame, held: DataFrame, similarity: float = 0.8, shingle_wor
     shared = placed.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1").select(*BUCKET)
     placed = cut(placed.join(shared, BUCKET, "left_semi"))
     sets = _sets(rows, held, placed.select("node").distinct(), shingle_words)
+    mean_size = sets.agg(F.avg("size")).first()[0] or 0
     mine = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
     def linked(cells: DataFrame) -> DataFrame:
-        met = cells.join(sets, "node")
-        n, size = cells.join(sets.select("node", "size"), "node").agg(F.count("*"), F.sum("size")).first()
-        shards = max(1, n // 4096, int((size or 0) * 8) // SHARD_BYTES)
-        met = met.drop("size").withColumn("shard", F.pmod(F.xxhash64(*BUCKET, "i", "j"), F.lit(shards)))
+        n = cells.count()
+        shards = max(1, n // 4096, int(n * mean_size * 8) // SHARD_BYTES)
+        met = cells.join(sets.drop("size"), "node").withColumn("shard", F.pmod(F.xxhash64(*BUCKET, "i", "j"), F.lit(shards)))
         return cut(met.groupBy("shard").applyInPandas(_linker(similarity), "a long, b long"))
 
     def open_buckets(members: DataFrame, known: DataFrame | None) -> DataFrame:

@@ -16,7 +16,7 @@ from lodestone.functions import text as T
 from lodestone.operators import blocks, chunks, clean, contain, context, fusion, identity, keyword, metrics, models, parse, trace, vectors
 from lodestone.oracles import ORACLE_SQL  # noqa: F401
 from lodestone.scratch import spread, written
-from lodestone.sources import threads, web
+from lodestone.sources import page_tree, threads, web
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,6 +162,13 @@ def html_main_text(spark, sf_dir):
     return pages.select("page_id", web.main_text(F.col("html")).alias("text")).select("page_id", F.char_length("text").alias("n_chars"), _digest("text").alias("text_hash"))
 
 
+@query
+def html_tree_text(spark, sf_dir):
+    """Main text by the densities of the tag tree."""
+    made = page_tree.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return made.select("page_id", F.char_length("text").cast("long").alias("n_chars"), _digest("text").alias("text_hash"))
+
+
 @query
 def url_canonical(spark, sf_dir):
     url = F.col("url")
