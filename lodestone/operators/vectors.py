@@ -53,6 +53,7 @@ def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 def _whole(rows: DataFrame, same: str | None) -> DataFrame:
     """Rows with a vector whose components are all numbers, and with a value to be the same, where one is named."""
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # vectors may be their own queries
     fits = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(fits & F.col(same).isNotNull() if same else fits)
 
