@@ -180,7 +180,6 @@ def links(rows: DataFrame, held: DataFrame, similarity: float = 0.8, shingle_wor
     placed = cut(placed.join(shared, BUCKET, "left_semi"))
     sets = _sets(rows, held, placed.select("node").distinct(), shingle_words)
     mean_size = sets.agg(F.avg("size")).first()[0] or 0
-    mean_size = sets.agg(F.avg("size")).first()[0] or 0
     mine = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
