@@ -58,11 +58,10 @@ def assign_chunks(blocks: DataFrame, token_budget: int = 512) -> DataFrame:
     placed = placed.withColumn("from", F.col("upto") - F.col("n_tokens"))
     # The last block that begins within the budget is the first that does not end in it, or the document's last.
     within = W.partitionBy("doc_id").orderBy("from").rangeBetween(0, token_budget)
-    last = F.max(F.struct("i", "upto")).over(within)
     anchor_after = F.coalesce(F.min(F.when(~F.col("plain"), F.col("i"))).over(back.rowsBetween(W.unboundedPreceding, -1)), F.lit(none))
-    placed = placed.withColumns({"last": last, "anchor_after": anchor_after})
+    placed = placed.withColumns({"last": F.max("i").over(within), "last_upto": F.max("upto").over(within), "anchor_after": anchor_after})
     stop = F.coalesce(F.last(F.when(F.col("plain"), F.col("anchor_after")), ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)), F.lit(none))
-    full = F.col("last.i") + (F.col("last.upto") <= F.col("from") + token_budget).cast("int")
+    full = F.col("last") + (F.col("last_upto") <= F.col("from") + token_budget).cast("int")
     next_start = F.least(F.greatest(full, F.col("i") + 1), stop).alias("next")
     jumps = placed.select("doc_id", "sequence", next_start).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "next"))).alias("r"))
     n = F.size("r")

@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.line_blocks(table(spark, sf_dir, "documents"))
+    return blocks.line_blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _split(spark: SparkSession, sf_dir: str, max_tokens: int = 512) -> DataFrame:
@@ -60,7 +60,7 @@ def doc_fingerprint(spark, sf_dir):
 
 @query
 def parse_metrics(spark, sf_dir):
-    return blocks.document_metrics(table(spark, sf_dir, "documents"))
+    return blocks.document_metrics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query
