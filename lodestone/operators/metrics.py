@@ -82,6 +82,12 @@ def outcomes(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def ingest_summary(gated: DataFrame) -> DataFrame:
+    """``status, n_docs, n_blocks, chars`` of gated documents: ok, skipped if too short, else error."""
+    status = F.when(F.col("passed"), "ok").when(F.array_contains("reasons", "too_short"), "skipped").otherwise("error")
+    return gated.groupBy(status.alias("status")).agg(F.count("*").alias("n_docs"), F.sum("n_blocks").alias("n_blocks"), F.sum("char_count").alias("chars"))
+
+
 def token_saving(packed: DataFrame, candidates: DataFrame) -> DataFrame:
     """Mean of tokens of all candidates less those packed, over queries that have both."""
     whole = candidates.groupBy("query_id").agg(F.sum("token_count").alias("candidate_tokens"))

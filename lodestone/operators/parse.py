@@ -58,9 +58,9 @@ def sniff(content: Column, name: Column) -> Column:
         found = found.when(zip_ & (extension == ext), _found(*EXTENSIONS[ext], 0.95, "composite"))
     found = found.when(zip_, _found("application/zip", "unsupported", 0.8, "composite"))
     found = found.when(head.startswith("<!doctype html") | head.startswith("<html"), _found("text/html", "html", 0.95, "magic"))
-    for ext, (mime, kind) in EXTENSIONS.items():
-        found = found.when(extension == ext, _found(mime, kind, 0.7, "extension"))
-    return found.otherwise(_found("application/octet-stream", "unknown", 0.0, "none"))
+    pairs = [x for ext, (mime, kind) in EXTENSIONS.items() for x in (F.lit(ext), _found(mime, kind, 0.7, "extension"))]
+    named = F.try_element_at(F.create_map(*pairs), extension)  # one constant, however often the struct's fields are taken
+    return found.otherwise(F.coalesce(named, _found("application/octet-stream", "unknown", 0.0, "none")))
 
 
 def route(sniffed: DataFrame) -> DataFrame:

@@ -22,7 +22,9 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = {
@@ -107,6 +109,14 @@ class Snapshot:
             out = out.unionByName(more)
         return out
 
+    def sound(self, name: str) -> bool:
+        """Whether a table's files are there, with readable footers that count the rows once written; a table never written is sound."""
+        try:
+            held = [(s, self.files(name, s).count()) for s in self.tables.get(name, {"segments": []})["segments"]]
+        except (PySparkException, Py4JJavaError):
+            return False
+        return all(s.get("rows") in (None, n) for s, n in held)
+
     def of(self, name: str, keys: DataFrame) -> DataFrame | None:
         """Rows of the given documents (or other first keys), ordered by the table's key; only their buckets are read."""
         if name not in self.tables:
@@ -229,11 +239,13 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame, first: str, n: int, kind: str) -> Segment:
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        entry = {"id": uuid.uuid4().hex, "kind": kind, "shape": shape}
+        entry = {"id": uuid.uuid4().hex, "kind": kind, "shape": shape, "n": n}
         folder = f"{self.path}/{name}/{entry['id']}"
         dealt = rows.withColumn(_BUCKET, _bucket(first, n)).hint("rebalance", _BUCKET)  # a bucket of any size is split over tasks
-        writer = dealt.sortWithinPartitions(_BUCKET, first).write.partitionBy(_BUCKET)
+        seen = Observation()
+        writer = dealt.sortWithinPartitions(_BUCKET, first).observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy(_BUCKET)
         writer.option(f"parquet.bloom.filter.enabled#{first}", "true").parquet(folder)
+        entry["rows"] = seen.get["n"]
         path, fs = self._folder(folder)
         parts = [f.getPath().getName() for f in fs.listStatus(path)]
         entry["buckets"] = sorted(int(p.partition("=")[2]) for p in parts if p.startswith(f"{_BUCKET}="))
@@ -274,15 +286,20 @@ class Store:
                 return held.number + 1
         raise Conflict(f"no manifest could be added in {self.tries} tries")
 
-    def commit(self, segments: list[Segment], replaced: Iterable[str] = ()) -> None:
-        """Makes staged segments visible together; of tables in ``replaced`` nothing older stays."""
+    def commit(self, segments: list[Segment], replaced: Iterable[str] = (), since: Snapshot | None = None) -> None:
+        """Makes staged segments visible together; of tables in ``replaced`` nothing older stays.
+
+        What was made from a whole snapshot names it as ``since``: a commit in between is a conflict then.
+        """
 
         def change(tables: dict) -> dict:
+            if since is not None and tables != since.tables:
+                raise Conflict("the store has changed meanwhile")
             for name in replaced:
                 tables.pop(name, None)
             for s in segments:
                 if s.entry["kind"] == "rows":
-                    tables.setdefault(s.table, {"shape": s.entry["shape"], "key": self._key(s.table), "n": self.buckets, "segments": []})
+                    tables.setdefault(s.table, {"shape": s.entry["shape"], "key": self._key(s.table), "n": s.entry["n"], "segments": []})
                 if s.table in tables and s.entry["buckets"]:
                     tables[s.table]["segments"].append(s.entry)
             return tables
@@ -327,7 +344,7 @@ class Store:
             now = tables.get(name, {"segments": []})
             if [s["id"] for s in now["segments"][: len(before)]] != before:
                 raise Conflict(f"{name} was compacted or replaced meanwhile")
-            old = [s | {"buckets": sorted(set(s["buckets"]) - shared)} for s in now["segments"][: len(before)]]
+            old = [s if shared.isdisjoint(s["buckets"]) else s | {"buckets": sorted(set(s["buckets"]) - shared), "rows": None} for s in now["segments"][: len(before)]]
             now["segments"] = [s for s in old if s["buckets"]] + ([made.entry] if made.entry["buckets"] else []) + now["segments"][len(before) :]
             return tables
 

@@ -249,6 +249,8 @@ ORACLE_SQL: dict[str, str] = {
     "sentence_split": f"WITH {LINES}, s AS (SELECT doc_id, pos, {sentences('text')} AS s FROM lines) SELECT doc_id, pos, nth::int AS nth, sha256(q) AS sentence_hash FROM (SELECT doc_id, pos, unnest(range(len(s))) AS nth, unnest(s) AS q FROM s)",
     "clean_unicode": f"SELECT doc_id, sha256({_plain('nfc_normalize(text || ' + lit(' … “é” ﬁn — é') + ')')}) AS text_hash FROM documents",
     "clean_empty": f"WITH {LINES} SELECT doc_id, pos FROM lines WHERE length({strip('text')}) >= 3",
+    "clean_pipeline": f"""WITH {LINES}, s AS (SELECT doc_id, pos, {_plain('nfc_normalize(text)')} AS text FROM lines), t AS (SELECT *, {strip('text')} AS t FROM s)
+SELECT doc_id, pos, sha256(text) AS text_hash FROM t WHERE t <> '' AND NOT {_nav('t')} QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY pos) = 1""",
     "clean_ocr_merge": f"""WITH {LINES}, s AS (SELECT doc_id, pos, {strip('text')} AS line FROM lines),
 flags AS (SELECT *, line = '' OR regexp_matches(line, '[.!?"''' || chr(39) || ']$') OR length(line) >= 80 AS flush FROM s),
 groups AS (SELECT *, coalesce(sum(flush::int) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM flags),
@@ -269,6 +271,9 @@ SELECT doc_id, pos FROM s ANTI JOIN often USING (doc_id, t)""",
     "markdown_blocks": f"""WITH {MARKDOWN} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1)::int AS pos, block_type, sha256(text) AS text_hash,
 array_to_string(list_transform(path, lambda p: sha256({canonical('p')})), ',') AS section FROM found WHERE {strip('text')} <> ''""",
     "html_main_text": f"SELECT page_id, length({main_text('html')})::int AS n_chars, sha256({main_text('html')}) AS text_hash FROM pages",
+    "web_artifacts": f"""WITH {NAMES}, x AS (SELECT *, {RAW_URL} AS source_id, lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) AS ext FROM files)
+SELECT page_id, source_id, name AS file_name, CASE WHEN ext = '.txt' THEN 'text/plain' WHEN ext IN ('.md', '.markdown', '.rst') OR {HOST} = 'raw.githubusercontent.com' THEN 'text/markdown' ELSE 'text/html' END AS mime_type,
+  sha256(CASE WHEN ext IN ('.md', '.markdown', '.rst', '.txt') OR {HOST} = 'raw.githubusercontent.com' THEN html ELSE {main_text('html')} END) AS text_hash FROM x WHERE html <> ''""",
     "url_canonical": f"""WITH {NAMES} SELECT page_id, {RAW_URL} AS raw_url, name, CASE WHEN lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN ('.md', '.markdown', '.rst', '.txt') THEN lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1))
 WHEN host = 'raw.githubusercontent.com' THEN '.md' ELSE '.html' END AS extension FROM files""",
     "thread_flatten": f"WITH {THREADS} SELECT conv_id, n_messages, cursor, sha256(text) AS text_hash FROM threads",
@@ -338,6 +343,10 @@ e AS (SELECT *, (sum(length(t)) OVER (PARTITION BY query_id ORDER BY span_no))::
 SELECT query_id, span_no, CASE WHEN regexp_full_match(t, '\\[\\d+\\]') THEN 'citation_marker' ELSE 'answer' END AS span_type, end_at - length(t)::int AS start_at, end_at, sha256(t) AS text_hash FROM e""",
     "eval_per_query": f"WITH {EVAL} SELECT query_id, n_relevant, hits, recall, mrr, ndcg FROM judged",
     "eval_macro": f"WITH {EVAL} SELECT * FROM averaged",
+    "benchmark_report": f"""WITH {EVAL.replace('rank <= 20)', 'rank <= 100)')}, own AS (SELECT * FROM judged WHERE n_relevant > 0),
+candidates AS (SELECT count(*) AS n FROM keyword SEMI JOIN own USING (query_id))
+SELECT count(*) AS n_queries, round(coalesce(avg(recall), 0), 6) AS recall, round(coalesce(avg(mrr), 0), 6) AS mrr, round(coalesce(avg(ndcg), 0), 6) AS ndcg,
+  any_value(n) AS total, any_value(n) AS n_bm25_only FROM own, candidates""",
     "case_outcomes": f"WITH {EVAL} SELECT CASE WHEN n_relevant = 0 THEN 'SKIP' WHEN hits > 0 THEN 'PASS' ELSE 'FAIL' END AS outcome, count(*) AS n FROM judged GROUP BY 1",
     "source_attribution": f"""WITH {FUSED}, l AS (SELECT {LABEL} AS source_label FROM hybrid) SELECT count(*) AS total, """
     + ", ".join(f"count(*) FILTER (source_label = '{x}') AS n_{x}, round(count(*) FILTER (source_label = '{x}')::double / greatest(count(*), 1), 6) AS share_{x}" for x in ("bm25_only", "vector_only", "both"))

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from lodestone.functions import text as T
 from lodestone.operators import blocks, chunks, clean, context, fusion, identity, keyword, metrics, models, trace, vectors
 from lodestone.operators.models import Complete, Embed
 from lodestone.operators.store import Segment, Snapshot, Store
-from lodestone.scratch import written
+from lodestone.scratch import counted, written
 from lodestone.sources import files, threads
 
 
@@ -31,6 +32,8 @@ def together(*work: Callable) -> list:
         return [f.result() for f in [pool.submit(w) for w in work]]
 
 
+#: Tables that follow from the chunks alone.
+INDEX = ("forward", "terms", "corpus", "blocks_of_terms", "gone", "vectors")
 CLEANING = ("unicode_fix", "empty_filter", "ocr_line_merge", "html_nav_footer_remove", "dedupe_paragraphs")
 
 
@@ -159,6 +162,30 @@ class Engine:
             additions.append(store.stage("vectors", models.embed_texts(texts.select("chunk_id", "stable_text"), self.embed).select("chunk_id", "embedding")))
         return removals, additions
 
+    def index_chunks(self, rows: DataFrame, since: Snapshot | None = None) -> None:
+        """Makes the stored index anew from ``chunk_id, stable_text``, in one commit; what it held before goes.
+
+        Where ``rows`` say to what document, path and collection a chunk belongs, the places are made anew too.
+        """
+        place = ["chunk_id", "doc_id", "source_path", "collection"]
+        replaced = [*INDEX, "places"] if set(place) <= set(rows.columns) else INDEX
+        _, made = self._index_changes(Snapshot(self.store, -1, {}), rows, None)
+        if "places" in replaced:
+            made.append(self.store.stage("places", rows.select(*place, F.lit(True).alias("live"))))
+        self.store.commit(made, replaced, since)
+
+    def mend(self) -> list[str]:
+        """Names of index tables with lost or broken files. If there are any, the index is made anew from the stored chunks.
+
+        An ingest that commits meanwhile is a ``Conflict``, and nothing is changed.
+        """
+        held = self.store.snapshot()
+        names = [*INDEX, "places"]
+        broken = [n for n, sound in zip(names, together(*[partial(held.sound, n) for n in names]), strict=True) if not sound]
+        if broken:
+            self.index_chunks(held.read("chunks"), held)
+        return broken
+
     def index(self, held: Snapshot | None = None) -> keyword.KeywordIndex | None:
         """The stored keyword index; None before the first ingest."""
         held = held or self.store.snapshot()
@@ -212,8 +239,8 @@ class Engine:
 
         def step(name: str, rows: DataFrame) -> DataFrame:
             nonlocal began
-            done = written(rows)
-            events.append((run_id, name, round(time.time() - began, 6), done.count()))
+            done, n = counted(rows)
+            events.append((run_id, name, round(time.time() - began, 6), n))
             began = time.time()
             return done
 
@@ -267,6 +294,33 @@ class Engine:
         )
         return rows, report
 
+    def run_benchmark(self, parts: dict[str, DataFrame], top_k: int = 100, k: int = 10, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Retrieval over a judged corpus: ``chunks`` (chunk_id, stable_text), ``queries`` and ``qrels``, as :func:`files.beir` loads them.
+
+        A row of the corpus is a chunk. It is indexed in the engine's store, which should be its own; a stored index is used again
+        unless ``rebuild``. Only queries with judgements are run, fused with vector search where the engine has a model. Returns a
+        row per query and the one-row report: means at ``k`` of the best ``top_k``, attribution, seconds of indexing and search.
+        """
+        _within("top_k", top_k, 1, 1000)
+        began = time.time()
+        if rebuild or not self.store.exists("forward"):
+            self.index_chunks(parts["chunks"].select("chunk_id", "stable_text"))
+        held = self.store.snapshot()
+        indexed = time.time()
+        judged = parts["qrels"].select("query_id").distinct()
+        asked = written(parts["queries"].select("query_id", "query").join(judged, "query_id", "left_semi"))
+        lists = {"bm25": keyword.search(self.index(held), asked, top_k)}
+        if self.embed is not None and held.exists("vectors"):
+            own = models.embed_texts(asked, self.embed, "query").select("query_id", "embedding")
+            lists["vector"] = vectors.search(vectors.checked(held.read("vectors")), own, top_k).withColumn("vector_score", -F.col("l2sq"))
+        found = written(fusion.rrf(lists, top=top_k))
+        seconds = self.spark.createDataFrame([(round(indexed - began, 3), round(time.time() - indexed, 3))], "indexing double, searching double")
+        qrels = parts["qrels"].join(asked.select("query_id"), "query_id", "left_semi")
+        rows = written(metrics.per_query(found, qrels, k))
+        label = fusion.source_label(F.col("bm25_score"), F.col("vector_score"), F.col("retrieval_source"))
+        cases = asked.select("query_id", F.lit("answer").alias("expected_behavior"))
+        return rows, metrics.report(rows, cases, attribution=metrics.source_attribution(found.withColumn("source_label", label)), seconds=seconds)
+
     def list_collections(self) -> DataFrame:
         """``collection, n_documents`` by name; an empty store has the default collection with none."""
         held = self.store.read("documents")

@@ -7,6 +7,7 @@ with that ``doc_id`` as well as a vector.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import blocks, chunks, clean, contain, context, fusion, identity, keyword, metrics, models, parse, trace, vectors
+from lodestone.operators.store import Store
 from lodestone.oracles import ORACLE_SQL  # noqa: F401
-from lodestone.scratch import spread, written
+from lodestone.plans.engine import CLEANING, Engine
+from lodestone.scratch import shared_folder, spread, written
 from lodestone.sources import page_tree, threads, web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +92,12 @@ def clean_empty(spark, sf_dir):
     return clean.drop_empty(_lines(spark, sf_dir), 3).select("doc_id", "pos")
 
 
+@query
+def clean_pipeline(spark, sf_dir):
+    """The engine's cleaning steps in turn, over every line."""
+    return clean.clean(_lines(spark, sf_dir), CLEANING).select("doc_id", "pos", _digest("text").alias("text_hash"))
+
+
 @query
 def clean_ocr_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -177,6 +186,13 @@ def url_canonical(spark, sf_dir):
     )
 
 
+@query
+def web_artifacts(spark, sf_dir):
+    """The stored pages as fetched ones: what is not empty, with its name, type and text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
+    return web.artifacts(pages).select("page_id", "source_id", "file_name", "mime_type", _digest("content_text").alias("text_hash"))
+
+
 @query
 def thread_flatten(spark, sf_dir):
     flat = threads.flatten(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
@@ -544,6 +560,15 @@ def eval_macro(spark, sf_dir):
     return metrics.macro(metrics.per_query(_keyword(spark, sf_dir), _qrels(spark, sf_dir), 10))
 
 
+@query
+def benchmark_report(spark, sf_dir):
+    """Documents as a judged corpus in a stored index: means at 10 of the best 100, and where candidates come from."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("stable_text"))
+    engine = Engine(spark, Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"))
+    _, report = engine.run_benchmark({"chunks": docs, "queries": _asked(spark, sf_dir), "qrels": written(_qrels(spark, sf_dir))})
+    return report.select("n_queries", "recall", "mrr", "ndcg", "attribution.total", "attribution.n_bm25_only")
+
+
 @query
 def eval_answerable(spark, sf_dir):
     """Means without the queries that are to be declined, here every fourth."""
@@ -603,9 +628,7 @@ def list_collections(spark, sf_dir):
 
 @query
 def ingest_summary(spark, sf_dir):
-    gated = blocks.quality_gates(blocks.document_metrics(table(spark, sf_dir, "documents")))
-    status = F.when(F.col("passed"), "ok").when(F.array_contains("reasons", "too_short"), "skipped").otherwise("error")
-    return gated.groupBy(status.alias("status")).agg(F.count("*").alias("n_docs"), F.sum("n_blocks").alias("n_blocks"), F.sum("char_count").alias("chars"))
+    return metrics.ingest_summary(blocks.quality_gates(blocks.document_metrics(table(spark, sf_dir, "documents"))))
 
 
 @query

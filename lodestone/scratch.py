@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -29,6 +30,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`written`, and how many rows it has, counted by the job that writes them."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A plain scan over twice as many partitions as there are cores, where its files give fewer than cores; a large table stays as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
