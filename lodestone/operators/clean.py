@@ -60,6 +60,9 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+nfc = nfc.asNondeterministic()  # it is not, but else later filters are pushed below it with a second call of their own
+
+
 def plain_characters(c: Column) -> Column:
     for fancy, plain in PLAIN_FORMS.items():
         c = F.replace(c, F.lit(fancy), F.lit(plain))

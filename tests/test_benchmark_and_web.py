@@ -148,3 +148,13 @@ def test_unknown_names_stay_unknown(spark):
     rows = [(b"x", None), (b"x", "a.PDF"), (b"x", "a.zzz"), (b"PK\x03\x04", "b.docx"), (b"", "")]
     out = spark.createDataFrame(rows, "c binary, n string").select(parse.sniff(F.col("c"), F.col("n")).alias("s")).select("s.*")
     assert [(r["detected_type"], r["strategy"]) for r in out.collect()] == [("unknown", "none"), ("pdf", "extension"), ("unknown", "none"), ("docx", "composite"), ("unknown", "none")]
+
+
+def test_cleaning_composes_each_text_once(spark):
+    from lodestone.operators import clean
+    from lodestone.plans.engine import CLEANING
+
+    rows = [("d", 0, "e\u0301 one"), ("d", 1, "\u00e9 one"), ("d", 2, " "), ("d", 3, None), ("d", 4, "Skip to content"), ("e", 0, "\u201cquoted\u201d")]
+    out = clean.clean(spark.createDataFrame(rows, "doc_id string, pos int, text string"), CLEANING)
+    assert sorted(map(tuple, out.collect())) == [("d", 0, "\u00e9 one"), ("e", 0, '"quoted"')]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
