@@ -18,25 +18,28 @@ ANCHOR_RULES = [
     ("unordered_list", "list", "(?m)^[-*•]\\s+\\S", 1),
     ("caps_title", "heading", "(?m)^[A-Z][A-Z\\s]{2,40}$", 2),
 ]
+#: A word of ASCII letters alone in a lower-case text, and no part of a word or run with other characters.
+PLAIN_WORD = "(?<![a-z0-9_\\x{80}-\\x{10FFFF}])(?:%s)(?![a-z0-9_\\x{80}-\\x{10FFFF}])"
 #: Pronouns whose referent may lie outside of a chunk.
 PRONOUNS = "it its itself this these that those they them their themselves he him his himself she her hers herself we us our ours ourselves".split()
 
 
 def annotate(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``anchor_type``, ``anchor_level`` and ``rule_name`` of the first rule that holds, else ``none`` and 0."""
-    text = F.col("text")
+    text, nth = F.col("text"), F.lit(0)
+    for i, (_, _, pattern, _) in reversed(list(enumerate(ANCHOR_RULES, 1))):
+        nth = F.when(text.rlike(pattern), i).otherwise(nth)
+    blocks = blocks.withColumn("nth_rule", nth)  # patterns are tried once, not for each column
     kind, level, rule = F.lit("none"), F.lit(0), F.lit(None).cast("string")
-    for name, anchor, pattern, depth in reversed(ANCHOR_RULES):
-        hit = text.rlike(pattern)
-        kind = F.when(hit, F.lit(anchor)).otherwise(kind)
-        level = F.when(hit, F.lit(depth)).otherwise(level)
-        rule = F.when(hit, F.lit(name)).otherwise(rule)
+    for i, (name, anchor, _, depth) in enumerate(ANCHOR_RULES, 1):
+        hit = F.col("nth_rule") == i
+        kind, level, rule = F.when(hit, F.lit(anchor)).otherwise(kind), F.when(hit, F.lit(depth)).otherwise(level), F.when(hit, F.lit(name)).otherwise(rule)
     if "block_type" in blocks.columns:
         heading = F.col("block_type") == "heading"
         depth = F.when(text.startswith("###"), 3).when(text.startswith("##"), 2).otherwise(1)
         kind, level = F.when(heading, F.lit("heading")).otherwise(kind), F.when(heading, depth).otherwise(level)
         rule = F.when(heading, F.lit("block_type")).otherwise(rule)
-    return blocks.withColumns({"anchor_type": kind, "anchor_level": level, "rule_name": rule})
+    return blocks.withColumns({"anchor_type": kind, "anchor_level": level, "rule_name": rule}).drop("nth_rule")
 
 
 def assign_chunks(blocks: DataFrame, token_budget: int = 512) -> DataFrame:
@@ -109,14 +112,19 @@ def build_chunks(assigned: DataFrame) -> DataFrame:
     )
 
 
+def pronouns(c: Column) -> tuple[Column, Column]:
+    """Pronouns among the ASCII words of a text, and how many words these are."""
+    return tuple(F.regexp_count(F.lower(c), F.lit(PLAIN_WORD % w)) for w in ("|".join(PRONOUNS), "[a-z]++"))
+
+
+def _risk(hits: Column, n: Column) -> Column:
+    return F.when(n < 5, F.lit(0.0)).otherwise(hits / n)
+
+
 def pronoun_risk(c: Column) -> tuple[Column, Column, Column]:
     """Share of pronouns among the ASCII words of a text (0 under five words), pronouns and words."""
-    words = F.regexp_extract_all(F.regexp_replace(F.lower(c), "[\\p{L}\\p{N}_]*[^\\x{00}-\\x{7F}a-z][\\p{L}\\p{N}_]*", " "), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
-    plain = F.filter(words, lambda w: w.rlike("^[a-z]+$"))
-    n = F.size(plain)
-    hits = F.size(F.filter(plain, lambda w: w.isin(PRONOUNS)))
-    counted = F.when(n < 5, 0).otherwise(hits)
-    return F.when(n < 5, F.lit(0.0)).otherwise(hits / n), counted, n
+    hits, n = pronouns(c)
+    return _risk(hits, n), F.when(n < 5, 0).otherwise(hits), n
 
 
 def risk_level(score: Column) -> Column:
@@ -136,11 +144,13 @@ def enrich(chunks: DataFrame, text: str = "stable_text", max_summary: int = 256,
         stays = {c: F.when(F.col(f"__{c}").isNotNull() & ~empty(c), F.col(f"__{c}")).otherwise(F.col(c)) for c in held}
         return made.withColumns(stays).drop(*[f"__{c}" for c in held])
     t = F.col(text)
+    # What several columns need is made once for each row.
     heading = F.substring(T.strip(F.regexp_extract(t, "(?m)^#{1,6}\\s+(.+)", 1)), 1, 120)
-    sentences = T.sentences(t)
+    made = dict(zip(("heading", "sentences", "hits", "words"), (heading, T.sentences(t), *pronouns(t)), strict=True))
+    chunks = chunks.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("__made"))
+    heading, sentences, risk = F.col("__made.heading"), F.col("__made.sentences"), _risk(F.col("__made.hits"), F.col("__made.words"))
     short = F.get(F.filter(sentences, lambda s: F.char_length(s) <= 80), F.lit(0))
     start = F.replace(F.substring(T.strip(t), 1, 60), F.lit("\n"), F.lit(" "))
-    risk = pronoun_risk(t)[0]
     tags = [
         F.when(t.rlike("```|`[^`]+`"), F.lit("has_code")),
         F.when(t.rlike("(?m)^\\|.+\\|"), F.lit("has_table")),
@@ -158,7 +168,7 @@ def enrich(chunks: DataFrame, text: str = "stable_text", max_summary: int = 256,
             "pronoun_risk": F.round(risk, 6),
             "risk_level": risk_level(risk),
         }
-    )
+    ).drop("__made")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
