@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.scratch import written
 
 KEY = ["query_id", "chunk_id"]
 
@@ -46,6 +47,7 @@ def rrf(lists: dict[str, DataFrame], k: int = 60, top: int | None = None) -> Dat
             *[F.col(c) if c in ranked.columns else F.lit(None).cast("double").alias(c) for c in ("bm25_score", "vector_score")],
         )
         rows = part if rows is None else rows.unionByName(part)
+    rows = written(rows)  # the lists are searched once, though they are counted and summed
     n_lists = rows.groupBy("query_id").agg(F.count_distinct("list").alias("lists"))
     fused = rows.groupBy(*KEY).agg(
         F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("rrf_score"),

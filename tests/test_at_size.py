@@ -8,6 +8,7 @@ from math import log
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import queries
 from lodestone.functions import text as T
 from lodestone.operators import chunks, keyword
 from lodestone.operators.chunks import PRONOUNS
@@ -107,3 +108,13 @@ def test_no_row_for_a_pair_is_shuffled(spark):
     plan = nodes(keyword.search(index, spark.createDataFrame(asked, "query_id int, query string"), 10))
     assert "Generate explode" not in plan and "HashAggregate" not in plan
     assert "Exchange" not in nodes(keyword.term_blocks(index.forward))
+
+
+def test_what_several_uses_need_is_searched_once(spark, monkeypatch):
+    made = []
+    search = keyword.search
+    monkeypatch.setattr(keyword, "search", lambda *a, **b: made.append(1) or search(*a, **b))
+    for name in ("cited_filter",):
+        made.clear()
+        out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(made) == 1 and "documents.parquet" not in nodes(out), name
