@@ -114,7 +114,7 @@ def test_what_several_uses_need_is_searched_once(spark, monkeypatch):
     made = []
     search = keyword.search
     monkeypatch.setattr(keyword, "search", lambda *a, **b: made.append(1) or search(*a, **b))
-    for name in ("cited_filter", "token_saved"):
+    for name in ("cited_filter", "token_saved", "answer_quality"):
         made.clear()
         out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(made) == 1 and "documents.parquet" not in nodes(out), name
