@@ -34,19 +34,24 @@ def hashes(raw: bytes, q: int) -> np.ndarray:
     n = len(b) - q + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(q):
-        out = out * BASE + b[j : j + n]
+    out, done, part, size = np.zeros(n, np.uint64), 0, b, 1
+    while True:  # ``part`` has the sums over a power of two; those that make up q follow one another
+        if q & size:
+            out, done = out * np.uint64(pow(int(BASE), size, 1 << 64)) + part[done : done + n], done + size
+        if done == q:
+            break
+        part, size = part[:-size] * np.uint64(pow(int(BASE), size, 1 << 64)) + part[size:], 2 * size
     return (out ^ (out >> np.uint64(31))) * BASE  # the minimum should not follow from the first bytes
 
 
 def minimizers(raw: bytes, q: int, w: int) -> np.ndarray:
     """The distinct least hashes of every ``w`` neighbouring substrings; of fewer, of all."""
     h = hashes(raw, q)
-    if w == 1 or not len(h):
-        return np.unique(h)
-    parts = [np.lib.stride_tricks.sliding_window_view(h[i : i + (1 << 16) + w - 1], min(w, len(h) - i)).min(1) for i in range(0, max(1, len(h) - w + 1), 1 << 16)]
-    return np.unique(np.concatenate(parts))
+    w, size = min(w, len(h)), 1
+    while size < w:  # least of twice as many from two neighbours
+        step = min(size, w - size)
+        h, size = np.minimum(h[:-step], h[step:]), size + step
+    return np.unique(h[np.append(True, h[1:] != h[:-1])]) if len(h) else h  # neighbours mostly share theirs
 
 
 def class_of(n: int) -> tuple[int, int, int]:
@@ -94,5 +99,6 @@ def containing(texts: DataFrame, passages: DataFrame) -> DataFrame:
     # A substring that no text has ends the search for its passage, so the rarest is chosen among all.
     rare = W.partitionBy("query_id").orderBy("n", "gram")
     chosen = own.join(counted, ["kind", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("nth", F.row_number().over(rare)).where("nth = 1 AND n > 0")
-    pairs = chosen.select("query_id", "kind", "gram").join(met, ["kind", "gram"]).select("query_id", "chunk_id")
-    return pairs.join(asked, "query_id").join(held, "chunk_id").where(F.contains("body", "passage")).select("query_id", "chunk_id")
+    # Written, few pairs are known to be few, and texts come in without being dealt out.
+    pairs = written(chosen.select("query_id", "kind", "gram").join(met, ["kind", "gram"]).select("query_id", "chunk_id"))
+    return pairs.join(held, "chunk_id").join(asked, "query_id").where(F.contains("body", "passage")).select("query_id", "chunk_id")

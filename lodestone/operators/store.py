@@ -251,14 +251,17 @@ class Store:
         entry["buckets"] = sorted(int(p.partition("=")[2]) for p in parts if p.startswith(f"{_BUCKET}="))
         return Segment(name, entry, self._rows(name, entry, shape))
 
-    def stage(self, name: str, rows: DataFrame, **more: Column) -> Segment:
-        """Writes rows, with ``more`` columns, as a segment that no reader sees before its commit; ``.rows`` reads it back."""
+    def stage(self, name: str, rows: DataFrame, distinct: bool = False, **more: Column) -> Segment:
+        """Writes rows, with ``more`` columns, as a segment that no reader sees before its commit; ``.rows`` reads it back.
+
+        ``distinct`` rows are known to repeat no key.
+        """
         rows = rows.withColumns(more) if more else rows
         table = self.snapshot().tables.get(name)
         if table is not None:
             rows = rows.select(self.spark.createDataFrame([], table["shape"]).columns)
         key = self._key(name)
-        return self._write(name, rows.dropDuplicates(key) if key else rows, key[0] if key else ADDED[name], table["n"] if table else self.buckets, "rows")
+        return self._write(name, rows.dropDuplicates(key) if key and not distinct else rows, key[0] if key else ADDED[name], table["n"] if table else self.buckets, "rows")
 
     def stage_removal(self, name: str, keys: DataFrame) -> Segment:
         """Writes the first keys of rows to be removed."""

@@ -127,28 +127,32 @@ class Engine:
         """
         store = self.store
         ids = made.select("chunk_id").distinct()
-        texts = made.dropDuplicates(["chunk_id"])
+        # Texts are dealt out only where ids repeat, which the ids alone tell.
+        repeated = not made.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        texts = made.dropDuplicates(["chunk_id"]) if repeated else made
         gone = None
         if held.exists("forward"):
             texts = texts.join(held.of("forward", ids).select("chunk_id"), "chunk_id", "left_anti")
             lost = held.of("chunks", former).select("chunk_id", "doc_id")
             elsewhere = held.of("places", lost).where("live").join(former, "doc_id", "left_anti").select("chunk_id")
             gone = written(lost.select("chunk_id").distinct().join(elsewhere.unionByName(ids), "chunk_id", "left_anti"))
-        forward = store.stage("forward", keyword.term_counts(texts))
-        added = keyword.count_terms(forward.rows)
+        forward = store.stage("forward", keyword.term_counts(texts), distinct=True)
         counted = keyword.count_chunks(forward.rows)
         again = None
         if gone is not None:
             lost_rows = held.of("forward", gone)
             none = {"max_tf": F.lit(None).cast("long"), "min_terms": F.lit(None).cast("int"), "df": -F.col("df")}
-            added = added.unionByName(keyword.count_terms(lost_rows).withColumns(none).select(added.columns))
+            lost_terms = keyword.count_terms(lost_rows).withColumns(none)
             less = keyword.count_chunks(lost_rows)
             counted = counted.unionByName(less.select((-F.col("chunks")).alias("chunks"), (-F.col("n_terms")).alias("n_terms")))
             buried = held.of("gone", forward.rows)
             again = written((buried if buried is not None else gone.limit(0)).select("chunk_id"))  # blocks still hold their postings
         fresh = forward.rows if again is None else forward.rows.join(again, "chunk_id", "left_anti")
-        blocks_made = keyword.term_blocks(fresh)
-        staged = together(lambda: store.stage("terms", added), lambda: store.stage("corpus", counted), lambda: store.stage("blocks_of_terms", blocks_made))
+        blocks_made = store.stage("blocks_of_terms", keyword.term_blocks(fresh))
+        added = keyword.count_blocks(blocks_made.rows) if again is None else keyword.count_terms(forward.rows)
+        if gone is not None:
+            added = added.unionByName(lost_terms.select(added.columns))
+        staged = [*together(lambda: store.stage("terms", added), lambda: store.stage("corpus", counted)), blocks_made]
         additions = [forward, *staged]
         removals = []
         if gone is not None:

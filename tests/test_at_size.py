@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone import queries
 from lodestone.functions import text as T
-from lodestone.operators import chunks, keyword
+from lodestone.operators import chunks, contain, keyword
 from lodestone.operators.chunks import PRONOUNS
 
 
@@ -118,3 +118,30 @@ def test_what_several_uses_need_is_searched_once(spark, monkeypatch):
         made.clear()
         out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(made) == 1 and "documents.parquet" not in nodes(out), name
+
+
+def test_texts_come_to_few_pairs(spark):
+    """The texts of pairs that are left are looked up by a scan, and none is dealt out."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # documents are larger, passages and pairs are not
+    try:
+        plan = nodes(queries._qrels(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "documents.parquet" in plan
+
+
+def test_minimizers_are_those_of_every_window():
+    draw = random.Random(5)
+    for t in range(400):
+        raw = bytes(draw.choices(range(256) if t % 2 else b"ab", k=draw.randint(0, 150)))
+        q, w = draw.randint(1, 20), draw.randint(1, 40)
+        h = []
+        for i in range(len(raw) - q + 1):
+            x = 0
+            for c in raw[i : i + q]:
+                x = (x * int(contain.BASE) + c + 1) % (1 << 64)
+            h.append((x ^ (x >> 31)) * int(contain.BASE) % (1 << 64))
+        assert contain.hashes(raw, q).tolist() == h
+        windows = [h[i : i + w] for i in range(max(1, len(h) - w + 1))] if h else []
+        assert contain.minimizers(raw, q, w).tolist() == sorted({min(x) for x in windows})
